@@ -1,12 +1,15 @@
-"""Toxicity severity by cumulative-link ordinal regression over sparse word features.
+"""Toxicity severity by cumulative-link ordinal regression over sparse text features.
 
+Features are grams: whole words, runs of four to six characters inside a
+word or across its edge, and longer beginnings of words; these also find
+words built from a telling stem.
 Grades run from 0 (not toxic) upwards.  The model shares one weight vector
 across ordered thresholds: P(grade > k) = sigmoid(w.x - t_k).  It gives an
 expected severity, the sum of those probabilities.
 
-Labels say toxic or not.  Toxic examples are graded by how dense their
-telling words are (words several times likelier in toxic examples), split
-at even shares; grades given in the labels may be passed instead.
+Labels say toxic or not.  Toxic examples are graded by how many of their
+words hold a telling gram (one much likelier in toxic examples), split at
+even shares.
 """
 
 from __future__ import annotations
@@ -14,45 +17,75 @@ from __future__ import annotations
 from collections import Counter
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows
+from .common import arrow_rows, materialise
 from .text import first_by_hash, lower_words, one_label, sigmoid
 
-#: Labelled rows that the fit reads at most, words it keeps, and grades above zero.
-SAMPLE, FEATURES, GRADES = 10_000, 2048, 3
+#: Labelled rows that the fit reads at most, grams it keeps, and grades above zero.
+SAMPLE, FEATURES, GRADES = 10_000, 512, 3
+#: Lengths of inner grams and of beginnings, the longest whole word, and the least likelihood ratio that counts (one in 10^7 by chance).
+LENGTHS, BEGINNINGS, LONGEST, LEAST_RATIO = (4, 5, 6), (7, 8, 9, 10), 24, 30.0
 
 
-def word_counts(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
-    """64-bit hashes of the distinct words, their counts, and the number of words."""
-    said = Counter(lower_words(text))
-    keys = np.fromiter((xxhash.xxh64_intdigest(w) for w in said), np.uint64, len(said))
-    return keys, np.fromiter(said.values(), np.int64, len(said)), int(sum(said.values()))
+def padded(text: str | None) -> tuple[str, int]:
+    """Lower-case words with a space on either side of each, and their number."""
+    words = lower_words(text)
+    return " ".join(["", *[w.decode("utf-8", "replace") for w in words], ""]), len(words)
+
+
+def grams(word: str) -> set[str]:
+    edged = f" {word} "
+    found = {edged[i : i + n] for n in LENGTHS for i in range(len(edged) - n + 1)}
+    found |= {edged[:n] for n in BEGINNINGS if n < len(edged)}
+    if len(edged) <= LONGEST + 2:
+        found.add(edged)
+    return found
+
+
+class Finder:
+    """Counts of the chosen grams in a text, by one pass of an Aho-Corasick automaton."""
+
+    def __init__(self, chosen: list[str]):
+        self.automaton = ahocorasick.Automaton()
+        for k, gram in enumerate(chosen):
+            self.automaton.add_word(gram, k)
+        if chosen:
+            self.automaton.make_automaton()
+        self.any = bool(chosen)
+
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
+        """Numbers of the grams that occur, how often, and the number of words."""
+        said, n = padded(text)
+        found = Counter(k for _, k in self.automaton.iter(said)) if self.any else Counter()
+        return np.fromiter(found, np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found)), n
 
 
 def feature_value(counts: np.ndarray, n: int) -> np.ndarray:
-    """Presence, and more for a word that is dense in its text."""
+    """Presence, and more for a gram that is dense in its text."""
     return 1 + np.log1p(100 * counts / max(n, 1))
 
 
 @dataclass
 class Severity:
-    """A fitted model: a weight per word hash, and thresholds in order."""
+    """A fitted model: grams with a weight each, and thresholds in order."""
 
-    weights: dict[int, float]
+    grams: list[str]
+    weights: np.ndarray
     thresholds: np.ndarray
+    #: least P(grade > 0) that is called toxic
+    cutoff: float = 0.5
 
-    def margins(self, text: str | None) -> float:
-        said = Counter(lower_words(text))
-        n, total = sum(said.values()), 0.0
-        get, digest = self.weights.get, xxhash.xxh64_intdigest
-        for w, c in said.items():
-            if weight := get(digest(w)):
-                total += weight * float(1 + np.log1p(100 * c / n))
-        return total
+    def margins(self, texts: list) -> np.ndarray:
+        finder = Finder(self.grams)
+        out = np.zeros(len(texts))
+        for k, t in enumerate(texts):
+            which, counts, n = finder.counts(t)
+            out[k] = self.weights[which] @ feature_value(counts, n)
+        return out
 
     def above(self, margin: np.ndarray) -> np.ndarray:
         """P(grade > k) for each k, a column each."""
@@ -76,7 +109,7 @@ class Rows:
         return np.bincount(self.index, self.value * g[self.row], self.width)
 
 
-def fit_ordinal(x: Rows, grade: np.ndarray, grades: int, ridge: float = 1e-4, steps: int = 250, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: Rows, grade: np.ndarray, grades: int, ridge: float = 1e-4, steps: int = 500, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds of the cumulative-link model, by Adam on the whole sample.
 
     Thresholds are a first one plus positive gaps, so they stay in order.
@@ -108,78 +141,121 @@ def fit_ordinal(x: Rows, grade: np.ndarray, grades: int, ridge: float = 1e-4, st
     return w, raw[0] + np.concatenate([[0], np.cumsum(np.exp(raw[1:]))])
 
 
-def _likelihood_ratio(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
-    """Dunning's statistic of the 2x2 table of a word's documents."""
+def likelihood_ratio(toxic: Column, clean: Column, n_toxic: int, n_clean: int) -> Column:
+    """Dunning's statistic of the 2x2 table of a gram's documents."""
+    share = (toxic + clean) / F.lit(float(n_toxic + n_clean))
 
-    def part(observed, expected):
-        return np.where(observed > 0, observed * np.log(np.maximum(observed, 1e-12) / np.maximum(expected, 1e-12)), 0)
+    def part(observed: Column, expected: Column) -> Column:
+        return F.when(observed > 0, observed * F.ln(observed / expected)).otherwise(0.0)
 
-    share = (toxic + clean) / (n_toxic + n_clean)
     return 2 * (
         part(toxic, n_toxic * share) + part(clean, n_clean * share)
         + part(n_toxic - toxic, n_toxic * (1 - share)) + part(n_clean - clean, n_clean * (1 - share))
     )
 
 
+def without_echoes(best: list) -> list:
+    """Of grams that hold one another and occur in as many documents, the first."""
+    kept: list = []
+    alike: dict[tuple[int, int], list[str]] = {}
+    for r in best:
+        same = alike.setdefault((r["toxic"], r["clean"]), [])
+        if not any(g.strip() in r["gram"] or r["gram"].strip() in g for g in same):
+            same.append(r["gram"])
+            kept.append(r)
+    return kept
+
+
+def held_out_cutoff(table: list, grade: np.ndarray, width: int, grades: int, false_alarms: float = 0.002) -> float:
+    """The least probability that calls at most ``false_alarms`` of held-out clean examples toxic.
+
+    Each half is scored by a fit on the other; kept between 0.03 and 0.5.
+    """
+    p = np.zeros(len(table))
+    for half in (0, 1):
+        own, other = np.arange(half, len(table), 2), np.arange(1 - half, len(table), 2)
+        if not (len(own) and len(other) and (grade[other] > 0).any() and (grade[other] == 0).any()):
+            return 0.5
+        w, thresholds = fit_ordinal(Rows([table[k] for k in other], width), grade[other], grades)
+        p[own] = sigmoid(Rows([table[k] for k in own], width).times(w) - thresholds[0])
+    return float(np.clip(np.quantile(p[grade == 0], 1 - false_alarms), 0.03, 0.5))
+
+
+def choose_grams(sample: DataFrame, features: int) -> tuple[list[str], list[bool]]:
+    """The grams that tell the classes apart best, and which of them speak for toxicity."""
+
+    def rows(labels, texts):
+        seen = (Counter(), Counter())
+        for y, t in zip(labels, texts, strict=True):
+            own: set[str] = set()
+            for w in set(lower_words(t)):
+                own |= grams(w.decode("utf-8", "replace"))
+            seen[y].update(own)
+        for g in seen[0].keys() | seen[1].keys():
+            yield g, seen[1][g], seen[0][g]
+
+    n = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    if len(n) < 2:
+        return [], []
+    counted = arrow_rows(sample, ["label", "text"], "gram string, toxic long, clean long", rows, rows_per_batch=512)
+    counted = counted.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = counted.where("toxic + clean >= 3").withColumn("ratio", likelihood_ratio(F.col("toxic"), F.col("clean"), n[1], n[0]))
+    best = counted.where(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "gram").limit(8 * features).collect()
+    best = without_echoes(best)[:features]
+    telling = [(r["toxic"] + 0.5) / n[1] > 4 * (r["clean"] + 0.5) / n[0] for r in best]
+    return [r["gram"] for r in best], telling
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES, grades: int = GRADES) -> Severity:
     """Fit on at most ``sample`` labelled documents, chosen by a hash of their ids.
 
-    Their word counts, not their texts, come to the driver.  Without both
-    classes in the sample the model has no weights and calls nothing toxic.
+    Equal texts of the sample count once.  Counts of the chosen grams, not
+    texts, come to the driver.  Without both classes in the sample, or a
+    gram that tells them apart, the model calls nothing toxic.
     """
     chosen = first_by_hash(one_label(labels, "toxic"), sample)
-    read = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    read = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text")  # at most ``sample`` ids
+    read = materialise(read.dropDuplicates(["text"]), "labelled")
+    best, telling = choose_grams(read, features)
+    if not best:
+        return Severity([], np.zeros(0), np.full(grades, 30.0))
 
     def rows(label, texts):
+        finder = Finder(best)
         for y, t in zip(label, texts, strict=True):
-            keys, counts, n = word_counts(t)
-            yield y, keys.tobytes(), counts.astype("<i4").tobytes(), n
+            which, counts, n = finder.counts(t)
+            yield y, which.tolist(), counts.tolist(), n
 
-    got = arrow_rows(read, ["label", "text"], "label int, keys binary, counts binary, n long", rows).limit(2 * sample).collect()
+    got = arrow_rows(read, ["label", "text"], "label int, which array<long>, counts array<long>, n long", rows).collect()
     y = np.array([r["label"] for r in got], np.int64)
-    if not len(y) or y.min() == y.max():
-        return Severity({}, np.full(grades, 30.0))
-    keys = [np.frombuffer(r["keys"], np.uint64) for r in got]
-    counts = [np.frombuffer(r["counts"], "<i4") for r in got]
-    vocabulary, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    owner = np.repeat(y, [len(k) for k in keys])
-    toxic, clean = np.bincount(inverse[owner == 1], minlength=len(vocabulary)), np.bincount(inverse[owner == 0], minlength=len(vocabulary))
-    n1, n0 = int(y.sum()), int((1 - y).sum())
-    ratio = np.where(toxic + clean >= 3, _likelihood_ratio(toxic, clean, n1, n0), 0)
-    chosen_words = np.sort(np.argsort(-ratio, kind="stable")[:features])
-    number = np.full(len(vocabulary), -1)
-    number[chosen_words] = np.arange(len(chosen_words))
-    lift = (toxic + 0.5) / n1 / ((clean + 0.5) / n0)
-    telling = (lift > 4) & (ratio > 10.8)  # a one in a thousand chance without a link
-    table, density, at = [], np.zeros(len(got)), 0
-    for i, (k, c) in enumerate(zip(keys, counts, strict=True)):
-        own = inverse[at : at + len(k)]
-        at += len(k)
-        kept = number[own] >= 0
-        table.append((number[own][kept], feature_value(c[kept], got[i]["n"])))
-        density[i] = c[telling[own]].sum() / max(got[i]["n"], 1)
+    speaks = np.array(telling)
+    table, density = [], np.zeros(len(got))
+    for i, r in enumerate(got):
+        which, counts = np.array(r["which"], np.int64), np.array(r["counts"], np.int64)
+        table.append((which, feature_value(counts, r["n"])))
+        density[i] = counts[speaks[which]].sum() / max(r["n"], 1)
     grade = np.zeros(len(got), np.int64)
     edges = np.quantile(density[y == 1], np.arange(1, grades) / grades)
     grade[y == 1] = 1 + np.searchsorted(edges, density[y == 1], side="right")
-    w, thresholds = fit_ordinal(Rows(table, len(chosen_words)), grade, grades)
-    return Severity({int(k): float(v) for k, v in zip(vocabulary[chosen_words], w, strict=True) if abs(v) > 1e-6}, thresholds)
+    w, thresholds = fit_ordinal(Rows(table, len(best)), grade, grades)
+    return Severity(best, w, thresholds, held_out_cutoff(table, grade, len(best), grades))
 
 
 def score(docs: DataFrame, model: Severity) -> DataFrame:
     """``(doc_id, expected_severity, p_toxic, grade, toxic)`` for every row of ``docs``.
 
-    ``grade`` is the likeliest one, ``toxic`` whether any grade above zero is
-    likelier than none.  Null and empty texts have no features; the whole
+    ``grade`` is the likeliest one, ``toxic`` whether P(grade > 0) exceeds the
+    model's cutoff.  Null and empty texts have no features; the whole
     text counts, however long.  Other columns aren't read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most ``features`` weights
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most ``features`` grams and weights
 
     def rows(ids, texts):
         m = shared.value
-        above = m.above(np.array([m.margins(t) for t in texts]))
+        above = m.above(m.margins(texts))
         edges = np.column_stack([np.ones(len(above)), above, np.zeros(len(above))])
         grade = np.argmax(edges[:, :-1] - edges[:, 1:], axis=1)
-        return zip(ids, above.sum(axis=1).tolist(), above[:, 0].tolist(), grade.tolist(), (above[:, 0] > 0.5).tolist(), strict=True)
+        return zip(ids, above.sum(axis=1).tolist(), above[:, 0].tolist(), grade.tolist(), (above[:, 0] > m.cutoff).tolist(), strict=True)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return arrow_rows(docs, ["doc_id", "text"], f"doc_id {kind}, expected_severity double, p_toxic double, grade int, toxic boolean", rows)
