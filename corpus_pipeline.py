@@ -1,0 +1,60 @@
+"""From raw documents to packed training sequences, in five stages.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; ``run``
+writes it as Parquet on shared storage and reads it back as the next
+stage's ``docs``.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from sluice.llm import decontaminate, lines, packing, quality, simhash
+from sluice.llm.common import materialise, table
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier doesn't reject."""
+    return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that repeat an earlier one, nearly or exactly."""
+    return lines.drop_repeats(docs)
+
+
+def unique_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return simhash.keep_one(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without spans of benchmark items."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' token ids with their places in fixed-length sequences."""
+    return packing.pack(docs, TOKENIZER)
+
+
+STAGES = [
+    ("quality", good_quality),
+    ("lines", unique_lines),
+    ("near_duplicates", unique_documents),
+    ("decontamination", decontaminated),
+    ("packing", packed),
+]
+
+#: Classifiers, fingerprints and the packing plan are beyond SQL; the stages are tested against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

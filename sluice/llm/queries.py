@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, packing, pii, quality, simhash, toxicity
+from . import chat, decontaminate, lines, packing, pii, quality, simhash, toxicity
 from .common import sha256_hex, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +30,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.groups(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -85,12 +90,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
+    "op2_lines": op2_lines,
     "op3_packing": op3_packing,
     "op4_decontaminate": op4_decontaminate,
     "op5_toxicity": op5_toxicity,
     "op7_chat": op7_chat,
     "op9_quality": op9_quality,
     "op10_simhash": op10_simhash,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {

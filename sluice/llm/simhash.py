@@ -213,11 +213,19 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` whose id is their component's least.
+    """``docs`` with one row per component: the one whose id is the component's least.
 
-    Repeated rows of one id: one stays.  Columns are those of ``docs``.
-    A null id can't be least; such a row stays only if no row of its component has an id.
+    Of rows that repeat an id one stays.  Rows without an id can't be told
+    apart and stay.  Columns are those of ``docs``.
     """
-    found = near_duplicates(docs, radius, shingle)
-    kept = found.where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").select(*docs.columns)
+    found = near_duplicates(docs, radius, shingle).where("doc_id is not null")
+    by_id = materialise(
+        found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("head"), F.count("*").alias("rows")),
+        "heads",
+    )
+    kept = docs.join(by_id.where("not head").select("doc_id"), "doc_id", "left_anti")
+    repeated = by_id.where("head and rows > 1").select("doc_id")
+    if not repeated.isEmpty():
+        again = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(again)
+    return kept.select(*docs.columns)
