@@ -80,38 +80,36 @@ def near_edges(units: DataFrame, lanes: int, width: str, limit: int, distance: D
 
     ``width`` is the numpy type of a lane.
     """
+    bits = 8 * np.dtype(width).itemsize
+
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uid, raw = batch.column(0), batch.column(1)
             if not batch.num_rows:
                 continue
-            values = np.frombuffer(b"".join(raw.to_pylist()), width).reshape(-1, lanes)
+            values = np.frombuffer(b"".join(raw.to_pylist()), width).reshape(-1, lanes).astype(np.int64)
             for k in range(lanes):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(values), k, np.int32)), pa.array(values[:, k].astype(np.int64)), uid, raw],
-                    names=["lane", "key", "uid", "lanes"],
-                )
-
-    keyed = units.select("uid", "lanes").mapInArrow(keys, "lane int, key long, uid long, lanes binary")
-    sizes = keyed.groupBy("lane", "key").count().where(F.col("count") > block)
-    sizes = sizes.select("lane", "key", F.ceil(F.col("count") / block).cast("int").alias("parts"))
-    parts = keyed.join(sizes, ["lane", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    own = F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int")
-    dealt = (
-        parts.withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("lane", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "uid", "lanes")
+                yield pa.RecordBatch.from_arrays([pa.array(values[:, k] | k << bits), uid, raw], names=["bucket", "uid", "lanes"])
+
+    keyed = units.select("uid", "lanes").mapInArrow(keys, "bucket long, uid long, lanes binary")
+    sizes = keyed.groupBy("bucket").count().where(F.col("count") > block)
+    sizes = sizes.select("bucket", F.ceil(F.col("count") / block).cast("int").alias("parts"))
+    parts = keyed.join(sizes, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = F.pmod(F.xxhash64("uid"), F.col("parts"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("other")
+    dealt = parts.select("bucket", own.alias("own"), other, "uid", "lanes").select(
+        "bucket", (F.least("own", "other") * 2**31 + F.greatest("own", "other")).alias("part"), "uid", "lanes"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for groups in sorted_groups(batches, 4):
-            heads = [groups.column(k).to_numpy() for k in range(4)]
+        for groups in sorted_groups(batches, 2):
+            heads = [groups.column(k).to_numpy() for k in range(2)]
             change = np.ones(groups.num_rows, bool)
             change[1:] = np.logical_or.reduce([h[1:] != h[:-1] for h in heads])
             starts = np.append(np.flatnonzero(change), groups.num_rows)
             sizes = np.diff(starts)
-            uid, a, b = groups.column(4).to_numpy(), [], []
-            values = np.frombuffer(b"".join(groups.column(5).to_pylist()), width).reshape(-1, lanes)
+            uid, a, b = groups.column(2).to_numpy(), [], []
+            values = np.frombuffer(b"".join(groups.column(3).to_pylist()), width).reshape(-1, lanes)
             for g in np.flatnonzero(sizes > 1).tolist():
                 s, e = int(starts[g]), int(starts[g + 1])
                 for x, y in forest(values[s:e], limit, distance):
@@ -121,9 +119,4 @@ def near_edges(units: DataFrame, lanes: int, width: str, limit: int, distance: D
                 one, two = uid[a], uid[b]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], names=["a", "b"])
 
-    return (
-        dealt.repartition("lane", "key", "i", "j")
-        .sortWithinPartitions("lane", "key", "i", "j")
-        .mapInArrow(run, "a long, b long")
-        .distinct()
-    )
+    return dealt.repartition("bucket", "part").sortWithinPartitions("bucket", "part").mapInArrow(run, "a long, b long").distinct()
