@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, lines, neighbours, packing, pii, quality, simhash, toxicity
+from . import chat, decontaminate, lines, neighbours, packing, pii, quality, simhash, substrings, toxicity
 from .common import sha256_hex, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +82,12 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.classes(table(spark, sf_dir, "documents"))
+    said = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return found.withColumn("spans", said)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -100,6 +106,7 @@ QUERIES: dict[str, Query] = {
     "op5_toxicity": op5_toxicity,
     "op6_neighbours": op6_neighbours,
     "op7_chat": op7_chat,
+    "op8_substrings": op8_substrings,
     "op9_quality": op9_quality,
     "op10_simhash": op10_simhash,
     "pipeline": corpus_pipeline.run,
