@@ -19,3 +19,10 @@ def add(name: str, query: Query, oracle: str | None = None) -> None:
     QUERIES[name] = query
     if oracle is not None:
         ORACLES[name] = oracle
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from sluice.queries import core  # noqa: F401
+
+
