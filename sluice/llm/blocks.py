@@ -82,7 +82,8 @@ def near_edges(units: DataFrame, lanes: int, width: str, limit: int, distance: D
     ``carry`` may name a narrower type whose low bits of the lanes suffice
     for the distance and travel with the rows.
     """
-    carry = carry or width
+    narrow = carry is not None
+    carry = carry or ("<u8" if distance is bit_distance else width)
     bits = 8 * np.dtype(width).itemsize
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,9 +92,9 @@ def near_edges(units: DataFrame, lanes: int, width: str, limit: int, distance: D
             if not batch.num_rows:
                 continue
             values = np.frombuffer(b"".join(raw.to_pylist()), width).reshape(-1, lanes).astype(np.int64)
-            if carry != width:
-                narrow, size = values.astype(carry).tobytes(), lanes * np.dtype(carry).itemsize
-                raw = pa.array([narrow[at : at + size] for at in range(0, len(narrow), size)], pa.binary())
+            if narrow:
+                less, size = values.astype(carry).tobytes(), lanes * np.dtype(carry).itemsize
+                raw = pa.array([less[at : at + size] for at in range(0, len(less), size)], pa.binary())
             for k in range(lanes):
                 yield pa.RecordBatch.from_arrays([pa.array(values[:, k] | k << bits), uid, raw], names=["bucket", "uid", "lanes"])
 
@@ -115,7 +116,7 @@ def near_edges(units: DataFrame, lanes: int, width: str, limit: int, distance: D
             starts = np.append(np.flatnonzero(change), groups.num_rows)
             sizes = np.diff(starts)
             uid, a, b = groups.column(2).to_numpy(), [], []
-            values = np.frombuffer(b"".join(groups.column(3).to_pylist()), carry).reshape(-1, lanes)
+            values = np.frombuffer(b"".join(groups.column(3).to_pylist()), carry).reshape(groups.num_rows, -1)
             for g in np.flatnonzero(sizes > 1).tolist():
                 s, e = int(starts[g]), int(starts[g + 1])
                 for x, y in forest(values[s:e], limit, distance):
