@@ -81,12 +81,12 @@ def detect(readings: DataFrame, tiers=C.TIERS_CM, value: str = "flood", cadence:
     return assemble(excursions(readings, tiers, value, cadence), cadence=cadence, **rules)
 
 
-def sensitivity(runs: DataFrame, persistence, merge_gaps) -> DataFrame:
+def sensitivity(runs: DataFrame, persistence, merge_gaps, cadence: int = C.CADENCE_MINUTES) -> DataFrame:
     """Event counts per tier for a grid of rules, from runs detected once."""
     spark = runs.sparkSession
     grid = spark.createDataFrame([(p, g) for p in persistence for g in merge_gaps], "persistence int, merge_gap int")
     found = assemble(
-        runs.crossJoin(F.broadcast(grid)), "persistence", "merge_gap", keys=("station_code", "tier_cm", "persistence", "merge_gap")
+        runs.crossJoin(F.broadcast(grid)), "persistence", "merge_gap", cadence=cadence, keys=("station_code", "tier_cm", "persistence", "merge_gap")
     )
     return found.groupBy("tier_cm", "persistence", "merge_gap").agg(F.count("*").alias("n_events"))
 

@@ -51,7 +51,7 @@ add("d01_excursions", runs, f"WITH {RUNS} SELECT * FROM runs")
 add("d02_events", found, f"WITH {EVENTS} SELECT * FROM found")
 add(
     "d04_sensitivity",
-    lambda s, d: events.sensitivity(runs(s, d), (1, 2, 3), (30, 60, 180)),
+    lambda s, d: events.sensitivity(runs(s, d), (1, 2, 3), (30, 60, 180), cadence=30),
     f"""WITH {RUNS}, grid2 AS (SELECT * FROM runs, (VALUES (1), (2), (3)) p(persistence), (VALUES (30), (60), (180)) g(merge_gap)),
     {_events_sql('persistence', 'merge_gap', '10', 'station_code, tier_cm, persistence, merge_gap', 'grid2')}
     SELECT tier_cm, persistence, merge_gap, count(*) AS n_events FROM found GROUP BY ALL""",
