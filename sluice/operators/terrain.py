@@ -1,0 +1,106 @@
+"""Raster terrain: each tile, with its halo, is one group and so one bounded task."""
+
+from __future__ import annotations
+
+import heapq
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+STEPS = ((-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1))
+
+
+def fill_depressions(z: np.ndarray) -> np.ndarray:
+    """Priority flood from the rim inwards: the lowest spill level of every cell; invalid cells drain."""
+    out, seen, heap = z.copy(), ~np.isfinite(z), []
+    rows, cols = z.shape
+    for r in range(rows):
+        for c in range(cols):
+            rim = r in (0, rows - 1) or c in (0, cols - 1)
+            beside = any(not np.isfinite(z[r + i, c + j]) for i, j in STEPS if 0 <= r + i < rows and 0 <= c + j < cols)
+            if not seen[r, c] and (rim or beside):
+                seen[r, c] = True
+                heapq.heappush(heap, (float(z[r, c]), r, c))
+    while heap:
+        level, r, c = heapq.heappop(heap)
+        for i, j in STEPS:
+            y, x = r + i, c + j
+            if 0 <= y < rows and 0 <= x < cols and not seen[y, x]:
+                seen[y, x] = True
+                out[y, x] = max(out[y, x], level)
+                heapq.heappush(heap, (float(out[y, x]), y, x))
+    return out
+
+
+def depression_depth(z: np.ndarray, least: float = 0.05) -> np.ndarray:
+    depth = fill_depressions(z) - z
+    return np.where(depth >= least, depth, 0.0)
+
+
+def slope_degrees(z: np.ndarray, cell: float) -> np.ndarray:
+    dy, dx = np.gradient(z, cell)
+    return np.degrees(np.arctan(np.hypot(dx, dy)))
+
+
+def window_minimum(z: np.ndarray, radius: int) -> np.ndarray:
+    """Least valid value within a square window, one axis after the other."""
+    out = np.where(np.isfinite(z), z, np.inf)
+    for axis in (0, 1):
+        padded = np.pad(out, [(radius, radius) if a == axis else (0, 0) for a in (0, 1)], constant_values=np.inf)
+        out = np.lib.stride_tricks.sliding_window_view(padded, 2 * radius + 1, axis=axis).min(axis=-1)
+    return out
+
+
+def ground_mask(z: np.ndarray, cell: float, window_m: float = 100, tolerance_m: float = 1.0) -> np.ndarray:
+    """Cells near the least level of a window wider than a city block: streets and open land."""
+    return np.isfinite(z) & (z <= window_minimum(z, max(1, round(window_m / cell / 2))) + tolerance_m)
+
+
+def receivers(z: np.ndarray, cell: float) -> np.ndarray:
+    """Flat index of the steepest lower neighbour of each cell, -1 for none."""
+    rows, cols = z.shape
+    best, to = np.zeros(z.shape), np.full(z.shape, -1)
+    index = np.arange(z.size).reshape(z.shape)
+    padded, numbers = np.pad(z, 1, constant_values=np.inf), np.pad(index, 1, constant_values=-1)
+    for i, j in STEPS:
+        drop = (z - padded[1 + i : 1 + i + rows, 1 + j : 1 + j + cols]) / (cell * np.hypot(i, j))
+        better = drop > best
+        best, to = np.where(better, drop, best), np.where(better, numbers[1 + i : 1 + i + rows, 1 + j : 1 + j + cols], to)
+    return to
+
+
+def flow_accumulation(z: np.ndarray, cell: float) -> np.ndarray:
+    """Cells that drain through each cell, itself included, from the highest down."""
+    to, acc = receivers(z, cell).ravel(), np.ones(z.size)
+    for k in np.argsort(-np.where(np.isfinite(z), z, -np.inf).ravel(), kind="stable").tolist():
+        if to[k] >= 0:
+            acc[to[k]] += acc[k]
+    return acc.reshape(z.shape)
+
+
+def wetness_index(z: np.ndarray, cell: float) -> np.ndarray:
+    return np.log(flow_accumulation(z, cell) * cell / np.maximum(np.tan(np.radians(slope_degrees(z, cell))), 1e-3))
+
+
+def tile_terrain(cells: DataFrame, cell: float, halo: int) -> DataFrame:
+    """``(tile, row, col, z)`` with a halo of ``halo`` cells per tile to the terrain of the tile's core.
+
+    A tile's size is fixed by the tiling, so groups are bounded whatever
+    the raster's extent.  Missing cells are invalid.
+    """
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        r0, c0 = int(pdf["row"].min()), int(pdf["col"].min())
+        z = np.full((int(pdf["row"].max()) - r0 + 1, int(pdf["col"].max()) - c0 + 1), np.nan)
+        z[pdf["row"] - r0, pdf["col"] - c0] = pdf["z"]
+        filled = fill_depressions(z)
+        r, c = np.nonzero(np.isfinite(z))
+        core = (r >= halo) & (c >= halo) & (r < z.shape[0] - halo) & (c < z.shape[1] - halo)
+        r, c = r[core], c[core]
+        return pd.DataFrame({
+            "tile": pdf["tile"].iloc[0], "row": r + r0, "col": c + c0, "depth": (filled - z)[r, c], "slope": slope_degrees(z, cell)[r, c],
+            "accumulation": flow_accumulation(filled, cell)[r, c], "ground": ground_mask(z, cell)[r, c],
+        })
+
+    return cells.groupBy("tile").applyInPandas(one, "tile long, row long, col long, depth double, slope double, accumulation double, ground boolean")
