@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sorted_groups
+from .common import materialise, sorted_groups
 
 BLOCK = 2048
 Distance = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -100,7 +100,8 @@ def near_edges(units: DataFrame, lanes: int, width: str, limit: int, distance: D
 
     keyed = units.select("uid", "lanes").mapInArrow(keys, "bucket long, uid long, lanes binary")
     sizes = keyed.groupBy("bucket").count().where(F.col("count") > block)
-    sizes = sizes.select("bucket", F.ceil(F.col("count") / block).cast("int").alias("parts"))
+    # written first: its size is then known, and a small table of hot buckets spares the rows a shuffle
+    sizes = materialise(sizes.select("bucket", F.ceil(F.col("count") / block).cast("int").alias("parts")), "hot-buckets")
     parts = keyed.join(sizes, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = F.pmod(F.xxhash64("uid"), F.col("parts"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("other")
