@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from sluice.functions import constants as C
 from sluice.functions.timeutil import floor_minutes
 
-DISTRICT = F.split_part("station_code", F.lit("."), F.lit(2))
+
+def district():
+    return F.split_part("station_code", F.lit("."), F.lit(2))
+
 
 
 def _at(ts: str):
@@ -31,7 +34,7 @@ def observations(df: DataFrame, ts: str, hours: int, value: str = "flood", tiers
 
 
 def rain_by_district(df: DataFrame, ts: str, hours: int, value: str = "flood") -> DataFrame:
-    return window_before(df, ts, hours).groupBy(DISTRICT.alias("district")).agg(F.round(F.avg(value), 6).alias("mean_rain"), F.max(value).alias("max_rain"))
+    return window_before(df, ts, hours).groupBy(district().alias("district")).agg(F.round(F.avg(value), 6).alias("mean_rain"), F.max(value).alias("max_rain"))
 
 
 def station_history(df: DataFrame, station: str, ts: str, hours: int) -> DataFrame:
@@ -54,7 +57,7 @@ def forecast_at(scored: DataFrame, ts: str, tier: float, threshold: float, value
     dry = F.col(value) < tier
     status = F.when(F.col(value).isNull(), "offline").when(~dry, "flooded_now").when(F.col(prob) >= threshold, "at_risk").otherwise("clear")
     return now.select(
-        "station_code", DISTRICT.alias("district"), status.alias("status"), F.when(dry, F.round(prob, 6)).alias("probability"),
+        "station_code", district().alias("district"), status.alias("status"), F.when(dry, F.round(prob, 6)).alias("probability"),
         F.coalesce(~dry | (F.col(prob) >= threshold), F.lit(False)).alias("alert"), F.col(value).alias("depth_now"),
     )
 

@@ -14,7 +14,10 @@ from sluice.sources import payloads
 from .base import GRID, READINGS, grid, readings, table
 from .core import EVENTS, EXTERNAL, LABELLED, SCORED, TIERS, depth, found, hourly, labelled, rain, scored  # noqa: F401
 
-PREFIX = F.split_part("station_code", F.lit("."), F.lit(2))
+
+def prefix():
+    return F.split_part("station_code", F.lit("."), F.lit(2))
+
 
 # -- joins ----------------------------------------------------------------
 add("j07_full_outer", lambda s, d: readings(s, d).where("station_code LIKE 'FL.CLI%'").groupBy(floor_minutes("ts", 15).alias("ts")).agg(F.count("*").alias("a")).join(
@@ -55,17 +58,17 @@ add("p15_membership", lambda s, d: readings(s, d).where(~F.col("station_code").i
     f"WITH {READINGS} SELECT station_code, count(*) AS n FROM readings WHERE station_code NOT IN ('FL.CLI.00', 'FL.CLI.01') GROUP BY 1")
 
 # -- aggregations ---------------------------------------------------------
-add("a07_district_spread", lambda s, d: grid(s, d).groupBy(PREFIX.alias("district"), "ts").agg(F.round(F.max("flood") - F.avg("flood"), 6).alias("spread"), F.count("flood").alias("n")),
+add("a07_district_spread", lambda s, d: grid(s, d).groupBy(prefix().alias("district"), "ts").agg(F.round(F.max("flood") - F.avg("flood"), 6).alias("spread"), F.count("flood").alias("n")),
     f"WITH {GRID} SELECT split_part(station_code, '.', 2) AS district, ts, round(max(flood) - avg(flood), 6) AS spread, count(flood) AS n FROM grid GROUP BY 1, 2")
 add("a16_null_trend", lambda s, d: readings(s, d).groupBy(F.to_date("ts").cast("string").alias("day"), "station_code").agg(F.count("*").alias("n"), F.count_if(F.col("flood").isNull()).alias("nulls")).groupBy("day").agg(
         F.round(100 * F.sum("nulls") / F.sum("n"), 6).alias("null_pct"), F.count("*").alias("n_stations"), F.count_if(F.col("nulls") / F.col("n") > 0.5).alias("n_offline")),
     f"""WITH {READINGS}, x AS (SELECT ts::DATE::VARCHAR AS day, station_code, count(*) AS n, count(*) - count(flood) AS nulls FROM readings GROUP BY 1, 2)
     SELECT day, round(100.0::DOUBLE * sum(nulls) / sum(n), 6) AS null_pct, count(*) AS n_stations, count(*) FILTER (WHERE nulls / n > 0.5) AS n_offline FROM x GROUP BY 1""")
-add("a18_inventory_rollup", lambda s, d: readings(s, d).select(PREFIX.alias("district"), F.to_date("ts").cast("string").alias("day"), "ts").rollup("district", "day").agg(F.count("*").alias("n"), F.countDistinct("ts").alias("n_distinct"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")),
+add("a18_inventory_rollup", lambda s, d: readings(s, d).select(prefix().alias("district"), F.to_date("ts").cast("string").alias("day"), "ts").rollup("district", "day").agg(F.count("*").alias("n"), F.countDistinct("ts").alias("n_distinct"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")),
     f"WITH {READINGS} SELECT split_part(station_code, '.', 2) AS district, ts::DATE::VARCHAR AS day, count(*) AS n, count(DISTINCT ts) AS n_distinct, min(ts) AS first_ts, max(ts) AS last_ts FROM readings GROUP BY ROLLUP (1, 2)")
 add("a21_days_per_station", lambda s, d: readings(s, d).groupBy("station_code").agg(F.countDistinct(F.to_date("ts")).alias("n_days")).withColumn("partial", F.col("n_days") < 30),
     f"WITH {READINGS} SELECT station_code, count(DISTINCT ts::DATE) AS n_days, count(DISTINCT ts::DATE) < 30 AS partial FROM readings GROUP BY 1")
-add("a22_daily_district_rain", lambda s, d: readings(s, d).groupBy(PREFIX.alias("district"), F.to_date("ts").cast("string").alias("day")).agg(F.round(F.sum("flood") / F.countDistinct("station_code"), 6).alias("rain")),
+add("a22_daily_district_rain", lambda s, d: readings(s, d).groupBy(prefix().alias("district"), F.to_date("ts").cast("string").alias("day")).agg(F.round(F.sum("flood") / F.countDistinct("station_code"), 6).alias("rain")),
     f"WITH {READINGS} SELECT split_part(station_code, '.', 2) AS district, ts::DATE::VARCHAR AS day, round(sum(flood) / count(DISTINCT station_code), 6) AS rain FROM readings GROUP BY 1, 2")
 _rank = lambda c: F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2
 add("a23_correlations", lambda s, d: table(s, d, "part").select("p_size", "p_retailprice").withColumns({"rx": _rank("p_size"), "ry": _rank("p_retailprice")}).agg(F.round(F.corr("p_size", "p_retailprice"), 6).alias("pearson"), F.round(F.corr("rx", "ry"), 6).alias("spearman")),
@@ -77,15 +80,15 @@ add("a27_coverage_hours", lambda s, d: readings(s, d).agg(F.round(F.timestamp_di
     f"WITH {READINGS}, h AS (SELECT round(datesub('second', min(ts), max(ts)) / 3600.0::DOUBLE, 2) AS hours FROM readings) SELECT hours, hours < 24 AS cold_start FROM h")
 add("a28_registry_summary", lambda s, d: table(s, d, "supplier").join(F.broadcast(table(s, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("n")),
     "SELECT n_name, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1")
-add("a29_two_level", lambda s, d: readings(s, d).groupBy("station_code", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour_ts")).agg(F.max("flood").alias("deepest")).groupBy(PREFIX.alias("district"), "hour_ts").agg(F.count("deepest").alias("n"), F.count_if(F.col("deepest") >= 100).alias("n_wet"), F.max("deepest").alias("deepest")),
+add("a29_two_level", lambda s, d: readings(s, d).groupBy("station_code", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour_ts")).agg(F.max("flood").alias("deepest")).groupBy(prefix().alias("district"), "hour_ts").agg(F.count("deepest").alias("n"), F.count_if(F.col("deepest") >= 100).alias("n_wet"), F.max("deepest").alias("deepest")),
     f"""WITH {READINGS}, x AS (SELECT station_code, date_trunc('hour', ts) AS hour_ts, max(flood) AS deepest FROM readings GROUP BY 1, 2)
     SELECT split_part(station_code, '.', 2) AS district, hour_ts, count(deepest) AS n, count(*) FILTER (WHERE deepest >= 100) AS n_wet, max(deepest) AS deepest FROM x GROUP BY 1, 2""")
 add("a30_misses_by_hour", lambda s, d: scored(s, d).where("y = 1").groupBy(F.hour("ts").alias("hour")).agg(F.count_if(F.col("pred") == 0).alias("fn"), F.count_if(F.col("pred") == 1).alias("tp")).withColumn("miss_rate", F.round(F.col("fn") / (F.col("fn") + F.col("tp")), 6)),
     f"WITH {SCORED} SELECT hour(ts)::INT AS hour, count(*) FILTER (WHERE pred = 0) AS fn, count(*) FILTER (WHERE pred = 1) AS tp, round(count(*) FILTER (WHERE pred = 0) / count(*), 6) AS miss_rate FROM scored WHERE y = 1 GROUP BY 1")
 add("a31_caught_and_missed", lambda s, d: scored(s, d).where("y = 1").groupBy("pred").agg(F.count("*").alias("n"), F.round(F.median("flood"), 6).alias("median_depth")),
     f"WITH {SCORED} SELECT pred, count(*) AS n, round(median(flood), 6) AS median_depth FROM scored WHERE y = 1 GROUP BY 1")
-add("a36_grouped_transform", lambda s, d: hourly(s, d).select("district", "ts", "fcst", F.round(F.avg("fcst").over(Window.partitionBy("district", F.month("ts"), F.hour("ts"))), 4).alias("usual")),
-    f"WITH {GRID}, {EXTERNAL} SELECT district, ts, fcst, round(avg(fcst) OVER (PARTITION BY district, month(ts), hour(ts)), 4) AS usual FROM hourly")
+add("a36_grouped_transform", lambda s, d: hourly(s, d).select("district", "ts", "fcst", F.round(F.avg("fcst").over(Window.partitionBy("district", F.month("ts"), F.hour("ts"))), 3).alias("usual")),
+    f"WITH {GRID}, {EXTERNAL} SELECT district, ts, fcst, round(avg(fcst) OVER (PARTITION BY district, month(ts), hour(ts)), 3) AS usual FROM hourly")
 add("a37_wet_hour_skill", lambda s, d: hourly(s, d).withColumn("later", F.lead("fcst").over(Window.partitionBy("district").orderBy("ts"))).agg(F.round(F.corr("fcst", "later"), 6).alias("corr"), F.round(F.avg(((F.col("fcst") >= 50) == (F.col("later") >= 50)).cast("double")), 6).alias("agree")),
     f"WITH {GRID}, {EXTERNAL}, x AS (SELECT fcst, lead(fcst) OVER (PARTITION BY district ORDER BY ts) AS later FROM hourly) SELECT round(corr(fcst, later), 6) AS corr, round(avg(((fcst >= 50) = (later >= 50))::INT), 6) AS agree FROM x")
 add("a38_summary", lambda s, d: readings(s, d).agg(F.count("flood").alias("n"), F.round(F.avg("flood"), 6).alias("mean"), F.round(F.stddev_pop("flood"), 6).alias("std"), *(F.round(F.percentile("flood", p / 100), 6).alias(f"p{p}") for p in (1, 5, 10, 25, 50, 75, 90, 95, 99))),
@@ -123,18 +126,18 @@ add("a47_monotone_decay", lambda s, d: labelled(s, d).agg(*(F.count_if(F.col(f"y
     SELECT horizon, n, n >= coalesce(lag(n) OVER (ORDER BY horizon), 0) AS grows FROM x""")
 
 # -- windows --------------------------------------------------------------
-BY = Window.partitionBy("station_code").orderBy("ts", "event_id")
-add("w05_lags", lambda s, d: readings(s, d).select("event_id", F.lag("flood").over(BY).alias("was"), F.lag("ts").over(BY).alias("was_ts")),
+by = lambda: Window.partitionBy("station_code").orderBy("ts", "event_id")
+add("w05_lags", lambda s, d: readings(s, d).select("event_id", F.lag("flood").over(by()).alias("was"), F.lag("ts").over(by()).alias("was_ts")),
     f"WITH {READINGS} SELECT event_id, lag(flood) OVER w AS was, lag(ts) OVER w AS was_ts FROM readings WINDOW w AS (PARTITION BY station_code ORDER BY ts, event_id)")
-add("w11_lag_after_filter", lambda s, d: readings(s, d).where("flood IS NOT NULL").select("event_id", F.lag("flood", 12).over(BY).alias("before")),
+add("w11_lag_after_filter", lambda s, d: readings(s, d).where("flood IS NOT NULL").select("event_id", F.lag("flood", 12).over(by()).alias("before")),
     f"WITH {READINGS} SELECT event_id, lag(flood, 12) OVER (PARTITION BY station_code ORDER BY ts, event_id) AS before FROM readings WHERE flood IS NOT NULL")
-add("w15_event_starts", lambda s, d: readings(s, d).where("flood >= 100").withColumn("was", F.lag("ts").over(BY)).where(F.col("was").isNull() | (minutes_between("was", "ts") > 60)).select("station_code", "ts"),
+add("w15_event_starts", lambda s, d: readings(s, d).where("flood >= 100").withColumn("was", F.lag("ts").over(by())).where(F.col("was").isNull() | (minutes_between("was", "ts") > 60)).select("station_code", "ts"),
     f"WITH {READINGS}, x AS (SELECT station_code, ts, lag(ts) OVER (PARTITION BY station_code ORDER BY ts, event_id) AS was FROM readings WHERE flood >= 100) SELECT station_code, ts FROM x WHERE was IS NULL OR date_diff('minute', was, ts) > 60")
 add("w16_reverse_cumsum", lambda s, d: found(s, d).groupBy("tier_cm", "duration_minutes").agg(F.count("*").alias("n")).withColumn("at_least", F.sum("n").over(Window.partitionBy("tier_cm").orderBy("duration_minutes").rowsBetween(0, Window.unboundedFollowing))),
     f"WITH {EVENTS}, x AS (SELECT tier_cm, duration_minutes, count(*) AS n FROM found GROUP BY 1, 2) SELECT *, (sum(n) OVER (PARTITION BY tier_cm ORDER BY duration_minutes DESC))::BIGINT AS at_least FROM x")
 add("w17_latest_per_group", lambda s, d: sampling.latest(readings(s, d), ["station_code"], [F.desc("ts"), F.desc("event_id")]),
     f"WITH {READINGS} SELECT * FROM readings QUALIFY row_number() OVER (PARTITION BY station_code ORDER BY ts DESC, event_id DESC) = 1")
-add("w18_alert_episodes", lambda s, d: readings(s, d).where("flood >= 60").withColumn("was", F.lag("ts").over(BY)).agg(F.count("*").alias("n_alerts"), (F.count_if(minutes_between("was", "ts") > 180) + F.countDistinct("station_code")).alias("n_episodes")),
+add("w18_alert_episodes", lambda s, d: readings(s, d).where("flood >= 60").withColumn("was", F.lag("ts").over(by())).agg(F.count("*").alias("n_alerts"), (F.count_if(minutes_between("was", "ts") > 180) + F.countDistinct("station_code")).alias("n_episodes")),
     f"WITH {READINGS}, x AS (SELECT station_code, ts, lag(ts) OVER (PARTITION BY station_code ORDER BY ts, event_id) AS was FROM readings WHERE flood >= 60) SELECT count(*) AS n_alerts, count(*) FILTER (WHERE date_diff('minute', was, ts) > 180) + count(DISTINCT station_code) AS n_episodes FROM x")
 _means = lambda s, d: readings(s, d).groupBy("station_code").agg(F.round(F.avg("flood"), 1).alias("mean_depth"))
 add("w21_rank_ties", lambda s, d: _means(s, d).select("station_code", F.rank().over(Window.orderBy("mean_depth")).alias("rank_min"), F.floor(F.rank().over(Window.orderBy(F.desc("mean_depth"))) + (F.count("*").over(Window.partitionBy("mean_depth")) - 1) / 2).cast("int").alias("rank_avg")),
@@ -166,10 +169,16 @@ add("l13_argmax_and_mode", lambda s, d: readings(s, d).groupBy("station_code").a
 
 # -- expressions and payloads ----------------------------------------------
 BANDS = ((1, "trace"), (5, "damp"), (15, "shallow"), (30, "ankle"), (60, "knee"), (100, "deep"), (200, "very deep"))
-_band = F.when(F.col("flood").isNull(), "offline")
-for _limit, _name in BANDS:
-    _band = _band.when(F.col("flood") < _limit, _name)
-add("p13_depth_bands", lambda s, d: readings(s, d).groupBy(_band.otherwise("extreme").alias("band")).agg(F.count("*").alias("n")),
+
+
+def _band():
+    out = F.when(F.col("flood").isNull(), "offline")
+    for limit, name in BANDS:
+        out = out.when(F.col("flood") < limit, name)
+    return out.otherwise("extreme")
+
+
+add("p13_depth_bands", lambda s, d: readings(s, d).groupBy(_band().alias("band")).agg(F.count("*").alias("n")),
     f"WITH {READINGS} SELECT CASE WHEN flood IS NULL THEN 'offline' " + " ".join(f"WHEN flood < {a} THEN '{n}'" for a, n in BANDS) + " ELSE 'extreme' END AS band, count(*) AS n FROM readings GROUP BY 1")
 WORDS = ("license", "rights reserved", "the and")
 add("p11_keywords", lambda s, d: table(s, d, "documents").select("doc_id", payloads.any_keyword(F.col("text"), WORDS).alias("hit")),
