@@ -10,6 +10,7 @@ the distance.  Buckets above a bound are dealt out as pairs of blocks.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +33,21 @@ def lane_distance(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return (one != many).sum(axis=-1, dtype=np.int32)
 
 
+@cache
+def _pairs(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, 1)
+
+
 def forest(lanes: np.ndarray, limit: int, distance: Distance, small: int = 96) -> list[tuple[int, int]]:
     """Minimum spanning forest of the pairs of rows within ``limit``."""
     n = len(lanes)
     if n <= small:
-        near = distance(lanes[:, None], lanes[None, :])
-        i, j = np.nonzero(np.triu(near <= limit, 1))
-        order = np.argsort(near[i, j], kind="stable")
+        i, j = _pairs(n)
+        near = distance(lanes[i], lanes[j])
+        hits = np.flatnonzero(near <= limit)
+        if len(hits) < 2:
+            return [(int(i[k]), int(j[k])) for k in hits]
+        hits = hits[np.argsort(near[hits], kind="stable")]
         up = list(range(n))
 
         def root(x: int) -> int:
@@ -47,7 +56,7 @@ def forest(lanes: np.ndarray, limit: int, distance: Distance, small: int = 96) -
             return x
 
         edges = []
-        for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
+        for a, b in zip(i[hits].tolist(), j[hits].tolist(), strict=True):
             ra, rb = root(a), root(b)
             if ra != rb:
                 up[rb] = ra
