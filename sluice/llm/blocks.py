@@ -4,7 +4,9 @@ A signature is a row of lanes.  Signatures that agree on a lane meet in
 that lane's bucket.  A bucket returns a minimum spanning forest of its
 near pairs rather than the pairs: what a later exact check keeps of the
 nearest links joins what it would keep of all, as far as the check follows
-the distance.  Buckets above a bound are dealt out as pairs of blocks.
+the distance.  Where it doesn't, ``cross_links`` checks what shares a bucket
+and is still in different components.  Buckets above a bound are dealt out
+as pairs of blocks.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, sorted_groups
+from .common import arrow_rows, materialise, sorted_groups
 
 BLOCK = 2048
 Distance = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -84,6 +86,20 @@ def forest(lanes: np.ndarray, limit: int, distance: Distance, small: int = 96) -
     return edges
 
 
+def _dealt(keyed: DataFrame, block: int, coarse: str = "bucket") -> DataFrame:
+    """``keyed`` by bucket and part; ``coarse``, of fewer values than ``bucket``, is what sizes are counted by."""
+    rest = [c for c in keyed.columns if c != "bucket"]
+    sizes = keyed.groupBy(F.expr(coarse).alias("coarse")).count().where(F.col("count") > block)
+    # written first: its size is then known, and a small table of hot buckets spares the rows a shuffle
+    sizes = materialise(sizes.select("coarse", F.ceil(F.col("count") / block).cast("int").alias("parts")), "hot-buckets")
+    parts = keyed.withColumn("coarse", F.expr(coarse)).join(sizes, "coarse", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = F.pmod(F.xxhash64("uid"), F.col("parts"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("other")
+    return parts.select("bucket", own.alias("own"), other, *rest).select(
+        "bucket", (F.least("own", "other") * 2**31 + F.greatest("own", "other")).alias("part"), *rest
+    )
+
+
 def near_edges(units: DataFrame, lanes: int, width: str, limit: int, distance: Distance, carry: str | None = None, block: int = BLOCK) -> DataFrame:
     """Distinct edges ``(a, b)``, a < b, among ``units(uid long, lanes binary)`` with distinct uids.
 
@@ -108,15 +124,7 @@ def near_edges(units: DataFrame, lanes: int, width: str, limit: int, distance: D
                 yield pa.RecordBatch.from_arrays([pa.array(values[:, k] | k << bits), uid, raw], names=["bucket", "uid", "lanes"])
 
     keyed = units.select("uid", "lanes").mapInArrow(keys, "bucket long, uid long, lanes binary")
-    sizes = keyed.groupBy("bucket").count().where(F.col("count") > block)
-    # written first: its size is then known, and a small table of hot buckets spares the rows a shuffle
-    sizes = materialise(sizes.select("bucket", F.ceil(F.col("count") / block).cast("int").alias("parts")), "hot-buckets")
-    parts = keyed.join(sizes, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    own = F.pmod(F.xxhash64("uid"), F.col("parts"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("other")
-    dealt = parts.select("bucket", own.alias("own"), other, "uid", "lanes").select(
-        "bucket", (F.least("own", "other") * 2**31 + F.greatest("own", "other")).alias("part"), "uid", "lanes"
-    )
+    dealt = _dealt(keyed, block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for groups in sorted_groups(batches, 2):
@@ -137,3 +145,143 @@ def near_edges(units: DataFrame, lanes: int, width: str, limit: int, distance: D
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], names=["a", "b"])
 
     return dealt.repartition("bucket", "part").sortWithinPartitions("bucket", "part").mapInArrow(run, "a long, b long").distinct()
+
+
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def tokens(said: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the members of packed multisets of 24-bit values, by multiset, their values, the multiset of each, and sizes.
+
+    A value's k-th occurrence is a member of its own, so equal members of
+    two multisets number as their intersection.
+    """
+    n = np.fromiter(map(len, said), np.int64, len(said)) // 3
+    raw = np.frombuffer(b"".join(said), np.uint8).reshape(-1, 3).astype(np.uint64)
+    of = np.repeat(np.arange(len(said)), n)
+    x = np.sort(of.astype(np.uint64) << np.uint64(24) | raw[:, 0] | raw[:, 1] << np.uint64(8) | raw[:, 2] << np.uint64(16))
+    spots = np.arange(len(x))
+    first = np.maximum.accumulate(np.where(np.append(True, x[1:] != x[:-1])[: len(x)], spots, 0))
+    value = (x & np.uint64(0xFFFFFF)).astype(np.int64)
+    x = ((x & np.uint64(0xFFFFFF)) << np.uint64(24) | (spots - first).astype(np.uint64)) * _ODD
+    x = (x ^ (x >> np.uint64(29))) * _ODD
+    return x ^ (x >> np.uint64(32)), value, of, n
+
+
+def parities(members: np.ndarray, n: np.ndarray, words: int) -> np.ndarray:
+    """Of each multiset of ``n`` members, how often each of 64 x ``words`` bits is drawn, modulo 2.
+
+    Two differ in no more bits than the multisets in members.
+    """
+    out = np.zeros((len(n), words), np.uint64)
+    if not len(members):
+        return out
+    some = np.flatnonzero(n)
+    starts = (np.cumsum(n) - n)[some]
+    bit, column = np.uint64(1) << (members & np.uint64(63)), (members >> np.uint64(6)) % np.uint64(words)
+    for c in range(words):
+        out[some, c] = np.bitwise_xor.reduceat(np.where(column == c, bit, np.uint64(0)), starts)
+    return out
+
+
+def _pairs_within(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of one group, rows being sorted by group: first all neighbours, then the next but one."""
+    i, d = np.arange(len(group)), 0
+    while len(i):
+        d += 1
+        i = i[i + d < len(group)]
+        i = i[group[i] == group[i + d]]
+        if len(i):
+            yield i, i + d
+
+
+def _group_of(table: pa.Table) -> np.ndarray:
+    heads = [table.column(k).to_numpy() for k in range(2)]
+    change = np.zeros(table.num_rows, np.int64)
+    change[1:] = np.logical_or.reduce([h[1:] != h[:-1] for h in heads])
+    return np.cumsum(change)
+
+
+def cross_links(
+    keyed: DataFrame,
+    said: DataFrame,
+    apart: Callable[[np.ndarray, np.ndarray], np.ndarray],
+    alike: Callable[[bytes, bytes], bool],
+    coarse: str = "bucket",
+    block: int = BLOCK,
+) -> DataFrame:
+    """Links ``(a, b)`` between components that a verified pair of one bucket joins.
+
+    ``keyed`` is ``(bucket, uid, component, n, s0, s1)``, longs all: the
+    buckets of each unit, the component it is in so far, and, to spare
+    checks, its size and 128 ``parities``.  ``said(uid, said)`` are the
+    packed multisets; at most ``apart(n, n)`` members differ in pairs that
+    are ``alike``.  Every pair of one bucket in two components is either
+    ruled out by that bound, checked, or joined by pairs that were.  A small
+    bucket gives its pairs, each to be checked once; a larger one gives a
+    row a unit and then a forest, not the pairs.
+    """
+    few = 32
+
+    def near(n, i, j, bits):
+        return np.bitwise_count(bits[i] ^ bits[j]).sum(axis=-1, dtype=np.int64) <= apart(n[i], n[j])
+
+    def doubtful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in sorted_groups(batches, 2):
+            bucket, part, uid, component, n, *bits = (c.to_numpy() for c in rows.columns)
+            bits = np.column_stack(bits).view(np.uint64)
+            mark = np.zeros(rows.num_rows, bool)
+            group, pairs = _group_of(rows), []
+            small = np.bincount(group)[group] <= few
+            for i, j in _pairs_within(group):
+                both = component[i] != component[j]
+                i, j = i[both], j[both]
+                hit = near(n, i, j, bits)
+                i, j = i[hit], j[hit]
+                pairs.append(np.column_stack([i, j])[small[i]])
+                mark[i[~small[i]]] = mark[j[~small[i]]] = True
+            i, j = np.concatenate(pairs).T if pairs else np.zeros((2, 0), np.int64)
+            i, j = np.append(np.where(uid[i] < uid[j], i, j), np.flatnonzero(mark)), np.append(np.where(uid[i] < uid[j], j, i), np.flatnonzero(mark))
+            if len(i):
+                columns = [bucket[i], part[i], uid[i], component[i], uid[j], component[j]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "part", "uid", "component", "other", "beside"])
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in sorted_groups(batches, 2):
+            component, words = rows.column(2).to_numpy(), rows.column(3).to_pylist()
+            members, _, _, n = tokens(words)
+            bits = parities(members, n, 8)
+            up: dict = {}
+
+            def root(x):
+                while (y := up.get(x, x)) != x:
+                    x = y
+                return x
+
+            group, links = _group_of(rows), []
+            for i, j in _pairs_within(group):
+                both = component[i] != component[j]
+                i, j = i[both], j[both]
+                hit = near(n, i, j, bits)
+                for x, y in zip(i[hit].tolist(), j[hit].tolist(), strict=True):
+                    a, b = root((group[x], component[x])), root((group[y], component[y]))
+                    if a != b and alike(words[x], words[y]):
+                        up[max(a, b)] = min(a, b)
+                        links.append((component[x], component[y]))
+            if links:
+                a, b = np.array(links, np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    dealt = _dealt(keyed, block, coarse).select("bucket", "part", "uid", "component", "n", "s0", "s1")
+    dealt = dealt.repartition("bucket", "part").sortWithinPartitions("bucket", "part")
+    found = dealt.mapInArrow(doubtful, "bucket long, part long, uid long, component long, other long, beside long")
+    found = materialise(found, "doubtful")
+    pairs = found.where("uid < other").select("uid", "component", "other", "beside").distinct()
+    pairs = pairs.join(said.withColumnRenamed("said", "x"), "uid").join(said.select(F.col("uid").alias("other"), F.col("said").alias("y")), "other")
+
+    def passed(ids, others, x, y):
+        return ((min(i, j), max(i, j)) for i, j, s, t in zip(ids, others, x, y, strict=True) if alike(s, t))
+
+    pairs = arrow_rows(pairs, ["component", "beside", "x", "y"], "a long, b long", passed)
+    rows = found.where("uid = other").join(said, "uid").select("bucket", "part", "component", "said").repartition("bucket", "part").sortWithinPartitions("bucket", "part")
+    return rows.mapInArrow(checked, "a long, b long").unionByName(pairs).distinct()

@@ -3,7 +3,10 @@
 Lines are normalised to their lower-case words.  Lines with equal words
 are one; the others meet where a block of their SimHash is equal, and the
 nearest of those are verified by the edit similarity of their word
-sequences.  The first line of each connected group stays.
+sequences.  That joins most of them cheaply but not all, so lines in
+different groups then meet where they share one of their rarest words,
+which all similar lines do, and what passes there joins the groups.  The
+first line of each connected group stays.
 """
 
 from __future__ import annotations
@@ -11,11 +14,12 @@ from __future__ import annotations
 from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import bit_distance, near_edges
+from .blocks import bit_distance, cross_links, near_edges, parities, tokens
 from .common import arrow_rows, connected_components, materialise
 from .text import lower_words
 
@@ -25,6 +29,8 @@ SIMILARITY, LEAST_WORDS = 0.8, 3
 BLOCKS, LIMIT = 8, 26
 #: Words that are worked on together.
 WORDS, VOTES = 65_536, 1024
+#: Lines that word counts are taken from, and the counters (a power of two); they order the words, no result depends on them.
+COUNTED, COUNTERS = 20_000, 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -92,6 +98,13 @@ def packed_words(lines: list[list[bytes]]) -> list[bytes]:
     return [packed[3 * a : 3 * b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
+def similar(a: bytes, b: bytes, least: float) -> bool:
+    """Whether ``similarity`` is at least ``least``; most that fail do so by the words they lack."""
+    x, y = ({line[k : k + 3] for k in range(0, len(line), 3)} for line in (a, b))
+    edits = int(most_edits(max(len(a), len(b)) // 3, least))
+    return len(x - y) <= edits and len(y - x) <= edits and similarity(a, b) >= least
+
+
 def similarity(a: bytes, b: bytes) -> float:
     """Edit similarity, in words, of two lines from ``packed_words``."""
     x, y = ([line[k : k + 3] for k in range(0, len(line), 3)] for line in (a, b))
@@ -99,6 +112,33 @@ def similarity(a: bytes, b: bytes) -> float:
     return 1 - edit_distance(x, y) / longest if longest else 1.0
 
 
+def most_edits(longest: np.ndarray, least_similarity: float) -> np.ndarray:
+    """Edits that may part two similar lines, the longer one of ``longest`` words."""
+    return np.floor((1 - least_similarity) * longest + 1e-9).astype(np.int64)
+
+
+def word_counts(said: list[bytes]) -> np.ndarray:
+    """How often each counter's words occur, up to 65,535."""
+    _, words, _, _ = tokens(said)
+    return np.minimum(np.bincount(words % COUNTERS, minlength=COUNTERS), 65_535).astype(np.uint16)
+
+
+def rare_words(said: list[bytes], counts: np.ndarray, least_similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(line, key)`` of the rarest words of each line, and the lines' sizes and parities.
+
+    Of two similar lines the longer one's words, but for ``most_edits`` of
+    them, are in the other too, repeats counted.  So the first common word
+    in any one order of all words is among the first ``most_edits`` + 1 of
+    both.
+    """
+    members, words, of, n = tokens(said)
+    order = counts[words % COUNTERS].astype(np.uint64)
+    keys = np.sort(of.astype(np.uint64) << np.uint64(48) | order << np.uint64(32) | members >> np.uint64(32)) & np.uint64(0xFFFFFFFF)
+    first = np.repeat(np.cumsum(n) - n, n)
+    take = np.arange(len(keys)) - first <= most_edits(n, least_similarity)[of]
+    return of[take], keys[take].astype(np.int64), n, parities(members, n, 2)
+
+
 def _lines(docs: DataFrame, least_words: int, made: str, make) -> DataFrame:
     """``(doc_id, line, uid, <made>)`` of every line of at least ``least_words`` words; equal words, equal uid; ``make`` is for many lines."""
 
@@ -122,6 +162,29 @@ def _lines(docs: DataFrame, least_words: int, made: str, make) -> DataFrame:
     return arrow_rows(known, ["doc_id", "text"], f"doc_id {kind}, line int, uid long, {made} binary", rows, rows_per_batch=512)
 
 
+def _missed(placed: DataFrame, said: DataFrame, least_similarity: float) -> DataFrame:
+    """Links between the components of ``placed(uid, component, said)`` that similar lines of two components make."""
+    some = word_counts([r.said for r in said.select("said").limit(COUNTED).collect()])
+    counts = placed.sparkSession.sparkContext.broadcast(some)
+
+    def keys(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                uid, component = (part.column(k).to_numpy() for k in range(2))
+                line, key, n, bits = rare_words(part.column(2).to_pylist(), counts.value, least_similarity)
+                bits = bits.view(np.int64)
+                columns = [key, uid[line], component[line], n[line], bits[line, 0], bits[line, 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "uid", "component", "n", "s0", "s1"])
+
+    def apart(a, b):
+        longest = np.maximum(a, b)
+        return np.minimum(a, b) - longest + 2 * most_edits(longest, least_similarity)
+
+    keyed = placed.mapInArrow(keys, "bucket long, uid long, component long, n long, s0 long, s1 long")
+    return cross_links(keyed, said, apart, lambda x, y: similar(x, y, least_similarity), coarse=f"bucket % {COUNTERS}")
+
+
 def groups(docs: DataFrame, least_similarity: float = SIMILARITY, least_words: int = LEAST_WORDS) -> DataFrame:
     """``(doc_id, line, first_doc_id, first_line, kept)`` for each line of enough words.
 
@@ -134,10 +197,8 @@ def groups(docs: DataFrame, least_similarity: float = SIMILARITY, least_words: i
     place = F.struct("doc_id", "line")
     distinct = materialise(seen.groupBy("uid").agg(F.min(place).alias("first"), F.max("lanes").alias("lanes")), "distinct-lines")
     edges = materialise(near_edges(distinct, BLOCKS, "<u2", LIMIT, bit_distance), "line-edges")
-    # only the lines of candidate pairs are read again, for their words
-    ends = edges.select(F.col("a").alias("uid")).union(edges.select("b")).distinct()
-    ends = ends.join(distinct.select("uid", "first.doc_id", "first.line"), "uid")
-    said = _lines(docs, least_words, "said", packed_words).join(ends, ["doc_id", "line", "uid"], "left_semi")
+    first = distinct.select("uid", "first.doc_id", "first.line")
+    said = _lines(docs, least_words, "said", packed_words).join(first, ["doc_id", "line", "uid"], "left_semi")
     said = materialise(said.select("uid", "said").dropDuplicates(["uid"]), "line-words")
     pairs = edges.join(said.select(F.col("uid").alias("a"), F.col("said").alias("x")), "a")
     pairs = pairs.join(said.select(F.col("uid").alias("b"), F.col("said").alias("y")), "b")
@@ -146,8 +207,11 @@ def groups(docs: DataFrame, least_similarity: float = SIMILARITY, least_words: i
         return ((i, j) for i, j, s, t in zip(a, b, x, y, strict=True) if similarity(s, t) >= least_similarity)
 
     links = arrow_rows(pairs, ["a", "b", "x", "y"], "a long, b long", verified)
-    members = connected_components(links).withColumnRenamed("node", "uid")
+    members = materialise(connected_components(links).withColumnRenamed("node", "uid"), "near-lines")
+    placed = said.join(members, "uid", "left").select("uid", F.coalesce("component", "uid").alias("component"), "said")
+    joins = connected_components(_missed(placed, said, least_similarity)).select(F.col("node").alias("component"), F.col("component").alias("joined"))
     named = distinct.select("uid", "first").join(members, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+    named = named.join(joins, "component", "left").select("uid", "first", F.coalesce("joined", "component").alias("component"))
     named = materialise(named, "line-groups")
     heads = named.groupBy("component").agg(F.min("first").alias("head"))
     by_uid = named.join(heads, "component").select("uid", "head")

@@ -84,3 +84,47 @@ def test_groups_against_brute_force(spark):
 def test_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert lines.groups(empty).count() == 0 and lines.drop_repeats(empty).count() == 0
+
+
+def test_similar_lines_far_apart_in_simhash_are_joined(spark):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    rows = []
+    for k in range(40):  # one of 10 words differs and outweighs the others in the SimHash
+        w = [word(4) for _ in range(9)]
+        rows += [(2 * k, " ".join([*w, word(14)])), (2 * k + 1, " ".join([*w[:4], word(14), *w[4:]]))]
+    for k in range(40):  # three of 15 words differ: the bound itself
+        w = [word(rng.randint(2, 14)) for _ in range(15)]
+        v = list(w)
+        v[1], v[7] = word(14), word(14)
+        rows += [(100 + 2 * k, " ".join(w)), (101 + 2 * k, " ".join([*v[:10], *v[11:]]))]
+    got = {r.doc_id: r.first_doc_id for r in lines.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d - d % 2 for d, _ in rows}
+
+
+def test_a_failed_edge_of_the_tree_does_not_split_a_group(spark):
+    w = "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima".split()
+    rows = []
+    for k in range(30):
+        a = [f"{x}{k}" for x in w]
+        rows += [(3 * k, " ".join(a[::-1])), (3 * k + 1, " ".join(a)), (3 * k + 2, " ".join(["x", *a[1:]]))]
+    got = {r.doc_id: r.first_doc_id for r in lines.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d - (d % 3 == 2) for d, _ in rows}
+
+
+def test_rare_words_meet_for_every_similar_pair():
+    rng = random.Random(6)
+    counts = lines.word_counts(lines.packed_words([[b"a"] * 9, [b"b", b"c"] * 4]))
+    for _ in range(2000):
+        a = [rng.choice("abcdefgh").encode() for _ in range(rng.randint(3, 25))]
+        b = list(a)
+        for _ in range(rng.randint(0, 5)):
+            at = rng.randrange(len(b))
+            b[at : at + rng.randint(0, 1)] = [rng.choice("abcdefgh").encode() for _ in range(rng.randint(0, 1))]
+            b = b or [b"z"]
+        packed = lines.packed_words([a, b])
+        if lines.similarity(*packed) >= 0.8:
+            line, key, n, bits = lines.rare_words(packed, counts, 0.8)
+            assert set(key[line == 0]) & set(key[line == 1])
+            longest = max(len(a), len(b))
+            assert np.bitwise_count(bits[0] ^ bits[1]).sum() <= min(len(a), len(b)) - longest + 2 * lines.most_edits(longest, 0.8)
