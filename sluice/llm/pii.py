@@ -152,16 +152,6 @@ _NUMERIC_DOT = re.compile(rf"(?<=[0-9])\s{{1,3}}(?:{_either(DOT_WORDS)})\s{{1,3}
 _SPOKEN_PLUS = re.compile(rf"(?<![^\W_])(?:{_either(PLUS_WORDS)})\s{{1,3}}(?=[0-9])", re.IGNORECASE)
 _LETTER_DIGIT = re.compile(r"(?<=[0-9])[OoIl]+(?=[\x20.-]?[0-9])|(?<=[0-9][\x20.-])[OoIl]+(?=[0-9])")
 _LETTER_TO_DIGIT = str.maketrans("OoIl", "0011")
-#: One cheap look at whether any transducer could fire.
-_HINT = re.compile(
-    rf"(?<![^\W\d_])(?:{_WORD})[\s,-]{{1,3}}(?:{_TOKEN})(?![^\W_])"
-    rf"|{_OPEN}\s{{0,3}}(?:{_either(AT_WORDS + DOT_WORDS)}|@|\.)\s{{0,3}}{_CLOSE}"
-    rf"|\s(?:{_either(AT_WORDS)})\s{{1,3}}{_HOST}(?:{_SPACED_DOT}|\.){_HOST}|\s(?:{_either(DOT_WORDS)})\s{{1,3}}[A-Za-z0-9-]|\s@|@\s|[0-9][\x20.-]?[OoIl][\x20.-]?[0-9]"
-    rf"|(?:{_either(PLUS_WORDS)})\s{{1,3}}[0-9]",
-    re.IGNORECASE,
-)
-
-
 class Tape:
     """A text after edits, able to map its spans to the source.
 
@@ -270,14 +260,12 @@ TRANSDUCERS = (_drop_invisible, _fold, _spell, _separators, _numeric, _plus, _sp
 
 def disguised_spans(text: str, plain: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Matches that only show after the transducers, as source spans not inside a plain one."""
-    odd = not text.isascii() and (text.translate(FOLD) != text or _INVISIBLE.search(text))
-    if not odd and not _HINT.search(text):
-        return []
-    tape = Tape(text)
-    for step in TRANSDUCERS:
-        if edits := step(tape.text):
+    tape = None
+    for step in TRANSDUCERS[2 * text.isascii() :]:  # the first two edit no ASCII character
+        if edits := step(tape.text if tape else text):
+            tape = tape or Tape(text)
             tape.edit(edits)
-    if not any(tape.edited):
+    if not tape:
         return []
     found = set()
     for kind, start, end in plain_spans(tape.text):

@@ -98,3 +98,26 @@ def test_query_shape(spark):
     assert pii.spans(docs.limit(0)).count() == 0
     assert pii.base_digest([("email", 0, 6)]) == hashlib.sha256(b"email:0:6").hexdigest()
     assert pii.redact("mail a@b.co now") == "mail [email] now"
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "hidden"),
+    [
+        ("card 4111 1111 1111 OO14 ok", "card", "4111 1111 1111 OO14"),
+        ("call +1 555 OO1 2345 now", "phone", "+1 555 OO1 2345"),
+        ("mail john@example . com now", "email", "john@example . com"),
+        ("call +1 5 5 5 1 2 3 four", "phone", "+1 5 5 5 1 2 3 four"),
+    ],
+)
+def test_a_lone_disguise_needs_no_other_trigger(text, kind, hidden):
+    assert (kind, text.index(hidden), text.index(hidden) + len(hidden)) in pii.find(text)[1]
+
+
+def test_unrelated_words_do_not_decide_what_is_found():
+    rng = random.Random(4)
+    bits = ["4111 1111 1111 ", "OO14", "+1 555 ", "OO1 2345", "john@example", " . com", "5 5 5 1 2 3 ", "four", " ", "two", "O", "1", "-", " at ", " dot ", "plus 1", "x", "."]
+    for _ in range(3000):
+        t = "".join(rng.choice(bits) for _ in range(rng.randint(1, 9)))
+        more = "é [at] [dot] y one two z"  # fires the transducers of any kind
+        own = [s for s in pii.find(t + " ;\n\n\n\n; " + more)[1] if s[2] <= len(t)]
+        assert pii.find(t)[1] == own, repr(t)
