@@ -1,18 +1,15 @@
-"""Near pairs of fixed-size signatures by joining on blocks, as spanning forests.
-
-A signature is a row of lanes.  Signatures that agree on a lane meet in
-that lane's bucket.  A bucket returns a minimum spanning forest of its
-near pairs rather than the pairs: what a later exact check keeps of the
-nearest links joins what it would keep of all, as far as the check follows
-the distance.  Where it doesn't, ``cross_links`` checks what shares a bucket
-and is still in different components.  Buckets above a bound are dealt out
-as pairs of blocks.
+"""Pairs that share a bucket: dealing hot buckets out, comparing by size and parities, checking what is left.
+
+A unit is a sequence of words by its hashes.  Units that share a key meet
+in its bucket.  There the pairs that size and parities can't rule out are
+found; of a small bucket they are returned, to be checked once each
+however many buckets they share, and of a larger one the units, to be
+checked together and joined as a forest.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import cache
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,170 +18,62 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, materialise, sorted_groups
 
-BLOCK = 2048
-Distance = Callable[[np.ndarray, np.ndarray], np.ndarray]
-
-
-def bit_distance(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """Differing bits between rows of lanes, over the last axis."""
-    return np.bitwise_count(one ^ many).sum(axis=-1, dtype=np.int32)
-
-
-def lane_distance(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """Differing lanes between rows of lanes, over the last axis."""
-    return (one != many).sum(axis=-1, dtype=np.int32)
-
-
-@cache
-def _pairs(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.triu_indices(n, 1)
-
-
-def forest(lanes: np.ndarray, limit: int, distance: Distance, small: int = 96) -> list[tuple[int, int]]:
-    """Minimum spanning forest of the pairs of rows within ``limit``."""
-    n = len(lanes)
-    if n <= small:
-        i, j = _pairs(n)
-        near = distance(lanes[i], lanes[j])
-        hits = np.flatnonzero(near <= limit)
-        if len(hits) < 2:
-            return [(int(i[k]), int(j[k])) for k in hits]
-        hits = hits[np.argsort(near[hits], kind="stable")]
-        up = list(range(n))
-
-        def root(x: int) -> int:
-            while up[x] != x:
-                up[x] = x = up[up[x]]
-            return x
-
-        edges = []
-        for a, b in zip(i[hits].tolist(), j[hits].tolist(), strict=True):
-            ra, rb = root(a), root(b)
-            if ra != rb:
-                up[rb] = ra
-                edges.append((a, b))
-        return edges
-    # Prim's growth: one row of distances per step
-    edges, far = [], np.iinfo(np.int32).max
-    best, via = np.full(n, far, np.int64), np.zeros(n, np.int64)
-    out = np.ones(n, bool)
-    at = 0
-    for _ in range(n):
-        out[at] = False
-        d = distance(lanes[at], lanes)
-        closer = out & (d < best)
-        best[closer], via[closer] = d[closer], at
-        rest = np.where(out, best, far)
-        at = int(np.argmin(rest))
-        if not out[at]:
-            at = int(np.argmax(out))
-            if not out[at]:
-                break
-            continue
-        if rest[at] <= limit:
-            edges.append((int(via[at]), at))
-    return edges
-
-
-def _dealt(keyed: DataFrame, block: int, coarse: str = "bucket") -> DataFrame:
-    """``keyed`` by bucket and part; ``coarse``, of fewer values than ``bucket``, is what sizes are counted by."""
-    rest = [c for c in keyed.columns if c != "bucket"]
-    sizes = keyed.groupBy(F.expr(coarse).alias("coarse")).count().where(F.col("count") > block)
-    # written first: its size is then known, and a small table of hot buckets spares the rows a shuffle
-    sizes = materialise(sizes.select("coarse", F.ceil(F.col("count") / block).cast("int").alias("parts")), "hot-buckets")
-    parts = keyed.withColumn("coarse", F.expr(coarse)).join(sizes, "coarse", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    own = F.pmod(F.xxhash64("uid"), F.col("parts"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("other")
-    return parts.select("bucket", own.alias("own"), other, *rest).select(
-        "bucket", (F.least("own", "other") * 2**31 + F.greatest("own", "other")).alias("part"), *rest
-    )
-
-
-def near_edges(units: DataFrame, lanes: int, width: str, limit: int, distance: Distance, carry: str | None = None, block: int = BLOCK) -> DataFrame:
-    """Distinct edges ``(a, b)``, a < b, among ``units(uid long, lanes binary)`` with distinct uids.
-
-    ``width`` is the numpy type of a lane.  Buckets are of whole lanes;
-    ``carry`` may name a narrower type whose low bits of the lanes suffice
-    for the distance and travel with the rows.
-    """
-    narrow = carry is not None
-    carry = carry or ("<u8" if distance is bit_distance else width)
-    bits = 8 * np.dtype(width).itemsize
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            uid, raw = batch.column(0), batch.column(1)
-            if not batch.num_rows:
-                continue
-            values = np.frombuffer(b"".join(raw.to_pylist()), width).reshape(-1, lanes).astype(np.int64)
-            if narrow:
-                less, size = values.astype(carry).tobytes(), lanes * np.dtype(carry).itemsize
-                raw = pa.array([less[at : at + size] for at in range(0, len(less), size)], pa.binary())
-            for k in range(lanes):
-                yield pa.RecordBatch.from_arrays([pa.array(values[:, k] | k << bits), uid, raw], names=["bucket", "uid", "lanes"])
-
-    keyed = units.select("uid", "lanes").mapInArrow(keys, "bucket long, uid long, lanes binary")
-    dealt = _dealt(keyed, block)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for groups in sorted_groups(batches, 2):
-            heads = [groups.column(k).to_numpy() for k in range(2)]
-            change = np.ones(groups.num_rows, bool)
-            change[1:] = np.logical_or.reduce([h[1:] != h[:-1] for h in heads])
-            starts = np.append(np.flatnonzero(change), groups.num_rows)
-            sizes = np.diff(starts)
-            uid, a, b = groups.column(2).to_numpy(), [], []
-            values = np.frombuffer(b"".join(groups.column(3).to_pylist()), carry).reshape(groups.num_rows, -1)
-            for g in np.flatnonzero(sizes > 1).tolist():
-                s, e = int(starts[g]), int(starts[g + 1])
-                for x, y in forest(values[s:e], limit, distance):
-                    a.append(s + x)
-                    b.append(s + y)
-            if a:
-                one, two = uid[a], uid[b]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], names=["a", "b"])
-
-    return dealt.repartition("bucket", "part").sortWithinPartitions("bucket", "part").mapInArrow(run, "a long, b long").distinct()
-
-
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-
-
-def tokens(said: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the members of packed multisets of 24-bit values, by multiset, their values, the multiset of each, and sizes.
-
-    A value's k-th occurrence is a member of its own, so equal members of
-    two multisets number as their intersection.
-    """
-    n = np.fromiter(map(len, said), np.int64, len(said)) // 3
-    raw = np.frombuffer(b"".join(said), np.uint8).reshape(-1, 3).astype(np.uint64)
-    of = np.repeat(np.arange(len(said)), n)
-    x = np.sort(of.astype(np.uint64) << np.uint64(24) | raw[:, 0] | raw[:, 1] << np.uint64(8) | raw[:, 2] << np.uint64(16))
-    spots = np.arange(len(x))
-    first = np.maximum.accumulate(np.where(np.append(True, x[1:] != x[:-1])[: len(x)], spots, 0))
-    value = (x & np.uint64(0xFFFFFF)).astype(np.int64)
-    x = ((x & np.uint64(0xFFFFFF)) << np.uint64(24) | (spots - first).astype(np.uint64)) * _ODD
-    x = (x ^ (x >> np.uint64(29))) * _ODD
-    return x ^ (x >> np.uint64(32)), value, of, n
-
-
-def parities(members: np.ndarray, n: np.ndarray, words: int) -> np.ndarray:
-    """Of each multiset of ``n`` members, how often each of 64 x ``words`` bits is drawn, modulo 2.
-
-    Two differ in no more bits than the multisets in members.
+#: Units that a task compares at once in one bucket at most, and in a bucket whose pairs are returned.
+BLOCK, SMALL = 2048, 32
+#: Bucket rows of a partition, and the share of units by which hot buckets are found.
+ROWS, SAMPLED = 400_000, 16
+#: Parities a unit carries: columns of 64 bits.
+PARITIES = 3
+#: What a bucket row carries besides its bucket: one binary value, which costs Spark less than as many columns.
+UNIT = np.dtype([("uid", "<i8"), ("bits", "<u8", PARITIES), ("n", "<i4")])
+KEYED = "bucket long, unit binary"
+
+
+def packed_slices(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A binary array whose entries are the bytes of consecutive runs of ``values``."""
+    offsets = np.concatenate(([0], np.cumsum(sizes))) * values.itemsize
+    if offsets[-1] >= 2**31:
+        raise ValueError("a batch holds more than 2 GiB of packed values; read fewer rows a batch")
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(values.tobytes())])
+
+
+def unpacked(said: pa.Array, kind: str | np.dtype = "<u4") -> tuple[np.ndarray, np.ndarray]:
+    """The values of packed runs without nulls, one after the other, and their sizes."""
+    if isinstance(said, pa.ChunkedArray):
+        said = said.combine_chunks()
+    if not len(said):
+        return np.zeros(0, kind), np.zeros(0, np.int64)
+    _, offsets, data = said.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[said.offset : said.offset + len(said) + 1].astype(np.int64)
+    if data is None:
+        return np.zeros(0, kind), np.zeros(len(said), np.int64)
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].copy().view(kind), np.diff(offsets) // size
+
+
+def units(uid: np.ndarray, bits: np.ndarray, n: np.ndarray) -> pa.Array:
+    made = np.empty(len(uid), UNIT)
+    made["uid"], made["bits"], made["n"] = uid, bits, n
+    return packed_slices(made, np.ones(len(uid), np.int64))
+
+
+def parities(values: np.ndarray, sizes: np.ndarray, columns: int = PARITIES) -> np.ndarray:
+    """Of each run of 32-bit hashes, how often each of 64 x ``columns`` bits is drawn, modulo 2.
+
+    Two differ in no more bits than the runs, as multisets, in members.
     """
-    out = np.zeros((len(n), words), np.uint64)
-    if not len(members):
-        return out
-    some = np.flatnonzero(n)
-    starts = (np.cumsum(n) - n)[some]
-    bit, column = np.uint64(1) << (members & np.uint64(63)), (members >> np.uint64(6)) % np.uint64(words)
-    for c in range(words):
-        out[some, c] = np.bitwise_xor.reduceat(np.where(column == c, bit, np.uint64(0)), starts)
+    out = np.zeros((len(sizes), columns), np.uint64)
+    some = np.flatnonzero(sizes)
+    if len(some):
+        starts = (np.cumsum(sizes) - sizes)[some]
+        values = values.astype(np.uint64)
+        bit, column = np.uint64(1) << (values & np.uint64(63)), (values >> np.uint64(6)) % np.uint64(columns)
+        for c in range(columns):
+            out[some, c] = np.bitwise_xor.reduceat(np.where(column == c, bit, np.uint64(0)), starts)
     return out
 
 
-def _pairs_within(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def pairs_within(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs of rows of one group, rows being sorted by group: first all neighbours, then the next but one."""
     i, d = np.arange(len(group)), 0
     while len(i):
@@ -195,93 +84,112 @@ def _pairs_within(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield i, i + d
 
 
-def _group_of(table: pa.Table) -> np.ndarray:
-    heads = [table.column(k).to_numpy() for k in range(2)]
-    change = np.zeros(table.num_rows, np.int64)
-    change[1:] = np.logical_or.reduce([h[1:] != h[:-1] for h in heads])
-    return np.cumsum(change)
+def _whole(batches: Iterable[pa.RecordBatch]) -> pa.Table | None:
+    held = [b for b in batches if b.num_rows]
+    return pa.Table.from_batches(held) if held else None
 
 
-def cross_links(
-    keyed: DataFrame,
-    said: DataFrame,
-    apart: Callable[[np.ndarray, np.ndarray], np.ndarray],
-    alike: Callable[[bytes, bytes], bool],
-    coarse: str = "bucket",
-    block: int = BLOCK,
+def _groups(bucket: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that puts rows of a bucket and part together, and the group of each row in that order."""
+    order = np.lexsort((part, bucket))
+    change = np.zeros(len(order), np.int64)
+    change[1:] = (bucket[order][1:] != bucket[order][:-1]) | (part[order][1:] != part[order][:-1])
+    return order, np.cumsum(change)
+
+
+def dealt(keyed: DataFrame, sampled: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``keyed`` with ``part``: a bucket of more than about ``block`` rows is dealt out as pairs of blocks.
+
+    ``sampled`` holds the buckets of one unit in ``SAMPLED``, by which the
+    sizes are estimated; which pairs meet doesn't depend on the estimate.
+    """
+    sizes = sampled.groupBy("bucket").count().where(F.col("count") * SAMPLED > block)
+    sizes = materialise(sizes.select("bucket", F.ceil(F.col("count") * SAMPLED / block).cast("long").alias("parts")), "hot-buckets")
+    if sizes.isEmpty():
+        return keyed.withColumn("part", F.lit(0).cast("long"))
+    parts = keyed.join(sizes, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    own = F.pmod(F.xxhash64("unit"), F.col("parts")).alias("own")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
+    return parts.select(*keyed.columns, own, other).select(*keyed.columns, (F.least("own", "other") * 2**31 + F.greatest("own", "other")).alias("part"))
+
+
+def candidates(keyed: DataFrame, sampled: DataFrame, apart: Callable[[np.ndarray, np.ndarray], np.ndarray], rows: int, block: int = BLOCK) -> DataFrame:
+    """``(a, b, bucket, part)``: pairs a < b of small buckets, and units a = b of larger ones with something to compare to.
+
+    ``keyed`` is ``KEYED``, some ``rows`` of it; ``apart(n, n)`` bounds the
+    members by which alike units of these sizes differ.  A partition is
+    compared in memory: some ``ROWS`` rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _whole(batches)
+        if table is None:
+            return
+        bucket, part = table.column(0).to_numpy(), table.column(2).to_numpy()
+        unit, _ = unpacked(table.column(1), UNIT)
+        order, group = _groups(bucket, part)
+        bucket, part, unit = bucket[order], part[order], unit[order]
+        uid, n, bits = unit["uid"].copy(), unit["n"].astype(np.int64), [unit["bits"][:, k].copy() for k in range(PARITIES)]
+        small = np.bincount(group)[group] <= SMALL
+        mark, found = np.zeros(len(uid), bool), []
+        for i, j in pairs_within(group):
+            most = apart(n[i], n[j])
+            differ = np.bitwise_count(bits[0][i] ^ bits[0][j]).astype(np.int16)
+            for b in bits[1:]:
+                differ += np.bitwise_count(b[i] ^ b[j])
+            hit = np.flatnonzero((differ <= most) & (uid[i] != uid[j]))
+            i, j = i[hit], j[hit]
+            two = small[i]
+            found.append(np.column_stack([np.minimum(uid[i[two]], uid[j[two]]), np.maximum(uid[i[two]], uid[j[two]])]))
+            mark[i[~two]] = mark[j[~two]] = True
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        at = np.flatnonzero(mark)
+        zero = np.zeros(len(pairs), np.int64)
+        columns = [np.append(pairs[:, 0], uid[at]), np.append(pairs[:, 1], uid[at]), np.append(zero, bucket[at]), np.append(zero, part[at])]
+        if len(columns[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "bucket", "part"])
+
+    partitions = max(1, -(-rows // ROWS))
+    partitions = max(partitions, int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt(keyed, sampled, block).repartition(partitions, "bucket", "part").mapInArrow(run, "a long, b long, bucket long, part long")
+
+
+def verified(
+    pairs: DataFrame, together: DataFrame, said: DataFrame, alike: Callable[[bytes, bytes], bool], apart: Callable[[np.ndarray, np.ndarray], np.ndarray]
 ) -> DataFrame:
-    """Links ``(a, b)`` between components that a verified pair of one bucket joins.
-
-    ``keyed`` is ``(bucket, uid, component, n, s0, s1)``, longs all: the
-    buckets of each unit, the component it is in so far, and, to spare
-    checks, its size and 128 ``parities``.  ``said(uid, said)`` are the
-    packed multisets; at most ``apart(n, n)`` members differ in pairs that
-    are ``alike``.  Every pair of one bucket in two components is either
-    ruled out by that bound, checked, or joined by pairs that were.  A small
-    bucket gives its pairs, each to be checked once; a larger one gives a
-    row a unit and then a forest, not the pairs.
+    """Links ``(a, b)`` by which the units that are ``alike`` among the candidates are connected.
+
+    ``pairs(a, b)`` are checked one by one, ``together(bucket, part, uid)``
+    bucket by bucket unless already connected there; ``said(uid, said)``
+    has the units' words, and ``apart`` is that of ``candidates``.
     """
-    few = 32
+    both = pairs.join(said.select(F.col("uid").alias("a"), F.col("said").alias("x")), "a")
+    both = both.join(said.select(F.col("uid").alias("b"), F.col("said").alias("y")), "b")
 
-    def near(n, i, j, bits):
-        return np.bitwise_count(bits[i] ^ bits[j]).sum(axis=-1, dtype=np.int64) <= apart(n[i], n[j])
+    def passed(a, b, x, y):
+        return ((i, j) for i, j, s, t in zip(a, b, x, y, strict=True) if alike(s, t))
 
-    def doubtful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in sorted_groups(batches, 2):
-            bucket, part, uid, component, n, *bits = (c.to_numpy() for c in rows.columns)
-            bits = np.column_stack(bits).view(np.uint64)
-            mark = np.zeros(rows.num_rows, bool)
-            group, pairs = _group_of(rows), []
-            small = np.bincount(group)[group] <= few
-            for i, j in _pairs_within(group):
-                both = component[i] != component[j]
-                i, j = i[both], j[both]
-                hit = near(n, i, j, bits)
-                i, j = i[hit], j[hit]
-                pairs.append(np.column_stack([i, j])[small[i]])
-                mark[i[~small[i]]] = mark[j[~small[i]]] = True
-            i, j = np.concatenate(pairs).T if pairs else np.zeros((2, 0), np.int64)
-            i, j = np.append(np.where(uid[i] < uid[j], i, j), np.flatnonzero(mark)), np.append(np.where(uid[i] < uid[j], j, i), np.flatnonzero(mark))
-            if len(i):
-                columns = [bucket[i], part[i], uid[i], component[i], uid[j], component[j]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "part", "uid", "component", "other", "beside"])
-
-    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    one_by_one = arrow_rows(both, ["a", "b", "x", "y"], "a long, b long", passed)
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in sorted_groups(batches, 2):
-            component, words = rows.column(2).to_numpy(), rows.column(3).to_pylist()
-            members, _, _, n = tokens(words)
-            bits = parities(members, n, 8)
-            up: dict = {}
-
-            def root(x):
-                while (y := up.get(x, x)) != x:
-                    x = y
-                return x
-
-            group, links = _group_of(rows), []
-            for i, j in _pairs_within(group):
-                both = component[i] != component[j]
-                i, j = i[both], j[both]
-                hit = near(n, i, j, bits)
-                for x, y in zip(i[hit].tolist(), j[hit].tolist(), strict=True):
-                    a, b = root((group[x], component[x])), root((group[y], component[y]))
-                    if a != b and alike(words[x], words[y]):
-                        up[max(a, b)] = min(a, b)
-                        links.append((component[x], component[y]))
+            uid, words = rows.column(2).to_numpy(), rows.column(3).to_pylist()
+            values, n = unpacked(rows.column(3))
+            bits = parities(values, n, 8)
+            _, group = _groups(rows.column(0).to_numpy(), rows.column(1).to_numpy())
+            first, last = np.searchsorted(group, group), np.searchsorted(group, group, "right")
+            label, links = np.arange(len(uid)), []
+            for i, j in pairs_within(group):
+                differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+                open_ = np.flatnonzero((label[i] != label[j]) & (differ <= apart(n[i], n[j])))
+                for x, y in zip(i[open_].tolist(), j[open_].tolist(), strict=True):
+                    if label[x] != label[y] and (uid[x] == uid[y] or alike(words[x], words[y])):
+                        own = label[first[x] : last[x]]
+                        own[own == label[y]] = label[x]
+                        links.append((uid[x], uid[y]))
             if links:
                 a, b = np.array(links, np.int64).T
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    dealt = _dealt(keyed, block, coarse).select("bucket", "part", "uid", "component", "n", "s0", "s1")
-    dealt = dealt.repartition("bucket", "part").sortWithinPartitions("bucket", "part")
-    found = dealt.mapInArrow(doubtful, "bucket long, part long, uid long, component long, other long, beside long")
-    found = materialise(found, "doubtful")
-    pairs = found.where("uid < other").select("uid", "component", "other", "beside").distinct()
-    pairs = pairs.join(said.withColumnRenamed("said", "x"), "uid").join(said.select(F.col("uid").alias("other"), F.col("said").alias("y")), "other")
-
-    def passed(ids, others, x, y):
-        return ((min(i, j), max(i, j)) for i, j, s, t in zip(ids, others, x, y, strict=True) if alike(s, t))
-
-    pairs = arrow_rows(pairs, ["component", "beside", "x", "y"], "a long, b long", passed)
-    rows = found.where("uid = other").join(said, "uid").select("bucket", "part", "component", "said").repartition("bucket", "part").sortWithinPartitions("bucket", "part")
-    return rows.mapInArrow(checked, "a long, b long").unionByName(pairs).distinct()
+    rows = together.join(said, "uid").select("bucket", "part", "uid", "said").repartition("bucket", "part").sortWithinPartitions("bucket", "part")
+    return rows.mapInArrow(joined, "a long, b long").unionByName(one_by_one).distinct()

@@ -21,14 +21,30 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared checkpoint folder and read it back.
 
     A lost executor then costs a re-read, not a recomputation; the columns
-    stay prunable, unlike those of an RDD checkpoint.  The folder goes when
-    the driver's interpreter ends.
+    stay prunable, unlike those of an RDD checkpoint.  The folder goes with
+    ``discard``, or when the driver's interpreter ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sluice-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._written_at = path
+    return made
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete what ``materialise`` wrote; nothing may read these frames afterwards."""
+    for df in written:
+        _remove(df.sparkSession, df._written_at)
+
+
+def unused_name(columns: list[str], wanted: str) -> str:
+    """``wanted``, lengthened until no column of ``columns`` has that name in any case."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -105,36 +121,50 @@ def sorted_groups(batches: Iterable[pa.RecordBatch], n_keys: int) -> Iterator[pa
         yield pa.Table.from_batches([b for b in held if b.num_rows])
 
 
+#: Hubs that a round may broadcast, 16 bytes each.
+HUBS, LEAST_DEGREE = 500_000, 256
+
+
+def _met(edges: DataFrame, least: DataFrame, degree: int) -> DataFrame:
+    """``edges`` with ``m`` of their ``a`` from ``least(a, m, n)``; edges of hubs, n > ``degree``, aren't shuffled."""
+    hubs = F.broadcast(least.where(F.col("n") > degree).select("a", "m"))  # at most the number of edges by ``degree``
+    rest = least.where(F.col("n") <= degree).select("a", "m")
+    return edges.join(hubs, "a", "left_anti").join(rest, "a").unionByName(edges.join(hubs, "a"))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, component)`` for every node of ``edges``; component is its least node.
 
     Alternates the large-star and small-star rewrites until the edges are
     stars around each component's least node.  A round is two joins of the
-    edges with one minimum per node; edges never exceed their first number,
-    nothing is gathered per node, and a hub's edges may be split by AQE.
-    Each round is written to shared storage.
+    edges with one minimum per node; edges never exceed their first number
+    and nothing is gathered per node.  Nodes with so many edges that at
+    most ``HUBS`` can exist, by the number of edges, get their minimum by
+    broadcast, so a hub's edges stay where they lie.  Each round is written
+    to shared storage and replaces the one before.
     """
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct()
     e = materialise(e, "edges")
     before = None
     while True:
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == before or not now[0]:
+            return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
+                e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+            )
+        before, degree = now, max(LEAST_DEGREE, 2 * now[0] // HUBS)
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
         # large star: every larger neighbour goes to the least of the neighbourhood
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = _met(both.where("b > a"), least, degree).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
+        least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         # small star: smaller neighbours and the node itself go to the least
-        small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = _met(down, least, degree).select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        e = materialise(small, "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
-                e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-            )
-        before = now
+        old, e = e, materialise(small, "edges")
+        discard(old)
 
 
 def sha256_hex(c: Column) -> Column:

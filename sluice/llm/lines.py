@@ -1,59 +1,66 @@
-"""Fuzzy line duplicates: SimHash blocks, edit similarity, one line kept per group.
+"""Fuzzy line duplicates: SimHash and word blocks, edit similarity, one line kept per group.
 
 Lines are normalised to their lower-case words.  Lines with equal words
-are one; the others meet where a block of their SimHash is equal, and the
-nearest of those are verified by the edit similarity of their word
-sequences.  That joins most of them cheaply but not all, so lines in
-different groups then meet where they share one of their rarest words,
-which all similar lines do, and what passes there joins the groups.  The
-first line of each connected group stays.
+are one.  Candidates come from two pigeonhole joins.  Lines whose 64-bit
+SimHashes differ in at most ``RADIUS`` bits agree on all but as many of
+their blocks of bits; that finds most copies, but a fifth of the words
+may turn 13 bits of 64, where blocks of bits rule nothing out.  So the
+blocks of the second join are made of words.  Short lines meet in pairs of
+their rarest words, of which every similar line shares one.  In longer ones
+they are runs of words: an edit touches at most as many of a line's runs
+as these have words, and the runs left over are met through those whose
+hash lies below a rate that follows from their number.
+Every candidate is verified by the edit similarity of the word sequences,
+and the first line of each connected group stays.
 """
 
 from __future__ import annotations
 
-from itertools import chain, repeat
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import bit_distance, cross_links, near_edges, parities, tokens
-from .common import arrow_rows, connected_components, materialise
-from .text import lower_words
+from . import blocks
+from .common import connected_components, discard, materialise, unused_name
+from .simhash import links as simhash_links
+from .text import Tokens, mixed, sequence_hashes
 
 #: Least edit similarity of words, least words of a line that may go.
 SIMILARITY, LEAST_WORDS = 0.8, 3
-#: Blocks of 16 bits, and the most differing bits of a candidate: the angle at a word overlap of 0.8.
-BLOCKS, LIMIT = 8, 26
-#: Words that are worked on together.
-WORDS, VOTES = 65_536, 1024
-#: Lines that word counts are taken from, and the counters (a power of two); they order the words, no result depends on them.
-COUNTED, COUNTERS = 20_000, 1 << 20
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def simhashes(lines: list[list[bytes]]) -> list[bytes]:
-    """128 majority bits of each line's word hashes, as eight 16-bit blocks; no line is empty.
-
-    A word counts as often as it occurs, times its length squared: short
-    words are common to all lines and would draw unrelated ones together.
+#: Bits of SimHash within which blocks of bits find every pair, and lines of an average shard.
+RADIUS, SHARD = 3, 64
+#: Chance at most that a pair at the least similarity meets in no run, its edits spread so as to spare as few runs as they can.
+MISSED = 0.005
+#: Words of a pair's longer line from which pairs meet in runs; shorter ones meet, every one of them, in pairs of rare words.
+SHORT = 20
+#: Words of a run at least and at most; a run grows while more than ``COMMON`` lines may be expected to hold it.
+RUN, LONGEST_RUN, COMMON = 3, 6, 16.0
+#: Counters of word frequencies (a power of two).
+COUNTERS = 1 << 15
+#: Rows of documents that are worked on at once.
+BATCH = 256
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+_EDGE = np.uint64(0x5851F42D4C957F2D)
+_MIX = np.uint64(0xD1342543DE82EF95)
+
+
+def simhashes(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64 majority bits of each line's word hashes; no line is empty.
+
+    Eight bits are counted at once, a byte each, over at most 255 words.
     """
-    words = list(chain.from_iterable(lines))
-    low = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(7)), np.uint64, len(words))
-    weight = np.square(np.fromiter(map(len, words), np.int64, len(words)))
-    if len(words) and weight.max() * VOTES < 2**31:
-        weight = weight.astype(np.int32)
-    starts = np.cumsum([0, *map(len, lines)])[:-1]
-    sums = np.zeros((len(lines), 128), np.int64)
-    for at in range(0, len(words), VOTES):
-        part = low[at : at + VOTES]
-        first, past = np.searchsorted(starts, at, "right") - 1, np.searchsorted(starts, at + VOTES)
-        both = np.column_stack([part, (part ^ (part >> np.uint64(29))) * _MIX]).view(np.uint8)
-        votes = (2 * np.unpackbits(both, axis=1, bitorder="little").view(np.int8) - 1) * weight[at : at + VOTES, None]
-        sums[first:past] += np.add.reduceat(votes, np.maximum(starts[first:past] - at, 0), axis=0)
-    return [row.tobytes() for row in np.packbits(sums > 0, axis=1, bitorder="little")]
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    parts = -(-sizes // 255)
+    first = np.cumsum(parts) - parts
+    at = np.repeat(starts, parts) + 255 * (np.arange(parts.sum()) - np.repeat(first, parts))
+    octets = np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)
+    counts = np.column_stack([np.add.reduceat(_SPREAD[octets[:, k]], at) for k in range(8)])
+    counts = np.add.reduceat(counts.view(np.uint8).reshape(len(at), 64).astype(np.int64), first, axis=0)
+    return np.packbits(2 * counts > sizes[:, None], axis=1, bitorder="little").view("<i8")[:, 0]
 
 
 def edit_distance(a: list, b: list) -> int:
@@ -90,99 +97,210 @@ def edit_distance(a: list, b: list) -> int:
     return score
 
 
-def packed_words(lines: list[list[bytes]]) -> list[bytes]:
-    """Each line's word sequence as 24-bit word hashes: what two lines are compared by."""
-    ends = np.cumsum([0, *map(len, lines)]).tolist()
-    values = np.fromiter(map(xxhash.xxh32_intdigest, chain.from_iterable(lines)), np.uint32, ends[-1])
-    packed = values.view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
-    return [packed[3 * a : 3 * b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-
-
-def similar(a: bytes, b: bytes, least: float) -> bool:
-    """Whether ``similarity`` is at least ``least``; most that fail do so by the words they lack."""
-    x, y = ({line[k : k + 3] for k in range(0, len(line), 3)} for line in (a, b))
-    edits = int(most_edits(max(len(a), len(b)) // 3, least))
-    return len(x - y) <= edits and len(y - x) <= edits and similarity(a, b) >= least
+def words_of(line: bytes) -> list[int]:
+    return np.frombuffer(line, "<u4").tolist()
 
 
 def similarity(a: bytes, b: bytes) -> float:
-    """Edit similarity, in words, of two lines from ``packed_words``."""
-    x, y = ([line[k : k + 3] for k in range(0, len(line), 3)] for line in (a, b))
+    """Edit similarity, in words, of two lines of packed 32-bit word hashes."""
+    x, y = words_of(a), words_of(b)
     longest = max(len(x), len(y))
     return 1 - edit_distance(x, y) / longest if longest else 1.0
 
 
-def most_edits(longest: np.ndarray, least_similarity: float) -> np.ndarray:
-    """Edits that may part two similar lines, the longer one of ``longest`` words."""
-    return np.floor((1 - least_similarity) * longest + 1e-9).astype(np.int64)
+def similar(a: bytes, b: bytes, least: float) -> bool:
+    """Whether ``similarity`` is at least ``least``; most that fail do so by the words they lack."""
+    edits = int(most_edits(max(len(a), len(b)) // 4, least))
+    x, y = words_of(a), words_of(b)
+    if abs(len(x) - len(y)) > edits:
+        return False
+    own, other = set(x), set(y)
+    return len(own - other) <= edits and len(other - own) <= edits and edit_distance(x, y) <= edits
 
 
-def word_counts(said: list[bytes]) -> np.ndarray:
-    """How often each counter's words occur, up to 65,535."""
-    _, words, _, _ = tokens(said)
-    return np.minimum(np.bincount(words % COUNTERS, minlength=COUNTERS), 65_535).astype(np.uint16)
+def most_edits(longest, least_similarity: float) -> np.ndarray:
+    """Edits that may part two similar lines, the longer one of ``longest`` words."""
+    return np.floor((1 - least_similarity) * longest + 1e-9).astype(np.int64)
 
 
-def rare_words(said: list[bytes], counts: np.ndarray, least_similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(line, key)`` of the rarest words of each line, and the lines' sizes and parities.
+def run_keys(values: np.ndarray, sizes: np.ndarray, common: np.ndarray, least_similarity: float = SIMILARITY, missed: float = MISSED, short: int = SHORT) -> tuple[np.ndarray, np.ndarray]:
+    """``(line, key)`` of the runs by which similar lines meet, once each, where the longer one has ``short`` words or more.
 
-    Of two similar lines the longer one's words, but for ``most_edits`` of
-    them, are in the other too, repeats counted.  So the first common word
-    in any one order of all words is among the first ``most_edits`` + 1 of
-    both.
+    ``common`` holds, for each counter, the logarithm of a word's share of
+    all words, plus one ``RUN``-th of the logarithm of the number of lines
+    over ``COMMON``; a run whose words' sum is positive grows by the next
+    word.  A line of n words has n runs of ``RUN`` words, with a mark at
+    either end.  An edit touches at most as many as they are long.  With
+    the edits allowed that leaves s of them, and each is taken at the rate
+    1 - ``missed`` ** (1 / s).  n is rounded up to the lengths at which one
+    more edit is allowed, so that the longer line, whose rate is lower,
+    takes no run that the shorter one doesn't.
+    """
+    unit = 1 / (1 - least_similarity) if least_similarity < 1 else np.inf
+    wide = np.zeros(len(values) + 2 * len(sizes) + LONGEST_RUN, np.uint64)
+    line = np.repeat(np.arange(len(sizes)), sizes)
+    begin = np.cumsum(sizes + 2) - sizes - 2
+    spot = np.arange(len(values)) + 2 * line + 1
+    wide[begin], wide[begin + sizes + 1] = _EDGE, _EDGE
+    wide[spot] = values
+    weight = np.full(len(wide), common[-1], np.float32)
+    weight[spot] = common[values & np.uint64(COUNTERS - 1)]
+    at, past = spot - 1, np.repeat(begin + sizes + 2, sizes)
+    key, heavy = np.zeros(len(at), np.uint64), np.zeros(len(at), np.float32)
+    for k in range(RUN):
+        key = key * _MIX + wide[at + k]
+        heavy += weight[at + k]
+    length = np.full(len(at), RUN, np.int64)
+    hot = np.flatnonzero(heavy > 0)
+    for k in range(RUN, LONGEST_RUN):
+        hot = hot[at[hot] + k < past[hot]]
+        key[hot] = key[hot] * _MIX + wide[at[hot] + k]
+        length[hot] += 1
+        # the constant is in RUN of the weights only: a further word adds its share alone
+        heavy[hot] += weight[at[hot] + k] - common[-1]
+        hot = hot[heavy[hot] > 0]
+    if len(sizes):
+        mean = np.add.reduceat(length, np.cumsum(sizes) - sizes) / sizes
+        whole = unit * np.ceil(sizes / unit) if np.isfinite(unit) else sizes.astype(float)
+        spared = np.maximum(whole * (1 - mean * (1 - least_similarity)), 1)
+        rate = 1 - missed ** (1 / spared)
+        rate[np.floor(sizes / least_similarity + 1e-9) < short] = 0
+    else:
+        rate = np.zeros(0)
+    key = mixed(key + length.astype(np.uint64))
+    take = np.flatnonzero((key >> np.uint64(11)).astype(np.float64) < (rate * 2.0**53)[line])
+    # a second scrambling, since what is taken is small
+    return _once(line[take], mixed(key[take] ^ _EDGE).view(np.int64))
+
+
+def _once(line: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((key, line))
+    key, line = key[order], line[order]
+    first = np.ones(len(key), bool)
+    first[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
+    return line[first], key[first]
+
+
+def rare_pairs(values: np.ndarray, sizes: np.ndarray, common: np.ndarray, least_similarity: float = SIMILARITY, short: int = SHORT) -> tuple[np.ndarray, np.ndarray]:
+    """``(line, key)`` of the pairs of rare words by which all similar lines of under ``short`` words meet.
+
+    At most e words of either line, e edits being allowed to one of its
+    length, are not in the other, repeats counted.  So in any one order of
+    all words, here the rare ones first, the first two common words are
+    among the first e + 2 of both.
     """
-    members, words, of, n = tokens(said)
-    order = counts[words % COUNTERS].astype(np.uint64)
-    keys = np.sort(of.astype(np.uint64) << np.uint64(48) | order << np.uint64(32) | members >> np.uint64(32)) & np.uint64(0xFFFFFFFF)
-    first = np.repeat(np.cumsum(n) - n, n)
-    take = np.arange(len(keys)) - first <= most_edits(n, least_similarity)[of]
-    return of[take], keys[take].astype(np.int64), n, parities(members, n, 2)
-
-
-def _lines(docs: DataFrame, least_words: int, made: str, make) -> DataFrame:
-    """``(doc_id, line, uid, <made>)`` of every line of at least ``least_words`` words; equal words, equal uid; ``make`` is for many lines."""
-
-    def rows(ids, texts):
-        held, places, size = [], [], 0
-        for i, t in zip(ids, texts, strict=True):
-            for k, line in enumerate((t or "").split("\n")):
-                words = lower_words(line)
-                if len(words) >= least_words:
-                    held.append(words)
-                    places.append((i, k, xxhash.xxh64_intdigest(b" ".join(words)) - 2**63))
-                    size += len(words)
-            if size > WORDS:
-                yield from ((*p, m) for p, m in zip(places, make(held), strict=True))
-                held, places, size = [], [], 0
-        if held:
-            yield from ((*p, m) for p, m in zip(places, make(held), strict=True))
+    own = np.flatnonzero((sizes < short) & (most_edits(np.floor(sizes / least_similarity + 1e-9), least_similarity) > 0))
+    mask = np.zeros(len(sizes), bool)
+    mask[own] = True
+    values, n = values[np.repeat(mask, sizes)], sizes[own]
+    line = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((values, common[values & np.uint64(COUNTERS - 1)], line))
+    values = values[order]
+    place = np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)
+    again = np.zeros(len(values), np.int64)
+    again[1:] = np.cumsum((values[1:] == values[:-1]) & (line[1:] == line[:-1]))
+    again -= np.maximum.accumulate(np.where(np.append(True, (values[1:] != values[:-1]) | (line[1:] != line[:-1]))[: len(values)], again, 0))
+    word = mixed(values ^ again.astype(np.uint64) << np.uint64(40))
+    last = (most_edits(n, least_similarity) + 1)[line]
+    lines_, keys_ = [], []
+    for d in range(1, int(last.max(initial=0)) + 1):
+        i = np.flatnonzero((place + d <= last) & (place + d < n[line]))
+        lines_.append(own[line[i]])
+        keys_.append(mixed(word[i] * _MIX + word[i + d]).view(np.int64))
+    return _once(np.concatenate(lines_), np.concatenate(keys_)) if lines_ else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _lines(docs: DataFrame, least_words: int) -> DataFrame:
+    """``(doc_id, line, uid, fp, said)`` of every line of at least ``least_words`` words.
+
+    Equal words, equal ``uid``; ``said`` are the packed word hashes, null
+    where the task has given them for the ``uid`` already.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[int] = set()
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                t = Tokens(part.column(1).to_pylist())
+                sizes = np.diff(t.line_at)
+                chosen = np.flatnonzero(sizes >= max(least_words, 1))
+                if not len(chosen):
+                    continue
+                hashes, sizes = t.hashes[np.repeat(sizes >= max(least_words, 1), sizes)], sizes[chosen]
+                starts = np.cumsum(sizes) - sizes
+                doc = np.searchsorted(t.first_line, chosen, "right") - 1
+                uid = sequence_hashes(hashes, starts, sizes).view(np.int64)
+                fresh = np.zeros(len(uid), bool)
+                for k, u in enumerate(uid.tolist()):
+                    if u not in given:
+                        given.add(u)
+                        fresh[k] = True
+                if len(given) > 1_000_000:  # bounds memory; a line given twice costs time only
+                    given.clear()
+                said = blocks.packed_slices((hashes >> np.uint64(32)).astype("<u4"), sizes)
+                fp = simhashes(hashes, starts, sizes)
+                columns = [part.column(0).take(pa.array(doc)), pa.array((chosen - t.first_line[doc]).astype(np.int32)), pa.array(uid), pa.array(fp)]
+                said = said.take(pa.array(np.where(fresh, np.arange(len(uid)), -1), mask=~fresh))
+                yield pa.RecordBatch.from_arrays([*columns, said], names=["doc_id", "line", "uid", "fp", "said"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    known = docs.where("doc_id is not null")
-    return arrow_rows(known, ["doc_id", "text"], f"doc_id {kind}, line int, uid long, {made} binary", rows, rows_per_batch=512)
+    known = docs.where("doc_id is not null").select("doc_id", "text")
+    return known.mapInArrow(run, f"doc_id {kind}, line int, uid long, fp long, said binary")
 
 
-def _missed(placed: DataFrame, said: DataFrame, least_similarity: float) -> DataFrame:
-    """Links between the components of ``placed(uid, component, said)`` that similar lines of two components make."""
-    some = word_counts([r.said for r in said.select("said").limit(COUNTED).collect()])
-    counts = placed.sparkSession.sparkContext.broadcast(some)
+def common_words(said: DataFrame) -> tuple[np.ndarray, int, int]:
+    """What ``run_keys`` asks for, over all lines of ``said``, and the numbers of lines and words."""
 
-    def keys(batches):
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, lines = np.zeros(COUNTERS, np.int64), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                uid, component = (part.column(k).to_numpy() for k in range(2))
-                line, key, n, bits = rare_words(part.column(2).to_pylist(), counts.value, least_similarity)
-                bits = bits.view(np.int64)
-                columns = [key, uid[line], component[line], n[line], bits[line, 0], bits[line, 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "uid", "component", "n", "s0", "s1"])
-
-    def apart(a, b):
+            values, sizes = blocks.unpacked(batch.column(0))
+            total += np.bincount(values & np.uint32(COUNTERS - 1), minlength=COUNTERS)
+            lines += len(sizes)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], lines))], names=["counter", "n"])
+
+    found = said.select("said").mapInArrow(counts, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).collect()  # a row a counter
+    by = {r["counter"]: r["n"] for r in found}
+    lines, words = by.pop(-1, 0), sum(by.values())
+    share = np.zeros(COUNTERS)
+    share[list(by)] = list(by.values())
+    constant = np.log(max(lines, 1) / COMMON) / RUN
+    with np.errstate(divide="ignore"):
+        out = np.log(share / max(words, 1)) + constant
+    return np.append(out, constant).astype(np.float32), lines, words
+
+
+def _apart(least_similarity: float):
+    """The most members by which the word multisets of similar lines of given lengths differ."""
+
+    def bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         longest = np.maximum(a, b)
         return np.minimum(a, b) - longest + 2 * most_edits(longest, least_similarity)
 
-    keyed = placed.mapInArrow(keys, "bucket long, uid long, component long, n long, s0 long, s1 long")
-    return cross_links(keyed, said, apart, lambda x, y: similar(x, y, least_similarity), coarse=f"bucket % {COUNTERS}")
+    return bound
+
+
+def _runs(said: DataFrame, least_similarity: float) -> DataFrame:
+    """Candidates, as ``blocks.candidates`` gives them, among the lines of ``said(uid, said)``."""
+    some, lines, words = common_words(said)
+    common = said.sparkSession.sparkContext.broadcast(some)  # COUNTERS numbers
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                values, n = blocks.unpacked(part.column(1))
+                values = values.astype(np.uint64)
+                line, key = map(np.concatenate, zip(*(make(values, n, common.value, least_similarity) for make in (rare_pairs, run_keys)), strict=True))
+                bits = blocks.parities(values, n)[line]
+                unit = blocks.units(part.column(0).to_numpy()[line], bits, n[line])
+                yield pa.RecordBatch.from_arrays([pa.array(key), unit], names=["bucket", "unit"])
+
+    keyed = said.mapInArrow(keys, blocks.KEYED)
+    sampled = said.where(F.pmod(F.xxhash64("uid"), F.lit(blocks.SAMPLED)) == 0).mapInArrow(keys, blocks.KEYED)
+    return blocks.candidates(keyed, sampled, _apart(least_similarity), 12 * lines)
 
 
 def groups(docs: DataFrame, least_similarity: float = SIMILARITY, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -190,29 +308,32 @@ def groups(docs: DataFrame, least_similarity: float = SIMILARITY, least_words: i
 
     ``first_*`` name the group's first line by document id, then number,
     which is the one kept.  Shorter lines are never grouped.  Null and empty
-    texts have no lines; rows without an id are left alone; rows that repeat
-    an id and a line repeat its answer.  Line numbers start at 0.
+    texts have no lines; very long ones are read whole; rows without an id
+    are left alone; rows that repeat an id and a line repeat its answer.
+    Line numbers start at 0.  Other columns aren't read.
     """
-    seen = materialise(_lines(docs, least_words, "lanes", simhashes), "lines")
+    seen = materialise(_lines(docs, least_words), "lines")
     place = F.struct("doc_id", "line")
-    distinct = materialise(seen.groupBy("uid").agg(F.min(place).alias("first"), F.max("lanes").alias("lanes")), "distinct-lines")
-    edges = materialise(near_edges(distinct, BLOCKS, "<u2", LIMIT, bit_distance), "line-edges")
-    first = distinct.select("uid", "first.doc_id", "first.line")
-    said = _lines(docs, least_words, "said", packed_words).join(first, ["doc_id", "line", "uid"], "left_semi")
-    said = materialise(said.select("uid", "said").dropDuplicates(["uid"]), "line-words")
-    pairs = edges.join(said.select(F.col("uid").alias("a"), F.col("said").alias("x")), "a")
-    pairs = pairs.join(said.select(F.col("uid").alias("b"), F.col("said").alias("y")), "b")
-
-    def verified(a, b, x, y):
-        return ((i, j) for i, j, s, t in zip(a, b, x, y, strict=True) if similarity(s, t) >= least_similarity)
-
-    links = arrow_rows(pairs, ["a", "b", "x", "y"], "a long, b long", verified)
-    members = materialise(connected_components(links).withColumnRenamed("node", "uid"), "near-lines")
-    placed = said.join(members, "uid", "left").select("uid", F.coalesce("component", "uid").alias("component"), "said")
-    joins = connected_components(_missed(placed, said, least_similarity)).select(F.col("node").alias("component"), F.col("component").alias("joined"))
-    named = distinct.select("uid", "first").join(members, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
-    named = named.join(joins, "component", "left").select("uid", "first", F.coalesce("joined", "component").alias("component"))
-    named = materialise(named, "line-groups")
+    distinct = materialise(seen.groupBy("uid").agg(F.min(place).alias("first"), F.max("fp").alias("fp")), "distinct-lines")
+    said = seen.where("said is not null").select("uid", "said")
+
+    by_fp = distinct.groupBy("fp").agg(F.min("uid").alias("head"))
+    near = simhash_links(by_fp.select("fp"), RADIUS, most=SHARD)
+    near = near.join(by_fp.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a")
+    near = near.join(by_fp.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
+    same = distinct.join(by_fp, "fp").where("uid <> head").select(F.col("head").alias("x"), F.col("uid").alias("y"))
+    bits = near.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+    runs = materialise(_runs(said, least_similarity), "line-runs")
+    pairs = materialise(runs.where("a < b").select("a", "b").unionByName(bits).distinct(), "line-pairs")
+    together = runs.where("a = b").select("bucket", "part", F.col("a").alias("uid"))
+    asked = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).union(together.select("uid")).distinct()
+    words = materialise(said.join(asked, "uid", "left_semi").dropDuplicates(["uid"]), "line-words")
+    found = blocks.verified(pairs, together, words, lambda x, y: similar(x, y, least_similarity), _apart(least_similarity))
+    members = connected_components(found).withColumnRenamed("node", "uid")
+
+    named = materialise(distinct.select("uid", "first").join(members, "uid", "left").withColumn("component", F.coalesce("component", "uid")), "line-groups")
+    discard(runs, pairs, words)
     heads = named.groupBy("component").agg(F.min("first").alias("head"))
     by_uid = named.join(heads, "component").select("uid", "head")
     return seen.select("doc_id", "line", "uid").join(by_uid, "uid").select(
@@ -224,14 +345,16 @@ def drop_repeats(docs: DataFrame, least_similarity: float = SIMILARITY, least_wo
     """``docs`` without the lines that repeat an earlier one; columns unchanged.
 
     A document that loses lines and has no words left goes.  ``n_chars``,
-    where there is one, follows the new text.
+    where there is one, follows the new text.  Rows that repeat an id lose
+    the same lines.
     """
+    name = unused_name(docs.columns, "gone")
     repeats = groups(docs, least_similarity, least_words).where("not kept")
-    gone = repeats.groupBy("doc_id").agg(F.collect_set("line").alias("__gone"))  # at most a document's own lines
+    gone = repeats.groupBy("doc_id").agg(F.collect_set("line").alias(name))  # at most a document's own lines
     joined = docs.join(gone, "doc_id", "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("__gone"), i))
-    joined = joined.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-    out = joined.where(F.col("__gone").isNull() | F.col("text").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"))
+    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col(name), i))
+    joined = joined.withColumn("text", F.when(F.col(name).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+    out = joined.where(F.col(name).isNull() | F.col("text").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col(name).isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -7,19 +7,23 @@ distances to the vantage that differ by at most ``radius``, so a shell of
 points only has to meet the shells that overlap its boundary.
 
 On 64-bit fingerprints of unrelated texts those distances crowd around 32
-with a deviation of 4, and a tree over the whole distance prunes next to
-nothing at radius 4.  The top of the tree therefore measures distance on a
-block of the bits: ``radius + 1`` blocks give as many trees, each with the
-block's values as vantage points.  Two fingerprints within ``radius`` have
-distance zero on at least one block, so in one of the trees they lie in
-the same innermost shell, which is the shard.  Within a shard the tree
-goes on over the whole distance.
+with a deviation of 4, and a tree over the whole distance alone visits some
+0.8 of a node's pairs at each level at radius 4.  The top of the tree
+therefore measures distance on blocks of the bits: of n even blocks at
+least n - ``radius`` are equal in a linked pair, so for each choice of n -
+``radius`` blocks there is a tree whose vantage points are the values of
+those bits, and the pair is at distance zero, in the same shard, in one of
+them.  n follows the number of fingerprints, so shards don't grow with it.
+Within a shard a tree over the whole distance goes on, node by node, with
+boundary-overlapping parts compared across.
 
 A shard returns a spanning forest of its links, not its pairs.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, connected_components, materialise, sorted_groups
+from .blocks import pairs_within
+from .common import arrow_rows, connected_components, discard, materialise, sorted_groups
 
 RADIUS = 4
 SHINGLE = 4
-#: Most fingerprints that one task compares at once; larger shards are dealt out as pairs of blocks.
-BLOCK = 4096
+#: Fingerprints that one task compares at once at most (larger shards are dealt out as pairs of blocks),
+#: those of an average shard, and of one that is compared without a tree.
+BLOCK, SHARD, SMALL = 4096, 256, 32
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -69,75 +75,75 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
     return arrow_rows(docs, [id_col, text_col], f"{id_col} {id_type}, fp long", rows)
 
 
-class _Forest:
-    """Union-find over positions; remembers the unions as edges."""
+class _Groups:
+    """Groups of positions as labels; remembers the joins as edges."""
 
     def __init__(self, n: int):
-        self.up = list(range(n))
+        self.label = np.arange(n)
         self.edges: list[tuple[int, int]] = []
 
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = x = self.up[self.up[x]]
-        return x
-
-    def join(self, x: int, y: int) -> None:
-        rx, ry = self.root(x), self.root(y)
-        if rx != ry:
-            self.up[ry] = rx
+    def join(self, x: int, others: np.ndarray) -> None:
+        label = self.label
+        others = others[label[others] != label[x]]
+        while len(others):
+            y = int(others[0])
             self.edges.append((x, y))
+            label[label == label[y]] = label[x]
+            others = others[label[others] != label[x]]
 
 
-def _near(forest: _Forest, fp: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int, rows: int = 256) -> None:
+def _compare(groups: _Groups, fp: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int, rows: int = 256) -> None:
     for at in range(0, len(left), rows):
         part = left[at : at + rows]
-        i, j = np.nonzero(np.bitwise_count(fp[part][:, None] ^ fp[right][None, :]) <= radius)
-        a, b = part[i], right[j]
-        keep = a != b
-        # of a row's partners only those not yet in its tree matter
-        for x, y in set(zip(a[keep].tolist(), b[keep].tolist(), strict=True)) if keep.any() else ():
-            forest.join(x, y)
+        near = np.bitwise_count(fp[part][:, None] ^ fp[right][None, :]) <= radius
+        for i in np.flatnonzero(near.any(axis=1)).tolist():
+            groups.join(int(part[i]), right[near[i]])
 
 
-def shard_forest(fp: np.ndarray, side: np.ndarray | None, radius: int, leaf: int = 192) -> list[tuple[int, int]]:
-    """Positions joined by a spanning forest of the links among ``fp``.
+def tree_links(fp: np.ndarray, radius: int, other: np.ndarray | None = None, leaf: int = 64) -> tuple[list[tuple[int, int]], int]:
+    """Positions joined by a spanning forest of the links among ``fp``, and the depth of the tree.
 
-    ``side`` (0 or 1) restricts the links to those between the two sides.
-    A vantage point's ball of radius ``radius`` is linked to it at once.
-    Shells of equal distance then meet only shells within ``radius``.
+    With ``other`` the links are those between the two; positions of
+    ``other`` count on from those of ``fp``.  A node's vantage point parts
+    its points at the median distance.  Either side is a child, and a third
+    one compares the points of the two that lie within ``radius`` of the
+    boundary; what is farther from it needs no comparison.
     """
-    forest = _Forest(len(fp))
-    stack = [np.arange(len(fp))]
+    n = len(fp)
+    fp = fp if other is None else np.concatenate([fp, other])
+    groups, depth = _Groups(len(fp)), 0
+    stack = [(np.arange(n), None if other is None else np.arange(n, len(fp)), 1)]
     while stack:
-        at = stack.pop()
-        if len(at) < 2:
+        left, right, level = stack.pop()
+        if not len(left) or right is not None and not len(right) or right is None and len(left) < 2:
             continue
-        if len(at) <= leaf:
-            _pairs(forest, fp, side, at, at, radius)
+        depth = max(depth, level)
+        if len(left) * len(left if right is None else right) <= leaf * leaf:
+            _compare(groups, fp, left, left if right is None else right, radius)
             continue
-        vantage = at[0]
-        d = np.bitwise_count(fp[at] ^ fp[vantage]).astype(np.int64)
-        order = np.argsort(d, kind="stable")
-        at, d = at[order], d[order]
-        bounds = np.searchsorted(d, np.arange(66))
-        if d[-1] <= radius // 2 and side is None:
-            # any two points of this ball are within the radius of each other
-            for x in at[1:].tolist():
-                forest.join(int(vantage), x)
+        vantage = fp[left[0]]
+        d = np.bitwise_count(fp[left] ^ vantage).astype(np.int16)
+        e = d if right is None else np.bitwise_count(fp[right] ^ vantage).astype(np.int16)
+        if right is None and d.max() <= radius // 2:  # any two of this ball are linked
+            groups.join(int(left[0]), left)
             continue
-        for shell in range(65):
-            own = at[bounds[shell] : bounds[shell + 1]]
-            if len(own):
-                _pairs(forest, fp, side, own, at[bounds[shell] : bounds[min(65, shell + radius + 1)]], radius)
-    return forest.edges
-
-
-def _pairs(forest: _Forest, fp: np.ndarray, side: np.ndarray | None, left: np.ndarray, right: np.ndarray, radius: int) -> None:
-    if side is None:
-        _near(forest, fp, left, right, radius)
-    else:
-        for s in (0, 1):
-            _near(forest, fp, left[side[left] == s], right[side[right] != s], radius)
+        middle = int(np.median(d if right is None else np.concatenate([d, e])))
+        middle = min(middle, int(max(d.max(), e.max())) - 1)
+        if (d > middle).all() and (e > middle).all():  # all at one distance: nothing to part by
+            _compare(groups, fp, left, left if right is None else right, radius)
+            continue
+        inner, outer, near_in, near_out = d <= middle, d > middle, (d <= middle) & (d > middle - radius), (d > middle) & (d <= middle + radius)
+        if right is None:
+            stack += [(left[inner], None, level + 1), (left[outer], None, level + 1), (left[near_in], left[near_out], level + 1)]
+            continue
+        halves = [(inner, e <= middle), (outer, e > middle)]
+        halves += [(near_in, (e > middle) & (e <= middle + radius)), (near_out, (e <= middle) & (e > middle - radius))]
+        for x, y in halves:
+            if x.all() and y.all():  # the boundary parts nothing off
+                _compare(groups, fp, left, right, radius)
+            else:
+                stack.append((left[x], right[y], level + 1))
+    return groups.edges, depth
 
 
 def block_key(fp, block: int, blocks: int):
@@ -146,43 +152,67 @@ def block_key(fp, block: int, blocks: int):
     return F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << (high - low)) - 1))
 
 
-def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+def shard_blocks(count: int, radius: int, most: int = SHARD) -> int:
+    """The number of even blocks by which ``count`` fingerprints fall into shards of ``most`` on average.
+
+    Of n blocks ``radius`` bits spoil at most ``radius``; the other n -
+    ``radius`` agree, and every choice of as many is a tree of its own.
+    """
+    n = radius + 1
+    while n < radius + 6 and count > most * 2 ** (64 * (n - radius) // n):
+        n += 1
+    return n
+
+
+def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK, most: int = SHARD) -> DataFrame:
     """Edges ``(a, b)`` whose components are those of all pairs within ``radius`` bits.
 
-    ``fps`` has distinct values in ``fp``.
+    ``fps`` has distinct values in ``fp``.  A shard above ``block`` is dealt
+    out as all pairs (i <= j) of its blocks.
     """
-    blocks = radius + 1
-    keyed = fps.select(
-        "fp",
-        F.posexplode(F.array(*(block_key(F.col("fp"), i, blocks) for i in range(blocks)))).alias("tree", "shard"),
-    )
-    # A shard above the bound is dealt out as all pairs (i <= j) of its blocks.
-    sizes = keyed.groupBy("tree", "shard").count().where("count > 1")
-    parts = keyed.join(sizes.withColumn("parts", F.ceil(F.col("count") / block).cast("int")), ["tree", "shard"])
-    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    dealt = (
-        parts.withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("tree", "shard", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp")
-    )
+    n = shard_blocks(fps.count(), radius, most)
+    keys = [
+        functools.reduce(lambda x, y: x * F.lit(1 << -(-64 // n)) + y, [block_key(F.col("fp"), i, n) for i in chosen])
+        for chosen in itertools.combinations(range(n), n - radius)
+    ]
+    keyed = fps.select("fp", F.posexplode(F.array(*keys)).alias("tree", "shard"))
+    sizes = keyed.groupBy("tree", "shard").count().where(F.col("count") > block)
+    sizes = materialise(sizes.select("tree", "shard", F.ceil(F.col("count") / block).cast("int").alias("parts")), "hot-shards")
+    if sizes.isEmpty():
+        dealt = keyed.select("tree", "shard", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("own"), "fp")
+    else:
+        parts = keyed.join(sizes, ["tree", "shard"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+        dealt = parts.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        dealt = dealt.select("tree", "shard", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for groups in sorted_groups(batches, 4):
-            cols = [groups.column(k).to_numpy() for k in range(6)]
-            change = np.zeros(groups.num_rows, bool)
-            change[0] = True
-            for k in cols[:4]:
+        for shards in sorted_groups(batches, 4):
+            tree, shard, i, j, own, raw = (shards.column(k).to_numpy() for k in range(6))
+            change = np.zeros(len(raw), np.int64)
+            for k in (tree, shard, i, j):
                 change[1:] |= k[1:] != k[:-1]
-            starts = np.append(np.flatnonzero(change), groups.num_rows)
-            fp, a, b = cols[5].view(np.uint64), [], []
-            for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                if e - s > 1:
-                    side = None if cols[2][s] == cols[3][s] else (cols[4][s:e] == cols[3][s]).astype(np.int8)
-                    for x, y in shard_forest(fp[s:e], side, radius):
-                        a.append(s + x)
-                        b.append(s + y)
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(cols[5][a]), pa.array(cols[5][b])], names=["a", "b"])
+            group, fp = np.cumsum(change), raw.view(np.uint64)
+            starts = np.append(np.flatnonzero(np.append(1, change[1:])), len(raw))
+            small = (np.diff(starts) <= SMALL)[group] & (i == j)
+            a, b = [], []
+            spot = np.flatnonzero(small)
+            for x, y in pairs_within(group[spot]):
+                near = np.bitwise_count(fp[spot[x]] ^ fp[spot[y]]) <= radius
+                a.append(spot[x[near]])
+                b.append(spot[y[near]])
+            for g in np.flatnonzero(~small[starts[:-1]]).tolist():
+                s, e = int(starts[g]), int(starts[g + 1])
+                at = np.arange(s, e)
+                one, two = (at, None) if i[s] == j[s] else (at[own[s:e] == i[s]], at[own[s:e] == j[s]])
+                found, _ = tree_links(fp[one], radius, None if two is None else fp[two])
+                if found:
+                    x, y = np.array(found).T
+                    at = one if two is None else np.concatenate([one, two])
+                    a.append(at[x])
+                    b.append(at[y])
+            if sum(map(len, a)):
+                yield pa.RecordBatch.from_arrays([pa.array(raw[np.concatenate(a)]), pa.array(raw[np.concatenate(b)])], names=["a", "b"])
 
     return (
         dealt.repartition("tree", "shard", "i", "j")
@@ -206,7 +236,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     linked = distinct.join(members.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "component", F.coalesce("component", "fp")
     )
-    linked = materialise(linked, "linked")
+    linked = materialise(linked, "linked-fingerprints")
     names = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     by_fp = linked.join(names, "component").select("fp", "component_id")
     return fps.join(by_fp, "fp").select(id_col, "fp", "component_id")
