@@ -22,10 +22,12 @@ from .common import arrow_rows, materialise, sorted_groups
 BLOCK, SMALL = 2048, 32
 #: Bucket rows of a partition, and the share of units by which hot buckets are found.
 ROWS, SAMPLED = 400_000, 16
-#: Parities a unit carries: columns of 64 bits.
+#: Parities a unit carries: columns of 32 bits.
 PARITIES = 3
 #: What a bucket row carries besides its bucket: one binary value, which costs Spark less than as many columns.
-UNIT = np.dtype([("uid", "<i8"), ("bits", "<u8", PARITIES), ("n", "<i4")])
+UNIT = np.dtype([("uid", "<i8"), ("bits", "<u4", PARITIES), ("n", "<u2")])
+#: The greatest size that fits; such units are never ruled out by size or parities.
+HUGE = 2**16 - 1
 KEYED = "bucket long, unit binary"
 
 
@@ -53,23 +55,23 @@ def unpacked(said: pa.Array, kind: str | np.dtype = "<u4") -> tuple[np.ndarray,
 
 def units(uid: np.ndarray, bits: np.ndarray, n: np.ndarray) -> pa.Array:
     made = np.empty(len(uid), UNIT)
-    made["uid"], made["bits"], made["n"] = uid, bits, n
+    made["uid"], made["bits"], made["n"] = uid, bits, np.minimum(n, HUGE)
     return packed_slices(made, np.ones(len(uid), np.int64))
 
 
 def parities(values: np.ndarray, sizes: np.ndarray, columns: int = PARITIES) -> np.ndarray:
-    """Of each run of 32-bit hashes, how often each of 64 x ``columns`` bits is drawn, modulo 2.
+    """Of each run of 32-bit hashes, how often each of 32 x ``columns`` bits is drawn, modulo 2.
 
     Two differ in no more bits than the runs, as multisets, in members.
     """
-    out = np.zeros((len(sizes), columns), np.uint64)
+    out = np.zeros((len(sizes), columns), np.uint32)
     some = np.flatnonzero(sizes)
     if len(some):
         starts = (np.cumsum(sizes) - sizes)[some]
-        values = values.astype(np.uint64)
-        bit, column = np.uint64(1) << (values & np.uint64(63)), (values >> np.uint64(6)) % np.uint64(columns)
+        values = values.astype(np.uint32)
+        bit, column = np.uint32(1) << (values & np.uint32(31)), (values >> np.uint32(5)) % np.uint32(columns)
         for c in range(columns):
-            out[some, c] = np.bitwise_xor.reduceat(np.where(column == c, bit, np.uint64(0)), starts)
+            out[some, c] = np.bitwise_xor.reduceat(np.where(column == c, bit, np.uint32(0)), starts)
     return out
 
 
@@ -137,7 +139,7 @@ def candidates(keyed: DataFrame, sampled: DataFrame, apart: Callable[[np.ndarray
             differ = np.bitwise_count(bits[0][i] ^ bits[0][j]).astype(np.int16)
             for b in bits[1:]:
                 differ += np.bitwise_count(b[i] ^ b[j])
-            hit = np.flatnonzero((differ <= most) & (uid[i] != uid[j]))
+            hit = np.flatnonzero(((differ <= most) | (np.maximum(n[i], n[j]) == HUGE)) & (uid[i] != uid[j]))
             i, j = i[hit], j[hit]
             two = small[i]
             found.append(np.column_stack([np.minimum(uid[i[two]], uid[j[two]]), np.maximum(uid[i[two]], uid[j[two]])]))
@@ -175,7 +177,7 @@ def verified(
         for rows in sorted_groups(batches, 2):
             uid, words = rows.column(2).to_numpy(), rows.column(3).to_pylist()
             values, n = unpacked(rows.column(3))
-            bits = parities(values, n, 8)
+            bits = parities(values, n, 16)
             _, group = _groups(rows.column(0).to_numpy(), rows.column(1).to_numpy())
             first, last = np.searchsorted(group, group), np.searchsorted(group, group, "right")
             label, links = np.arange(len(uid)), []

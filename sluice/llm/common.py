@@ -56,6 +56,64 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def one_per_id(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, text)`` without null ids and with the least text of each repeated id."""
+    known = docs.where("doc_id is not null")
+    again = materialise(known.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    if again.isEmpty():
+        return known
+    once = known.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return known.join(again, "doc_id", "left_anti").unionByName(once)
+
+
+def possible_members(df: DataFrame, column: str, ids: DataFrame, most_bits: int = 1 << 28) -> DataFrame:
+    """The rows of ``df`` whose ``column`` (long) may be in ``ids(id long)``: all that are, few others.
+
+    A bitmap of 16 bits an id, ``most_bits`` at most, is put together in
+    Spark and broadcast.  It saves shuffling rows that a semi-join would
+    drop; beyond its size it lets ever more through.
+    """
+    import numpy as np
+
+    chunk = 1 << 15
+    bits = 1 << min(max(int(16 * ids.count()).bit_length(), 15), most_bits.bit_length() - 1)
+
+    def spot(values: np.ndarray) -> np.ndarray:
+        return ((values.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (bits.bit_length() - 1))).astype(np.int64)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(spot(batch.column(0).to_numpy()))
+            for c in np.unique(at // chunk).tolist():
+                own = np.zeros(chunk, bool)
+                own[at[np.searchsorted(at, c * chunk) : np.searchsorted(at, (c + 1) * chunk)] % chunk] = True
+                yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([np.packbits(own).tobytes()])], names=["chunk", "bits"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for c, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = np.frombuffer(b, np.uint8)
+                held[c] = held[c] | own if c in held else own
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([b.tobytes() for b in held.values()])], names=["chunk", "bits"])
+
+    schema = "chunk long, bits binary"
+    merged = ids.select("id").mapInArrow(mark, schema).repartition("chunk").mapInArrow(merge, schema)
+    whole = np.zeros((bits // chunk, chunk // 8), np.uint8)
+    for r in merged.collect():  # most_bits / 8 bytes
+        whole[r["chunk"]] = np.frombuffer(r["bits"], np.uint8)
+    shared = df.sparkSession.sparkContext.broadcast(whole.reshape(-1))
+    where = df.columns.index(column)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = spot(batch.column(where).to_numpy())
+            yield batch.filter(pa.array((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
+
+    return df.mapInArrow(keep, df.schema)
+
+
 def arrow_rows(
     df: DataFrame,
     columns: list[str],

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import connected_components, discard, materialise, unused_name
+from .common import connected_components, discard, materialise, possible_members, unused_name
 from .simhash import links as simhash_links
 from .text import Tokens, mixed, sequence_hashes
 
@@ -33,7 +33,7 @@ SIMILARITY, LEAST_WORDS = 0.8, 3
 #: Bits of SimHash within which blocks of bits find every pair, and lines of an average shard.
 RADIUS, SHARD = 3, 64
 #: Chance at most that a pair at the least similarity meets in no run, its edits spread so as to spare as few runs as they can.
-MISSED = 0.005
+MISSED = 0.01
 #: Words of a pair's longer line from which pairs meet in runs; shorter ones meet, every one of them, in pairs of rare words.
 SHORT = 20
 #: Words of a run at least and at most; a run grows while more than ``COMMON`` lines may be expected to hold it.
@@ -327,13 +327,15 @@ def groups(docs: DataFrame, least_similarity: float = SIMILARITY, least_words: i
     runs = materialise(_runs(said, least_similarity), "line-runs")
     pairs = materialise(runs.where("a < b").select("a", "b").unionByName(bits).distinct(), "line-pairs")
     together = runs.where("a = b").select("bucket", "part", F.col("a").alias("uid"))
-    asked = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).union(together.select("uid")).distinct()
-    words = materialise(said.join(asked, "uid", "left_semi").dropDuplicates(["uid"]), "line-words")
+    asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(together.select("uid")).distinct()
+    asked = materialise(asked, "asked-lines")
+    words = possible_members(said, "uid", asked).join(asked.withColumnRenamed("id", "uid"), "uid", "left_semi")
+    words = materialise(words.dropDuplicates(["uid"]), "line-words")
     found = blocks.verified(pairs, together, words, lambda x, y: similar(x, y, least_similarity), _apart(least_similarity))
     members = connected_components(found).withColumnRenamed("node", "uid")
 
     named = materialise(distinct.select("uid", "first").join(members, "uid", "left").withColumn("component", F.coalesce("component", "uid")), "line-groups")
-    discard(runs, pairs, words)
+    discard(runs, pairs, asked, words)
     heads = named.groupBy("component").agg(F.min("first").alias("head"))
     by_uid = named.join(heads, "component").select("uid", "head")
     return seen.select("doc_id", "line", "uid").join(by_uid, "uid").select(
