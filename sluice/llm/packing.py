@@ -13,6 +13,7 @@ of each class in the order of their ranks.
 
 from __future__ import annotations
 
+import re
 import sys
 import zlib
 from array import array
@@ -30,6 +31,8 @@ UNIT = 8
 END_ID = 1
 #: Fixed value: the pre-token pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Stretches of white space, or of anything else, that the fast encoder is spared.
+LONG_RUN = re.compile(r"\s{2000}|\S{20000}")
 #: Pieces of one class and salt that a single task ranks, on average.
 RANKED_TOGETHER, LEAST_SALTS = 20_000, 64
 
@@ -42,7 +45,9 @@ class Encoder:
     ``path`` is a tokenizer file of the ``tokenizers`` library holding a
     byte-level BPE whose ids follow its merge order.  Its vocabulary is
     loaded by that library; the merging itself runs in ``tiktoken``, which
-    gives the same ids several times as fast.
+    gives the same ids several times as fast.  Its pattern matcher fails on
+    very long stretches of white space and its merging is slow on very long
+    words, so a text with such a stretch is encoded by ``tokenizers``.
     """
 
     def __init__(self, path: str):
@@ -55,7 +60,7 @@ class Encoder:
         assert set(of_char) == set(pre_tokenizers.ByteLevel.alphabet()), "not a byte-level vocabulary"
         ranks = {bytes(map(of_char.__getitem__, t)): i for t, i in loaded.get_vocab(False).items() if t not in special}
         self._merger = Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        self._special = set(special)
+        self._special, self._loaded = set(special), loaded
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -66,6 +71,8 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if LONG_RUN.search(text):
+            return np.array(self._loaded.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         ids = array("I", self._merger.encode(text, allowed_special=self._special, disallowed_special=()))
         return ids.tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
 
@@ -198,7 +205,8 @@ def slots(plan: list[tuple[np.ndarray, int]]) -> dict[int, np.ndarray]:
 def pack(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, unit: int = UNIT) -> DataFrame:
     """Pieces of all rows of ``docs`` with their place: adds ``sequence_id`` and ``offset``.
 
-    Null and empty texts hold the end id alone.  Repeated rows are packed
+    Null and empty texts hold the end id alone; very long ones are cut into
+    as many pieces as they fill.  Repeated rows are packed
     each.  Pieces of a class rank by a hash of their document and start, so
     equal tables pack equally.  An empty table gives no rows.  Only
     ``doc_id`` and ``text`` are read.

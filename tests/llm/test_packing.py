@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from sluice.llm import packing
@@ -24,6 +25,14 @@ def test_encoder_equals_the_tokenizer_on_whole_texts():
         assert np.frombuffer(encoder.encode(t), "<u4").tolist() == want, repr(t)
 
 
+@pytest.mark.parametrize("c", [" ", "\n", "a", "7", "!", "\u00e9", "ab "])
+def test_very_long_stretches(c):
+    plain, encoder = Tokenizer.from_file(PATH), packing.Encoder(PATH)
+    for n in (1999, 2001, 19_990, 200_000):
+        t = "x " + c * n + "y z"
+        assert np.frombuffer(encoder.encode(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
 def test_knapsack_and_plan_against_enumeration():
     rng = np.random.default_rng(2)
     for _ in range(20):
