@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, unused_name
 
 WINDOW = 10
 #: Words of items that one automaton, and so one broadcast, may hold; more items take more passes.
@@ -242,11 +242,12 @@ def report(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame
 
 
 def cut(text: str, runs: list[tuple[int, int]], n_words: int, span_limit: int = SPAN_LIMIT, cover_limit: float = COVER_LIMIT) -> str | None:
-    """The text without runs that exceed ``span_limit`` words; None if hits cover over ``cover_limit`` of it.
+    """The text without runs of more than ``span_limit`` words; None if those cover over ``cover_limit`` of it.
 
-    Items shorter than a window are runs below ``span_limit`` that cover a
-    whole item; they go as well.
+    Shorter runs come from items shorter than a window, phrases that clean
+    texts hold as well: they stay and don't count.
     """
+    runs = [(a, b) for a, b in runs if b - a > span_limit]
     if not runs:
         return text
     if sum(b - a for a, b in runs) > cover_limit * n_words:
@@ -258,31 +259,35 @@ def cut(text: str, runs: list[tuple[int, int]], n_words: int, span_limit: int =
     return "".join([*out, text[done:]])
 
 
-def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` without contaminated spans, and without documents that are mostly such.
+def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, span_limit: int = SPAN_LIMIT, cover_limit: float = COVER_LIMIT) -> DataFrame:
+    """``docs`` without contaminated spans, and without documents that are mostly such; limits as in ``cut``.
 
-    ``n_chars``, where there is one, follows the new text.  Other columns stay.
+    Null and empty texts stay, very long ones are read whole, repeated rows
+    are judged alike, and without items nothing changes.  ``n_chars``, where
+    there is one, follows a changed text.  Other columns stay, whatever
+    their names.
     """
     names = docs.columns
-    found = match(docs, items, window, into=("__word_runs", "__items", "__n_words"))
+    runs_name, items_name, count_name = (unused_name(names, n) for n in ("word_runs", "items", "n_words"))
+    found = match(docs, items, window, into=(runs_name, items_name, count_name))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            runs = batch.column("__word_runs").to_pylist()
+            runs = batch.column(runs_name).to_pylist()
             if not any(runs):
                 yield batch.select(names)
                 continue
-            counts = batch.column("__n_words").to_pylist()
-            texts = [
-                cut(t, [(r["start"], r["end"]) for r in rs], n) if rs else t
-                for t, rs, n in zip(batch.column("text").to_pylist(), runs, counts, strict=True)
-            ]
+            counts, old = batch.column(count_name).to_pylist(), batch.column("text").to_pylist()
+            texts = [cut(t, [(r["start"], r["end"]) for r in rs], n, span_limit, cover_limit) if rs else t for t, rs, n in zip(old, runs, counts, strict=True)]
             keep = [t is not None or not rs for t, rs in zip(texts, runs, strict=True)]
-            columns = [batch.column(n) if n != "text" else pa.array(texts, type=batch.schema.field("text").type) for n in names]
-            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
-
-    out = found.mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+            columns = dict(zip(names, batch.select(names).columns, strict=True))
+            columns["text"] = pa.array(texts, type=batch.schema.field("text").type)
+            if "n_chars" in names:
+                sizes = [s if t == o else t and len(t) for s, t, o in zip(columns["n_chars"].to_pylist(), texts, old, strict=True)]
+                columns["n_chars"] = pa.array(sizes, type=batch.schema.field("n_chars").type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=names).filter(pa.array(keep))
+
+    return found.mapInArrow(run, docs.schema)
 
 
 def items_digest(items: list[str]) -> str:

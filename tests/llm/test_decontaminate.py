@@ -55,8 +55,9 @@ def test_char_spans_and_cut():
     assert plain_words(text) == [w.decode() for w in dc.words(text)]
     spans = dc.char_spans(text, [(1, 3)])
     assert [text[a:b] for a, b in spans] == ["quick' BROWN"]
-    assert dc.cut(text, [(1, 2)], 10) == "Ünder—the '' BROWN fox"
-    assert dc.cut(text, [(0, 4)], 5) is None
+    assert dc.cut(text, [(1, 2)], 10, span_limit=0) == "Ünder—the '' BROWN fox"
+    assert dc.cut(text, [(1, 2)], 10) == dc.cut(text, [(0, 4)], 5) == text
+    assert dc.cut(text, [(0, 4)], 5, span_limit=3) is None and dc.cut(text, [(0, 4)], 5, span_limit=4) == text
     assert dc.cut(text, [], 5) == text
 
 
@@ -71,3 +72,12 @@ def test_clean_leaves_other_documents_alone(spark):
     assert got[2].text == "before " * 40 + " after" and got[2].n_chars == len(got[2].text)
     assert got[2].n_words == "s" and got[4].text is None
     assert dc.clean(D.limit(0), spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
+def test_common_short_phrases_stay_and_names_may_clash(spark):
+    items = spark.createDataFrame([(1, "of the"), (2, "one two three four five six seven eight nine ten")], "item_id long, text string")
+    rows = [(1, "Of the", "a", 1), (2, "of the cat one two three four five six seven eight nine ten and more words here than that was", "b", 2), (None, None, None, None)]
+    D = spark.createDataFrame(rows, "doc_id long, text string, word_runs string, ITEMS int")
+    got = {r.doc_id: tuple(r) for r in dc.clean(D, items).collect()}
+    assert got[1] == rows[0] and got[None] == rows[2]
+    assert got[2] == (2, "of the cat  and more words here than that was", "b", 2)
