@@ -31,12 +31,16 @@ def connect(app: str = "sluice", master: str | None = None, memory: str | None =
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (a single machine, as in tests) is a
-    temporary folder made and registered.
+    Only where that setting is absent and the master is local (a single
+    machine, as in tests) is a temporary folder made and registered; a
+    cluster without the setting is an error, since its machines would not
+    see each other's files.
     """
     known = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="sluice-checkpoint-")
     spark.sparkContext.setCheckpointDir("file://" + os.path.abspath(made))
     return spark.sparkContext.getCheckpointDir()
