@@ -10,18 +10,24 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows
+from .common import arrow_rows, discard, materialise
 from .text import first_by_hash, logistic, one_label, sigmoid
 
-#: Labelled and unlabelled documents that the fit reads at most; shapes it keeps; rounds; share each round adds.
-LABELLED, POOL, SHAPES, ROUNDS, ADDED, SURE = 8_000, 8_000, 96, 3, 0.1, 0.9
+#: Labelled documents that the fit reads at most, and word shapes, or languages and sources, that a view keeps (its size).
+LABELLED, SHAPES = 8_000, 96
+#: Rounds, Newton steps of a round, share of the unlabelled rows that each round adds, and the least probability of a pseudo-label.
+ROUNDS, STEPS, ADDED, SURE = 3, 2, 0.1, 0.9
+#: Weight of all pseudo-labels against the labels at most, bins of log-odds and their range, and groups of tasks that sums are merged in.
+PSEUDO, BINS, ODDS, GROUPS = 8.0, 2048, 32.0, 16
 
 # Letters to their case, digits to 0, beyond ASCII to a letter: the shape of a word.
 _SHAPE = bytes(
@@ -43,7 +49,7 @@ def content_view(text: str | None) -> tuple[list[float], dict[int, float]]:
     shaped = raw.translate(_SHAPE)
     shapes: Counter[bytes] = Counter()
     for s, c in Counter(shaped.split()).items():
-        shapes[_REPEAT.sub(rb"\1", s)[:16]] += c
+        shapes[_REPEAT.sub(rb"\1", s)] += c
     letters, capitals, digits = shaped.count(b"a"), shaped.count(b"A"), shaped.count(b"0")
     solid = sum(map(len, words))
     again = sum(map(bytes.__eq__, words, words[1:]))
@@ -132,51 +138,149 @@ class Quality:
         return sigmoid(self.mix[0] * self.content.log_odds(a) + self.mix[1] * self.metadata.log_odds(b) + self.mix[2])
 
 
+class Pool:
+    """Unlabelled rows of both views, held as matrices; ``SparkPool`` has the same two sums over tables."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray):
+        self.views = (a, b)
+
+    def histograms(self, weights: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Per view, how many rows have which log-odds."""
+        return np.stack([binned(x, w) for x, w in zip(self.views, weights, strict=True)])
+
+    def sums(self, weights, bounds) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        """Per view, gradient and curvature over the rows that the other view is sure of, and their number."""
+        return pseudo_sums(*self.views, weights, bounds)
+
+
+def with_one(x: np.ndarray) -> np.ndarray:
+    return np.column_stack([x, np.ones(len(x))])
+
+
+def binned(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    at = np.clip((x @ w[:-1] + w[-1] + ODDS) * (BINS / (2 * ODDS)), 0, BINS - 1).astype(np.int64)
+    return np.bincount(at, minlength=BINS)
+
+
+def pseudo_sums(a: np.ndarray, b: np.ndarray, weights, bounds) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """``weights`` are (pupil, teacher) of both views; a teacher's ``bounds`` are the log-odds it is sure from."""
+    out = []
+    for (pupil, _), (_, teacher), (low, high), own, other in ((weights[0], weights[1], bounds[1], a, b), (weights[1], weights[0], bounds[0], b, a)):
+        said = other @ teacher[:-1] + teacher[-1]
+        sure = (said <= low) | (said >= high)
+        x, y = with_one(own[sure]), (said[sure] >= high).astype(float)
+        p = sigmoid(x @ pupil)
+        out.append((x.T @ (p - y), (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x, int(sure.sum())))
+    return out
+
+
+def sure_bounds(histogram: np.ndarray, share: float, part: float, sure: float) -> tuple[float, float]:
+    """Log-odds up to which and from which a view labels: the surest ``part`` of all rows, in the classes' shares."""
+    n, least = histogram.sum(), np.log(sure / (1 - sure))
+    edges = np.linspace(-ODDS, ODDS, BINS + 1)
+    below, above = np.cumsum(histogram), np.cumsum(histogram[::-1])
+    k, m = np.searchsorted(below, part * (1 - share) * n, "right"), np.searchsorted(above, part * share * n, "right")
+    return min(float(edges[k]), -least), max(float(edges[BINS - m]), least)
+
+
+def log_loss(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+    return float(np.mean(np.logaddexp(0, np.where(y > 0, -1, 1) * (x @ w[:-1] + w[-1]))))
+
+
 def co_train(
-    a: np.ndarray, b: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, added: float = ADDED, sure: float = SURE
+    a: np.ndarray, b: np.ndarray, y: np.ndarray, pool=None, judge=None, rounds: int = ROUNDS, added: float = ADDED, sure: float = SURE
 ) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """Weights of both views, and how many pseudo-labels each received per round.
-
-    ``y`` is 1, 0, or -1 for unlabelled.  A round lets each view label, of
-    the unlabelled rows it is at least ``sure`` of, at most ``added`` of the
-    pool in the labelled classes' proportions; those go to the other view.
+    """Weights of both views, and how many pseudo-labels each learnt from per round.
+
+    ``y`` is 1 or 0, or -1 for rows that make the pool unless one is given.
+    In round r each view labels, of the pool's rows that it is at least
+    ``sure`` of, at most r x ``added`` in the labelled classes' proportions,
+    and the other view learns from those, which together weigh at most
+    ``PSEUDO`` times the labelled rows.  With ``judge``, labelled rows
+    ``(a, b, y)`` that nothing was fitted on, a view keeps what it learnt in
+    a round only if its loss on them doesn't rise: a weak teacher can't
+    spoil a strong pupil.  The pool is only ever summed over.
     """
     known = y >= 0
-    given = [dict[int, int](), dict[int, int]()]  # pseudo-labels that view 0 and view 1 learn from
-    share, log = y[known].mean(), []
-    pool = np.flatnonzero(~known)
-
-    def learn(x: np.ndarray, extra: dict[int, int]) -> np.ndarray:
-        rows = np.concatenate([np.flatnonzero(known), np.fromiter(extra, np.int64, len(extra))])
-        target = np.concatenate([y[known], np.fromiter(extra.values(), np.int64, len(extra))])
-        weight = np.concatenate([np.ones(known.sum()), np.full(len(extra), 0.5)])
-        return logistic(x[rows], target, weight)
-
-    weights = [learn(a, given[0]), learn(b, given[1])]
-    for _ in range(rounds):
-        if not len(pool):
-            break
-        for view, x in ((0, a), (1, b)):
-            p = sigmoid(x[pool] @ weights[view][:-1] + weights[view][-1])
-            for label, part in ((1, share), (0, 1 - share)):
-                confidence = p if label else 1 - p
-                order = np.argsort(-confidence, kind="stable")[: max(1, int(added * part * len(pool)))]
-                given[1 - view].update((int(pool[k]), label) for k in order if confidence[k] >= sure)
-        weights = [learn(a, given[0]), learn(b, given[1])]
-        log.append((len(given[0]), len(given[1])))
+    pool = pool or Pool(a[~known], b[~known])
+    views, y = (a[known], b[known]), y[known]
+    one, share, log = np.ones(len(y)), y.mean(), []
+    weights = [logistic(x, y, one) for x in views]
+    for r in range(1, rounds + 1):
+        bounds = [sure_bounds(h, share, min(1.0, r * added), sure) for h in pool.histograms(tuple(weights))]
+        teachers, pupils = list(weights), list(weights)
+        for _ in range(STEPS):
+            found = pool.sums(list(zip(pupils, teachers, strict=True)), bounds)
+            for v, (gradient, curve, n) in enumerate(found):
+                w, x = pupils[v], with_one(views[v])
+                scale = min(0.5, PSEUDO * len(y) / max(n, 1))
+                p, penalty = sigmoid(x @ w), np.append(np.ones(len(w) - 1), 1e-6)
+                slope = x.T @ (p - y) + penalty * w + scale * gradient
+                bend = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + np.diag(penalty) + scale * curve
+                step = np.linalg.solve(bend, slope)
+                pupils[v] = w - step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-9))
+        log.append((found[0][2], found[1][2]))
+        for v, w in enumerate(pupils):
+            if judge is None or log_loss(judge[v], judge[2], w) <= log_loss(judge[v], judge[2], weights[v]):
+                weights[v] = w
     return weights[0], weights[1], log
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Quality:
-    """Co-train on at most ``labelled`` labelled and ``pool`` unlabelled documents, chosen by hash.
+class SparkPool:
+    """The same sums over a table of packed views, ``(a binary, b binary)``, of as many columns each."""
 
-    Their measures, not their texts, come to the driver.  Without both
-    classes among the labels every document scores 1.
+    def __init__(self, rows: DataFrame, widths: tuple[int, int]):
+        self.rows, self.widths = rows, widths
+
+    def _over(self, size: int, fn) -> np.ndarray:
+        """The sum of ``fn(a, b)``, a vector of ``size``, over batches of rows: per task, per group of tasks, in all."""
+        widths = self.widths
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(size)
+            for batch in batches:
+                if batch.num_rows:
+                    total += fn(*(np.frombuffer(b"".join(c.to_pylist()), "<f4").reshape(-1, w).astype(float) for c, w in zip(batch.columns, widths, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["sums"])
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(size)
+            for batch in batches:
+                for s in batch.column(0).to_pylist():
+                    total += np.frombuffer(s)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["sums"])
+
+        parts = self.rows.mapInArrow(run, "sums binary").repartition(GROUPS).mapInArrow(merge, "sums binary")
+        return np.sum([np.frombuffer(r["sums"]) for r in parts.collect()], axis=0)  # GROUPS vectors
+
+    def histograms(self, weights) -> np.ndarray:
+        return self._over(2 * BINS, lambda a, b: np.concatenate([binned(a, weights[0]), binned(b, weights[1])])).reshape(2, BINS)
+
+    def sums(self, weights, bounds) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        n, m = (w + 1 for w in self.widths)
+
+        def flat(a, b):
+            (g, h, k), (i, j, o) = pseudo_sums(a, b, weights, bounds)
+            return np.concatenate([g, h.ravel(), [k], i, j.ravel(), [o]])
+
+        v = self._over(n + n * n + 1 + m + m * m + 1, flat)
+        w = v[n + n * n + 1 :]
+        return [(v[:n], v[n : n + n * n].reshape(n, n), int(v[n + n * n])), (w[:m], w[m : m + m * m].reshape(m, m), int(w[-1]))]
+
+
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Quality:
+    """Co-train on at most ``labelled`` labelled documents, chosen by hash, and on all that have no label.
+
+    Measures of the labelled ones, not their texts, come to the driver; the
+    unlabelled ones are only summed over, in Spark.  Repeated ids count as
+    one row, labels without a document not at all.  Without both classes
+    among the labels every document scores 1.
     """
-    some = first_by_hash(one_label(labels, "quality"), labelled)
-    free = first_by_hash(docs.select("doc_id").where("doc_id is not null").distinct().join(labels.select("doc_id"), "doc_id", "left_anti"), pool)
-    chosen = some.unionByName(free.withColumn("label", F.lit(-1)))
-    read = _columns(docs).join(F.broadcast(chosen), "doc_id")  # at most labelled + pool ids
+    known = one_label(labels, "quality").join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    chosen = materialise(first_by_hash(known, labelled), "chosen-labels")
+    read = _columns(docs).join(F.broadcast(chosen), "doc_id")  # at most ``labelled`` ids
+    # of rows that repeat an id the least counts, so that copies can't crowd others out
+    read = read.groupBy("doc_id", "label").agg(F.min(F.struct("text", "lang", "source")).alias("row")).select("doc_id", "label", "row.*")
 
     def rows(ids, label, texts, langs, sources):
         for i, y, t, g, s in zip(ids, label, texts, langs, sources, strict=True):
@@ -185,10 +289,10 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
             yield xxhash.xxh64_intdigest(str(i)) % 5, y, dense, list(shapes), list(shapes.values()), layout, keys
 
     schema = "fold int, label int, dense array<double>, shapes array<decimal(20,0)>, shares array<double>, layout array<double>, keys array<string>"
-    got = arrow_rows(read, ["doc_id", "label", "text", "lang", "source"], schema, rows).limit(2 * (labelled + pool)).collect()
+    got = arrow_rows(read, ["doc_id", "label", "text", "lang", "source"], schema, rows).collect()  # at most ``labelled`` rows
     y = np.array([r["label"] for r in got], np.int64)
     fold = np.array([r["fold"] for r in got], np.int64)
-    held = (y >= 0) & (fold == 0)
+    held = fold == 0
     if not all(((y == c) & ~held).any() for c in (0, 1)):
         return Quality(None, None)
     dense, layout = [r["dense"] for r in got], [r["layout"] for r in got]
@@ -196,7 +300,12 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     keys = [r["keys"] for r in got]
     content, metadata = View.over(dense, shapes, SHAPES), View.over(layout, keys, SHAPES)
     a, b = content.matrix(dense, shapes), metadata.matrix(layout, keys)
-    content.weights, metadata.weights, _ = co_train(a, b, np.where(held, -1, y))
+    free = docs.where("doc_id is not null").join(labels.where("quality is not null").select("doc_id").distinct(), "doc_id", "left_anti")
+    pool = materialise(_packed(free, content, metadata), "views")
+    content.weights, metadata.weights, _ = co_train(
+        a[~held], b[~held], y[~held], SparkPool(pool, (a.shape[1], b.shape[1])), (a[held], b[held], y[held]) if held.any() else None
+    )
+    discard(pool)
     model = Quality(content, metadata)
     if all(((y == c) & held).any() for c in (0, 1)):
         one = np.ones(held.sum())
@@ -209,6 +318,19 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     return model
 
 
+def _packed(docs: DataFrame, content: View, metadata: View) -> DataFrame:
+    """``(a, b)``: both views of each row as packed 32-bit numbers."""
+    shared = docs.sparkSession.sparkContext.broadcast((content, metadata))  # a few hundred numbers
+
+    def rows(texts, langs, sources):
+        one, two = shared.value
+        a = one.matrix(*map(list, zip(*map(content_view, texts), strict=True))).astype("<f4")
+        b = two.matrix(*map(list, zip(*map(metadata_view, texts, langs, sources), strict=True))).astype("<f4")
+        return ((x.tobytes(), y.tobytes()) for x, y in zip(a, b, strict=True))
+
+    return arrow_rows(_columns(docs), ["text", "lang", "source"], "a binary, b binary", rows)
+
+
 def _columns(docs: DataFrame) -> DataFrame:
     absent = [F.lit(None).cast("string").alias(c) for c in ("lang", "source") if c not in docs.columns]
     return docs.select("doc_id", "text", *[c for c in ("lang", "source") if c in docs.columns], *absent).select("doc_id", "text", "lang", "source")
@@ -233,8 +355,6 @@ def score(docs: DataFrame, model: Quality, threshold: float = 0.5) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: Quality, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that reach ``threshold``, each judged by itself, columns unchanged."""
-    import pyarrow as pa
-
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 

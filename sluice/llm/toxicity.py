@@ -25,10 +25,11 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, materialise
 from .text import first_by_hash, lower_words, one_label, sigmoid
 
-#: Labelled rows that the fit reads at most, grams it keeps, and grades above zero.
-SAMPLE, FEATURES, GRADES = 10_000, 512, 3
-#: Lengths of inner grams and of beginnings, the longest whole word, and the least likelihood ratio that counts (one in 10^7 by chance).
-LENGTHS, BEGINNINGS, LONGEST, LEAST_RATIO = (4, 5, 6), (7, 8, 9, 10), 24, 30.0
+#: Labelled rows that the fit reads at most, grams it keeps (the model's size), and grades above zero.
+SAMPLE, FEATURES, GRADES = 10_000, 1024, 3
+#: Lengths of inner grams and of beginnings, the longest whole word, and the least likelihood ratio that counts:
+#: one gram in 600 reaches it by chance, which the ridge then holds down.
+LENGTHS, BEGINNINGS, LONGEST, LEAST_RATIO, RIDGE = (4, 5, 6), (7, 8, 9, 10), 24, 10.0, 5e-4
 
 
 def padded(text: str | None) -> tuple[str, int]:
@@ -109,7 +110,7 @@ class Rows:
         return np.bincount(self.index, self.value * g[self.row], self.width)
 
 
-def fit_ordinal(x: Rows, grade: np.ndarray, grades: int, ridge: float = 1e-4, steps: int = 500, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: Rows, grade: np.ndarray, grades: int, ridge: float = RIDGE, steps: int = 500, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds of the cumulative-link model, by Adam on the whole sample.
 
     Thresholds are a first one plus positive gaps, so they stay in order.
@@ -209,13 +210,16 @@ def choose_grams(sample: DataFrame, features: int) -> tuple[list[str], list[bool
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES, grades: int = GRADES) -> Severity:
     """Fit on at most ``sample`` labelled documents, chosen by a hash of their ids.
 
-    Equal texts of the sample count once.  Counts of the chosen grams, not
+    Equal texts of the sample count once, with the majority of their labels,
+    toxic on a tie.  Repeated ids are one label, ids without a document
+    none.  Counts of the chosen grams, not
     texts, come to the driver.  Without both classes in the sample, or a
     gram that tells them apart, the model calls nothing toxic.
     """
     chosen = first_by_hash(one_label(labels, "toxic"), sample)
     read = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text")  # at most ``sample`` ids
-    read = materialise(read.dropDuplicates(["text"]), "labelled")
+    read = read.groupBy("text").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
+    read = materialise(read.select("label", "text"), "labelled")
     best, telling = choose_grams(read, features)
     if not best:
         return Severity([], np.zeros(0), np.full(grades, 30.0))
@@ -246,7 +250,8 @@ def score(docs: DataFrame, model: Severity) -> DataFrame:
 
     ``grade`` is the likeliest one, ``toxic`` whether P(grade > 0) exceeds the
     model's cutoff.  Null and empty texts have no features; the whole
-    text counts, however long.  Other columns aren't read.
+    text counts, however long; rows that repeat an id are scored each.
+    Other columns aren't read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most ``features`` grams and weights
 

@@ -50,7 +50,28 @@ def test_co_training_exchanges_labels_and_helps_the_weak_view():
     wa, wb, log = quality.co_train(a, b, y)
     assert len(log) == quality.ROUNDS and log[-1][0] > 0 and log[-1][1] > 0
     right = np.mean(((b @ wb[:-1] + wb[-1]) > 0) == truth)
-    assert right > 0.9
+    _, alone, _ = quality.co_train(a, b, y, rounds=0)
+    assert right > 0.9 and right > np.mean(((b @ alone[:-1] + alone[-1]) > 0) == truth) + 0.05
+
+
+def test_sums_in_spark_are_those_of_the_matrices(spark):
+    rng = np.random.default_rng(4)
+    a, b = (rng.normal(size=(300, n)).astype("<f4") for n in (3, 2))
+    rows = spark.createDataFrame([(bytearray(x.tobytes()), bytearray(y.tobytes())) for x, y in zip(a, b, strict=True)], "a binary, b binary").repartition(7)
+    one, two = quality.Pool(a.astype(float), b.astype(float)), quality.SparkPool(rows, (3, 2))
+    weights = (rng.normal(size=4), rng.normal(size=3))
+    assert (one.histograms(weights) == two.histograms(weights)).all()
+    bounds = [quality.sure_bounds(h, 0.4, 0.5, 0.6) for h in one.histograms(weights)]
+    pairs = [(weights[0] / 2, weights[0]), (weights[1] / 2, weights[1])]
+    for x, y in zip(one.sums(pairs, bounds), two.sums(pairs, bounds), strict=True):
+        assert np.allclose(x[0], y[0]) and np.allclose(x[1], y[1]) and x[2] == y[2] > 0
+
+
+def test_equal_texts_take_the_majority_label(spark):
+    docs = spark.createDataFrame([(k, "bad word here" if k < 9 else f"fine text {k}") for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < 8)) for k in range(40)], "doc_id long, toxic int")
+    got = {r.doc_id: r.p_toxic for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    assert min(got[k] for k in range(9)) >= max(got[k] for k in range(9, 40))
 
 
 def test_odd_inputs(spark):
