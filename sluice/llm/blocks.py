@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, materialise, sorted_groups
+from .common import materialise, sorted_groups
 
 #: Units that a task compares at once in one bucket at most, and in a bucket whose pairs are returned.
 BLOCK, SMALL = 2048, 32
+#: Pairs that are verified at once.
+TOGETHER = 2048
 #: Bucket rows of a partition, and the share of units by which hot buckets are found.
 ROWS, SAMPLED = 400_000, 16
 #: Parities a unit carries: columns of 32 bits.
@@ -86,6 +88,16 @@ def pairs_within(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield i, i + d
 
 
+def repeated(values: np.ndarray) -> np.ndarray:
+    """Positions of the values that occur more than once."""
+    ranked = np.sort(values)
+    twice = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
+    if not len(twice):
+        return np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(twice, values), len(twice) - 1)
+    return np.flatnonzero(twice[at] == values)
+
+
 def _whole(batches: Iterable[pa.RecordBatch]) -> pa.Table | None:
     held = [b for b in batches if b.num_rows]
     return pa.Table.from_batches(held) if held else None
@@ -129,6 +141,8 @@ def candidates(keyed: DataFrame, sampled: DataFrame, apart: Callable[[np.ndarray
             return
         bucket, part = table.column(0).to_numpy(), table.column(2).to_numpy()
         unit, _ = unpacked(table.column(1), UNIT)
+        again = repeated(bucket)
+        bucket, part, unit = bucket[again], part[again], unit[again]
         order, group = _groups(bucket, part)
         bucket, part, unit = bucket[order], part[order], unit[order]
         uid, n, bits = unit["uid"].copy(), unit["n"].astype(np.int64), [unit["bits"][:, k].copy() for k in range(PARITIES)]
@@ -156,39 +170,43 @@ def candidates(keyed: DataFrame, sampled: DataFrame, apart: Callable[[np.ndarray
     return dealt(keyed, sampled, block).repartition(partitions, "bucket", "part").mapInArrow(run, "a long, b long, bucket long, part long")
 
 
-def verified(
-    pairs: DataFrame, together: DataFrame, said: DataFrame, alike: Callable[[bytes, bytes], bool], apart: Callable[[np.ndarray, np.ndarray], np.ndarray]
-) -> DataFrame:
+def verified(pairs: DataFrame, together: DataFrame, said: DataFrame, alike: Callable[[pa.Array, pa.Array], np.ndarray]) -> DataFrame:
     """Links ``(a, b)`` by which the units that are ``alike`` among the candidates are connected.
 
     ``pairs(a, b)`` are checked one by one, ``together(bucket, part, uid)``
     bucket by bucket unless already connected there; ``said(uid, said)``
-    has the units' words, and ``apart`` is that of ``candidates``.
+    has the units' words.  ``alike`` tells it of many pairs at once.
     """
     both = pairs.join(said.select(F.col("uid").alias("a"), F.col("said").alias("x")), "a")
     both = both.join(said.select(F.col("uid").alias("b"), F.col("said").alias("y")), "b")
 
-    def passed(a, b, x, y):
-        return ((i, j) for i, j, s, t in zip(a, b, x, y, strict=True) if alike(s, t))
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(at, TOGETHER)
+                yield part.select(["a", "b"]).filter(pa.array(alike(part.column(2), part.column(3))))
 
-    one_by_one = arrow_rows(both, ["a", "b", "x", "y"], "a long, b long", passed)
+    one_by_one = both.select("a", "b", "x", "y").mapInArrow(passed, "a long, b long")
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in sorted_groups(batches, 2):
-            uid, words = rows.column(2).to_numpy(), rows.column(3).to_pylist()
-            values, n = unpacked(rows.column(3))
-            bits = parities(values, n, 16)
+            uid, words = rows.column(2).to_numpy(), rows.column(3).combine_chunks()
             _, group = _groups(rows.column(0).to_numpy(), rows.column(1).to_numpy())
             first, last = np.searchsorted(group, group), np.searchsorted(group, group, "right")
             label, links = np.arange(len(uid)), []
             for i, j in pairs_within(group):
-                differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
-                open_ = np.flatnonzero((label[i] != label[j]) & (differ <= apart(n[i], n[j])))
-                for x, y in zip(i[open_].tolist(), j[open_].tolist(), strict=True):
-                    if label[x] != label[y] and (uid[x] == uid[y] or alike(words[x], words[y])):
-                        own = label[first[x] : last[x]]
-                        own[own == label[y]] = label[x]
-                        links.append((uid[x], uid[y]))
+                for at in range(0, len(i), TOGETHER):
+                    x, y = i[at : at + TOGETHER], j[at : at + TOGETHER]
+                    open_ = np.flatnonzero(label[x] != label[y])
+                    if not len(open_):
+                        continue
+                    x, y = x[open_], y[open_]
+                    hit = np.flatnonzero((uid[x] == uid[y]) | alike(words.take(pa.array(x)), words.take(pa.array(y))))
+                    for k, m in zip(x[hit].tolist(), y[hit].tolist(), strict=True):
+                        if label[k] != label[m]:
+                            own = label[first[k] : last[k]]
+                            own[own == label[m]] = label[k]
+                            links.append((uid[k], uid[m]))
             if links:
                 a, b = np.array(links, np.int64).T
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])

@@ -179,12 +179,14 @@ def sorted_groups(batches: Iterable[pa.RecordBatch], n_keys: int) -> Iterator[pa
         yield pa.Table.from_batches([b for b in held if b.num_rows])
 
 
-#: Hubs that a round may broadcast, 16 bytes each.
-HUBS, LEAST_DEGREE = 500_000, 256
+#: Hubs that a round may broadcast, 16 bytes each, edges of a hub at least, and edges that may all meet in one task.
+HUBS, LEAST_DEGREE, FEW = 500_000, 256, 16_384
 
 
 def _met(edges: DataFrame, least: DataFrame, degree: int) -> DataFrame:
-    """``edges`` with ``m`` of their ``a`` from ``least(a, m, n)``; edges of hubs, n > ``degree``, aren't shuffled."""
+    """``edges`` with ``m`` of their ``a`` from ``least(a, m, n)``; edges of hubs, n > ``degree`` > 0, aren't shuffled."""
+    if not degree:
+        return edges.join(least.select("a", "m"), "a")
     hubs = F.broadcast(least.where(F.col("n") > degree).select("a", "m"))  # at most the number of edges by ``degree``
     rest = least.where(F.col("n") <= degree).select("a", "m")
     return edges.join(hubs, "a", "left_anti").join(rest, "a").unionByName(edges.join(hubs, "a"))
@@ -210,7 +212,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
                 e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
             )
-        before, degree = now, max(LEAST_DEGREE, 2 * now[0] // HUBS)
+        before, degree = now, max(LEAST_DEGREE, 2 * now[0] // HUBS) if now[0] > FEW else 0
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
         # large star: every larger neighbour goes to the least of the neighbourhood

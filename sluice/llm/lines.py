@@ -118,6 +118,39 @@ def similar(a: bytes, b: bytes, least: float) -> bool:
     return len(own - other) <= edits and len(other - own) <= edits and edit_distance(x, y) <= edits
 
 
+def all_similar(a: pa.Array, b: pa.Array, least: float) -> np.ndarray:
+    """``similar`` of many pairs: by bounds of the distance where these decide, else one by one.
+
+    The multisets' parities bound it from below.  From above do the places
+    at which lines of equal length differ, and what lies between a common
+    beginning and a common end.
+    """
+    (x, n), (y, m) = blocks.unpacked(a), blocks.unpacked(b)
+    longest, both = np.maximum(n, m), np.minimum(n, m)
+    edits = most_edits(longest, least)
+    differ = np.bitwise_count(blocks.parities(x, n, 16) ^ blocks.parities(y, m, 16)).sum(axis=1, dtype=np.int64)
+    open_ = np.abs(n - m) <= edits
+    open_ &= differ <= both - longest + 2 * edits
+    x_at, y_at = np.cumsum(n) - n, np.cumsum(m) - m
+    out = open_ & (both == 0)
+    open_ &= both > 0
+    rows = np.flatnonzero(open_)
+    if len(rows):
+        size = both[rows]
+        start = np.cumsum(size) - size
+        step = np.arange(size.sum()) - np.repeat(start, size)
+        front = x[np.repeat(x_at[rows], size) + step] != y[np.repeat(y_at[rows], size) + step]
+        end = x[np.repeat(x_at[rows] + n[rows] - size, size) + step] != y[np.repeat(y_at[rows] + m[rows] - size, size) + step]
+        unequal = np.add.reduceat(front, start, dtype=np.int64)
+        head = np.minimum.reduceat(np.where(front, step, np.repeat(size, size)), start)
+        tail = size - 1 - np.maximum.reduceat(np.where(end, step, -1), start)
+        most = np.minimum(np.where(n[rows] == m[rows], unequal, longest[rows]), longest[rows] - np.minimum(head + tail, size))
+        out[rows] = most <= edits[rows]
+        for k in rows[most > edits[rows]].tolist():
+            out[k] = similar(a[k].as_py(), b[k].as_py(), least)
+    return out
+
+
 def most_edits(longest, least_similarity: float) -> np.ndarray:
     """Edits that may part two similar lines, the longer one of ``longest`` words."""
     return np.floor((1 - least_similarity) * longest + 1e-9).astype(np.int64)
@@ -331,7 +364,7 @@ def groups(docs: DataFrame, least_similarity: float = SIMILARITY, least_words: i
     asked = materialise(asked, "asked-lines")
     words = possible_members(said, "uid", asked).join(asked.withColumnRenamed("id", "uid"), "uid", "left_semi")
     words = materialise(words.dropDuplicates(["uid"]), "line-words")
-    found = blocks.verified(pairs, together, words, lambda x, y: similar(x, y, least_similarity), _apart(least_similarity))
+    found = blocks.verified(pairs, together, words, lambda x, y: all_similar(x, y, least_similarity))
     members = connected_components(found).withColumnRenamed("node", "uid")
 
     named = materialise(distinct.select("uid", "first").join(members, "uid", "left").withColumn("component", F.coalesce("component", "uid")), "line-groups")

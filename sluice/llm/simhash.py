@@ -39,7 +39,7 @@ RADIUS = 4
 SHINGLE = 4
 #: Fingerprints that one task compares at once at most (larger shards are dealt out as pairs of blocks),
 #: those of an average shard, and of one that is compared without a tree.
-BLOCK, SHARD, SMALL = 4096, 256, 32
+BLOCK, SHARD, SMALL = 4096, 256, 128
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 

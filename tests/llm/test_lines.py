@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from sluice.llm import blocks, lines, text
@@ -157,6 +158,19 @@ def test_parities_never_exceed_the_difference():
             assert differ <= lines._apart(0.8)(np.array([len(a)]), np.array([len(b)]))[0]
 
 
+def test_many_pairs_are_similar_as_each_is():
+    rng = random.Random(12)
+    one, two = [], []
+    for _ in range(800):
+        a = [rng.randrange(40) for _ in range(rng.randint(0, 40))]
+        b = rng.choice([altered(rng, a, rng.randint(0, len(a) // 3), lambda: rng.randrange(40)), a[:5] + a, a[::-1], a[1:] + a[:1]])
+        one.append(np.array(a, "<u4").tobytes())
+        two.append(np.array(b, "<u4").tobytes())
+    for least in (0.8, 0.9, 0.5):
+        got = lines.all_similar(pa.array(one, pa.binary()), pa.array(two, pa.binary()), least)
+        assert got.tolist() == [slow_distance(np.frombuffer(x, "<u4").tolist(), np.frombuffer(y, "<u4").tolist()) <= int(lines.most_edits(max(len(x), len(y)) // 4, least)) for x, y in zip(one, two, strict=True)]
+
+
 def test_simhash_is_the_majority_and_long_lines_count_whole():
     rng = np.random.default_rng(9)
     sizes = np.array([1, 2, 3, 255, 256, 700, 1])

@@ -7,7 +7,7 @@ from sluice.llm import neighbours as nn
 def brute(ids, x, k=20):
     out = {}
     for i in np.flatnonzero(ids % 20 == 0):
-        s = nn.inner_products(x[i : i + 1], x)[0]
+        s = (x * x[i]).sum(axis=1)
         order = [j for j in np.lexsort((ids, -s)) if ids[j] != ids[i]][:k]
         out[int(ids[i])] = [(int(ids[j]), float(s[j])) for j in order]
     return out
@@ -45,6 +45,22 @@ def test_few_rows_and_none(spark):
     assert nn.search(few.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+def test_repeated_ids_count_once_and_dimensions_are_apart(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 5))
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    other = [(100 + i, [float(c) for c in v]) for i, v in enumerate(rng.normal(size=(30, 3)))]
+    more = [rows[0], (20, [9.0] * 5), rows[7], (3, None)]
+    df = spark.createDataFrame(rows + other + more, "vec_id long, embedding array<double>")
+    got = {}
+    for r in nn.search(df, F.col("id") % 20 == 0, k=4).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert set(got) == {0, 20, 40, 100, 120}
+    assert all(len(v) == len(set(v)) == 4 for v in got.values())
+    assert got[0] == [v for v, _ in brute(np.arange(60), x, 4)[0]]
+    assert all(v >= 100 for q in (100, 120) for v in got[q])
+
+
 def test_tree_covers_all_leaves_and_walk_visits_each_once():
     x = np.random.default_rng(2).normal(size=(2000, 8))
     tree = nn.fit_tree(x)
