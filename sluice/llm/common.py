@@ -66,8 +66,8 @@ def one_per_id(docs: DataFrame) -> DataFrame:
     return known.join(again, "doc_id", "left_anti").unionByName(once)
 
 
-def possible_members(df: DataFrame, column: str, ids: DataFrame, most_bits: int = 1 << 28) -> DataFrame:
-    """The rows of ``df`` whose ``column`` (long) may be in ``ids(id long)``: all that are, few others.
+def membership(ids: DataFrame, most_bits: int = 1 << 28) -> Callable:
+    """A test, for use inside tasks, of many longs at once: true for all in ``ids(id long)`` and for few others.
 
     A bitmap of 16 bits an id, ``most_bits`` at most, is put together in
     Spark and broadcast.  It saves shuffling rows that a semi-join would
@@ -103,13 +103,22 @@ def possible_members(df: DataFrame, column: str, ids: DataFrame, most_bits: int
     whole = np.zeros((bits // chunk, chunk // 8), np.uint8)
     for r in merged.collect():  # most_bits / 8 bytes
         whole[r["chunk"]] = np.frombuffer(r["bits"], np.uint8)
-    shared = df.sparkSession.sparkContext.broadcast(whole.reshape(-1))
-    where = df.columns.index(column)
+    shared = ids.sparkSession.sparkContext.broadcast(whole.reshape(-1))
+
+    def maybe(values: np.ndarray) -> np.ndarray:
+        at = spot(values)
+        return (shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+    return maybe
+
+
+def possible_members(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``column`` (long) passes the ``membership`` test of ``ids``."""
+    maybe, where = membership(ids), df.columns.index(column)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = spot(batch.column(where).to_numpy())
-            yield batch.filter(pa.array((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
+            yield batch.filter(pa.array(maybe(batch.column(where).to_numpy())))
 
     return df.mapInArrow(keep, df.schema)
 
