@@ -28,6 +28,10 @@ def interval(hours: float = 0, minutes: float = 0, micros: int = 0) -> str:
     return f"INTERVAL '{sign}{days} {h:02}:{m:02}:{rest // 1_000_000:02}.{rest % 1_000_000:06}' DAY TO SECOND"
 
 
+#: Window partitions in which no year sees another.
+YEARLY = "station_code, year(ts)"
+
+
 def over(expression: str, frame: str, key: str = "station_code", order: str = "ts") -> Column:
     return F.expr(f"{expression} OVER (PARTITION BY {key} ORDER BY {order} {frame})")
 

@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+from functools import partial
 from math import pi
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.functions import constants as C
-from sluice.functions.timeutil import ahead, at, back, interval, minutes_between, over
+from sluice.functions.timeutil import YEARLY, ahead, at, back, interval, minutes_between
+from sluice.functions.timeutil import over as _over
 
 KEYS = ("station_code", "ts")
 
 
-def depth_features(readings: DataFrame, value: str = "flood", step: int = C.STEP_MINUTES, cadence: int = C.CADENCE_MINUTES, thresholds=(5, 15)) -> DataFrame:
-    """Twelve autoregressive features; all windows share one partitioning and order."""
+def depth_features(readings: DataFrame, value: str = "flood", step: int = C.STEP_MINUTES, cadence: int = C.CADENCE_MINUTES, thresholds=(5, 15), by_year: bool = False) -> DataFrame:
+    """Twelve autoregressive features; all windows share one partitioning and order.
+
+    ``by_year`` keeps the years apart: no history crosses 1 January, and a
+    station's windows end with its year.
+    """
+    key = YEARLY if by_year else "station_code"
+    over = partial(_over, key=key)
     expected = 180 // cadence + 1
     base = readings.select(
         *KEYS,
@@ -75,7 +83,7 @@ def citywide_water(readings: DataFrame, value: str, lag: int = 12, excluded=(),
 
 
 def calendar(rows: DataFrame, ts: str = "ts") -> DataFrame:
-    """Eight terms of the clock: day and year cycles, tide and moon, monsoon, weekend."""
+    """Eight terms of the clock: day and year cycles, tide and moon, monsoon."""
     hour = F.hour(ts) + F.minute(ts) / 60
     year = F.dayofyear(ts) / 365.25
     hours = F.timestamp_diff("SECOND", F.lit(C.TIDE_EPOCH).cast("timestamp_ntz"), F.date_trunc("minute", ts).cast("timestamp_ntz")) / 3600
@@ -94,10 +102,10 @@ def forward_rain(hourly: DataFrame, value: str, horizons=C.HORIZONS_HOURS, key:
     made = {}
     for h in horizons:
         end = f"RANGE BETWEEN {interval(h)} FOLLOWING AND {interval(h)} FOLLOWING"
-        total = over(f"sum({value})", ahead(h, first_micros=1), key)
-        made[f"{value}_{h}h"] = F.when(over("count(*)", end, key) > 0, F.round(total, 6))
+        total = _over(f"sum({value})", ahead(h, first_micros=1), key)
+        made[f"{value}_{h}h"] = F.when(_over("count(*)", end, key) > 0, F.round(total, 6))
     trailing = f"RANGE BETWEEN {interval(3, micros=-1)} PRECEDING AND CURRENT ROW"
-    return hourly.withColumns(made | {f"{value}_past_3h": F.round(over(f"sum({value})", trailing, key), 6)})
+    return hourly.withColumns(made | {f"{value}_past_3h": F.round(_over(f"sum({value})", trailing, key), 6)})
 
 
 def feature_table(depth: DataFrame, labelled: DataFrame, rain: DataFrame, city: DataFrame, districts: DataFrame, hourly: DataFrame) -> DataFrame:
@@ -114,6 +122,12 @@ def feature_table(depth: DataFrame, labelled: DataFrame, rain: DataFrame, city:
     return calendar(wide)
 
 
+def with_terrain(rows: DataFrame, terrain: DataFrame) -> DataFrame:
+    """The terrain of each row's district; a district counts once, the rest of the rows stay with nulls."""
+    once = terrain.dropDuplicates(["district"])  # a row a district: Spark broadcasts it by its size
+    return rows.join(once, "district", "left").select(*rows.columns, *(c for c in terrain.columns if c != "district"))
+
+
 def feature_columns(df: DataFrame) -> list[str]:
     """Inputs of a model: everything but keys, labels and onset flags."""
     keys = {"station_code", "ts", "district", "district_code", "year"}

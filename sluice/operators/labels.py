@@ -6,25 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions import constants as C
-from sluice.functions.timeutil import ahead, over
+from sluice.functions.timeutil import YEARLY, ahead, over
 
 
 def labels(
     readings: DataFrame, tiers=C.TIERS_CM, horizons=C.HORIZONS_HOURS, value: str = "flood", step: int = C.STEP_MINUTES,
-    cadence: int = C.CADENCE_MINUTES, min_share: float = C.MIN_VALID_SHARE,
+    cadence: int = C.CADENCE_MINUTES, min_share: float = C.MIN_VALID_SHARE, by_year: bool = False,
 ) -> DataFrame:
     """Per reading and horizon: the deepest later value, whether enough is observed, and per tier the label.
 
     The window runs from one cadence after the reading to the horizon, on
     the full grid; rows are thinned to ``step`` minutes afterwards.  A label
     is null where less than ``min_share`` of the window was observed, and an
-    onset flag is null where the present value is.
+    onset flag is null where the present value is.  ``by_year`` ends every
+    window with its year.
     """
+    key = YEARLY if by_year else "station_code"
     made: dict[str, Column] = {}
     for h in horizons:
         frame = ahead(h, first_minutes=cadence)
-        made[f"y_maxdepth_{h}h"] = over(f"max({value})", frame)
-        made[f"y_obs_{h}h"] = over(f"count({value})", frame)
+        made[f"y_maxdepth_{h}h"] = over(f"max({value})", frame, key)
+        made[f"y_obs_{h}h"] = over(f"count({value})", frame, key)
     out = readings.withColumns(made).where(F.minute("ts") % step == 0)
     for h in horizons:
         share = F.round(F.col(f"y_obs_{h}h") / F.lit(h * 60 / cadence), 6)

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.functions import constants as C
 from sluice.functions.timeutil import floor_minutes, minutes_between
-from sluice.operators import baselines, sampling
+from sluice.operators import baselines, metrics, sampling
 from sluice.registry import add
 from sluice.sources import payloads
 
 from .base import GRID, READINGS, grid, readings, table
-from .core import EVENTS, EXTERNAL, LABELLED, SCORED, TIERS, depth, found, hourly, labelled, rain, scored  # noqa: F401
+from .core import DEPTH, EVENTS, EXTERNAL, LABELLED, SCORED, TIERS, depth, found, hourly, labelled, rain, scored  # noqa: F401
 
 
 def prefix():
@@ -47,7 +47,7 @@ add("j16_fill_missing", lambda s, d: table(s, d, "nation").join(table(s, d, "sup
 add("j17_reconcile_counts", lambda s, d: table(s, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n_lines")).join(table(s, d, "orders").select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("n_lines").agg(F.count("*").alias("n_orders")),
     "SELECT n_lines, count(*) AS n_orders FROM (SELECT l_orderkey, count(*) AS n_lines FROM lineitem GROUP BY 1) JOIN orders ON o_orderkey = l_orderkey GROUP BY 1")
 add("j18_score_context", lambda s, d: scored(s, d).select("station_code", "ts", "score").join(depth(s, d).select("station_code", "ts", "fl_max_3h", "fl_mean_1h"), ["station_code", "ts"]),
-    None)
+    f"WITH {SCORED}, {DEPTH[len(GRID) + 2:]} SELECT s.station_code, s.ts, s.score, d.fl_max_3h, d.fl_mean_1h FROM scored s JOIN depth d USING (station_code, ts)")
 add("j19_prefix_coverage", lambda s, d: table(s, d, "customer").select(F.col("c_nationkey").alias("k")).intersect(table(s, d, "supplier").select(F.col("s_nationkey").alias("k"))).withColumn("side", F.lit("both")).unionByName(
         table(s, d, "customer").select(F.col("c_nationkey").alias("k")).distinct().join(table(s, d, "supplier").select(F.col("s_nationkey").alias("k")), "k", "left_anti").withColumn("side", F.lit("customer"))),
     "SELECT k, 'both' AS side FROM (SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL SELECT k, 'customer' FROM (SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier)")
@@ -70,8 +70,16 @@ add("a21_days_per_station", lambda s, d: readings(s, d).groupBy("station_code").
     f"WITH {READINGS} SELECT station_code, count(DISTINCT ts::DATE) AS n_days, count(DISTINCT ts::DATE) < 30 AS partial FROM readings GROUP BY 1")
 add("a22_daily_district_rain", lambda s, d: readings(s, d).groupBy(prefix().alias("district"), F.to_date("ts").cast("string").alias("day")).agg(F.round(F.sum("flood") / F.countDistinct("station_code"), 6).alias("rain")),
     f"WITH {READINGS} SELECT split_part(station_code, '.', 2) AS district, ts::DATE::VARCHAR AS day, round(sum(flood) / count(DISTINCT station_code), 6) AS rain FROM readings GROUP BY 1, 2")
-_rank = lambda c: F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2
-add("a23_correlations", lambda s, d: table(s, d, "part").select("p_size", "p_retailprice").withColumns({"rx": _rank("p_size"), "ry": _rank("p_retailprice")}).agg(F.round(F.corr("p_size", "p_retailprice"), 6).alias("pearson"), F.round(F.corr("rx", "ry"), 6).alias("spearman")),
+
+
+def _ranked(df: DataFrame, c: str, rank: str) -> DataFrame:
+    """``df`` with the mean rank of its ``c``, by a running count of distinct values."""
+    counts = metrics.running(df.groupBy(c).agg(F.count("*").alias("n")), c, ("n",))
+    n = df.agg(F.count("*").alias("all"))
+    return df.join(counts.crossJoin(F.broadcast(n)).select(c, (F.col("all") - F.col("run_n") + (F.col("n") + 1) / 2).alias(rank)), c)
+
+
+add("a23_correlations", lambda s, d: _ranked(_ranked(table(s, d, "part").select("p_size", "p_retailprice"), "p_size", "rx"), "p_retailprice", "ry").agg(F.round(F.corr("p_size", "p_retailprice"), 6).alias("pearson"), F.round(F.corr("rx", "ry"), 6).alias("spearman")),
     """SELECT round(corr(p_size, p_retailprice), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM (SELECT p_size, p_retailprice,
     rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2.0 AS rx, rank() OVER (ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_retailprice) - 1) / 2.0 AS ry FROM part)""")
 add("a26_coverage_report", lambda s, d: readings(s, d).groupBy(F.weekofyear("ts").alias("week")).agg(F.countDistinct("station_code").alias("n_stations"), F.count("*").alias("n_rows"), F.count("flood").alias("n_values")),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FORECAST = "struct<hourly:struct<time:array<string>,precipitation:array<double>>>"
@@ -34,21 +34,55 @@ def report_rows(payloads: DataFrame, words: tuple[str, ...], bbox: dict | None =
     The province decides where any report names one, else the box does.
     The first report of a ticket stays.
     """
-    from pyspark.sql import Window
-
     f = payloads.select(F.posexplode(F.from_json(body, REPORTS)["features"]).alias("k", "f"))
     p = F.col("f.properties")
     rows = f.select("k", p["ticket_id"].alias("ticket_id"), p["comment"].alias("comment"), p["province"].alias("province"),
                     F.try_element_at("f.geometry.coordinates", F.lit(1)).alias("lon"), F.try_element_at("f.geometry.coordinates", F.lit(2)).alias("lat"),
                     any_keyword(F.concat_ws(" ", p["comment"], p["type"]), words).alias("is_flood"))
     if bbox:
-        named = F.max(F.col("province").isNotNull()).over(Window.partitionBy())
+        named = rows.agg(F.coalesce(F.bool_or(F.col("province").isNotNull()), F.lit(False)).alias("named"))
         boxed = F.col("lat").between(*bbox["lat"]) & F.col("lon").between(*bbox["lon"])
-        rows = rows.withColumn("named", named).where(F.when(F.col("named"), F.col("province").contains(province or "")).otherwise(boxed)).drop("named")
+        rows = rows.crossJoin(F.broadcast(named)).where(F.when(F.col("named"), F.col("province").contains(province or "")).otherwise(boxed)).drop("named")
     w = Window.partitionBy("ticket_id").orderBy("k")
     return rows.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n", "k")
 
 
+WATER = (
+    "struct<data:struct<waterlevel_data:struct<data:array<struct<station:struct<id:long,name:string,lat:string,long:string,left_bank:string,right_bank:string,min_bank:string>,"
+    "geocode:struct<subdistrict:string,district:string>,agency:string,river_name:string,waterlevel_datetime:string,waterlevel_msl:string,waterlevel_msl_previous:string,"
+    "flow_rate:string,discharge:string,diff_wl_bank:string>>>>>"
+)
+#: Hours that the source's clock is ahead of UTC.
+SOURCE_OFFSET_HOURS = 7
+
+
+def water_rows(payloads: DataFrame, body: str = "body", now: str = "fetched_at") -> DataFrame:
+    """Water levels out of their nested envelope: UTC times, a label that always exists, a signed rise.
+
+    Numbers come as text; what isn't one is null.  A bank that is unknown or
+    not above zero can't be a reference; the difference to it is then told
+    in the raw column only.  Rows without a time stay.
+    """
+    records = F.explode(F.from_json(body, WATER)["data"]["waterlevel_data"]["data"]).alias("r")
+    rows = payloads.select(F.col(now), records)
+    n = lambda c: F.expr(f"try_cast({c} AS double)")
+    local = F.try_to_timestamp(F.col("r.waterlevel_datetime"), F.lit("yyyy-MM-dd HH:mm")).cast("timestamp_ntz")
+    ts = local - F.expr(f"INTERVAL {SOURCE_OFFSET_HOURS} HOURS")
+    out = rows.select(
+        F.col("r.station.id").alias("station_id"), ts.alias("ts"), local.alias("ts_local"),
+        F.round(F.timestamp_diff("SECOND", ts, F.col(now)) / 60, 1).alias("age_minutes"),
+        F.coalesce("r.station.name", "r.river_name", "r.geocode.subdistrict", F.concat(F.lit("station_"), F.col("r.station.id").cast("string"))).alias("station_label"),
+        n("r.station.lat").alias("lat"), n("r.station.long").alias("lon"), n("r.waterlevel_msl").alias("level"), n("r.waterlevel_msl_previous").alias("level_before"),
+        n("r.flow_rate").alias("flow_rate"), n("r.discharge").alias("discharge"), n("r.diff_wl_bank").alias("diff_wl_bank"), n("r.station.min_bank").alias("min_bank"),
+        F.col(now).alias("polled_at"),
+    )
+    valid = F.coalesce(F.col("min_bank") > 0, F.lit(False))
+    return out.withColumns({
+        "bank_ref_valid": valid, "diff_wl_bank_clean": F.when(valid, F.col("diff_wl_bank")), "rise": F.round(F.col("level") - F.col("level_before"), 6),
+        "flow": F.coalesce("flow_rate", "discharge"),
+    })
+
+
 def pump_rows(payloads: DataFrame, body: str = "body") -> DataFrame:
     """Pump stations by an explicit projection, so personal fields never pass; an offline level stays null."""
     s = F.col("s")

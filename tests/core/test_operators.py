@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice.functions.timeutil import interval
-from sluice.operators import events, features, labels, metrics, terrain
+from sluice.operators import evaluation, events, features, labels, live, metrics, terrain
 from sluice.plans import models
 from sluice.sources import payloads, raw
 from sluice.streaming.live import is_due
@@ -158,3 +158,69 @@ def test_a_fold_trains_tunes_and_reports(spark):
     assert 0 < threshold < 1 and r.recall > 0.7
     cal = models.isotonic(spark.createDataFrame([(0, 0.1), (0, 0.2), (1, 0.15), (1, 0.9)], "y int, prob double")).orderBy("prob").collect()
     assert [c.calibrated for c in cal] == sorted(c.calibrated for c in cal)
+
+
+def test_years_are_kept_apart(spark):
+    start = datetime(2023, 12, 31, 22)
+    rows = [("FL.AAA.01", start + timedelta(minutes=15 * k), float(k)) for k in range(16)]
+    r = spark.createDataFrame(rows, "station_code string, ts timestamp_ntz, flood double")
+    first = datetime(2024, 1, 1)
+    apart = {x.ts: x for x in features.depth_features(r, by_year=True).collect()}
+    joined = {x.ts: x for x in features.depth_features(r).collect()}
+    assert joined[first].fl_max_3h == 8 and joined[first].fl_depth_lag_1h == 4
+    assert apart[first].fl_max_3h == 8 and apart[first].fl_depth_lag_1h is None and apart[first].fl_hours_since_5cm == 0
+    assert apart[start + timedelta(hours=1)].fl_max_3h == joined[start + timedelta(hours=1)].fl_max_3h
+    last = datetime(2023, 12, 31, 23, 45)
+    both = [{x.ts: x for x in labels.labels(r, (5,), (1,), by_year=y).collect()} for y in (False, True)]
+    assert both[0][last].y_maxdepth_1h == 11 and both[1][last].y_maxdepth_1h is None
+    assert both[0][first].y_maxdepth_1h == both[1][first].y_maxdepth_1h == 12
+
+
+def test_running_sums_over_ranges(spark):
+    rng = random.Random(4)
+    values = sorted({rng.choice([rng.random(), float(rng.randrange(5))]) for _ in range(500)}, reverse=True)
+    rows = [(v, rng.randrange(4)) for v in values]
+    got = {r.k: r.run_n for r in metrics.running(spark.createDataFrame(rows, "k double, n long"), "k", ("n",), parts=8).collect()}
+    total, want = 0, {}
+    for v, n in rows:
+        total += n
+        want[v] = total
+    assert got == want
+    assert metrics.running(spark.createDataFrame([], "k double, n long"), "k", ("n",)).count() == 0
+
+
+def test_loading_features_asks_for_what_exists_and_folds_are_embargoed(spark):
+    row = ("FL.AAA.01", datetime(2021, 12, 31, 23), True, True, False, 20.0, 1.0)
+    names = "station_code string, ts timestamp_ntz, y_ge15_1h boolean, y_valid_1h boolean, is_onset_15 boolean, y_maxdepth_1h double, x double"
+    t = spark.createDataFrame([row, ("FL.AAA.01", datetime(2022, 1, 2), True, None, True, 1.0, 2.0), ("FL.AAA.01", datetime(2020, 5, 1), True, True, True, 1.0, 2.0)], names)
+    assert evaluation.load_features(t, (2021, 2022), ("x",), 15, 1).count() == 1
+    assert evaluation.load_features(t, (2021, 2022), ("x",), 15, 1, scorable_only=False).columns == ["station_code", "ts", "y_ge15_1h", "y_valid_1h", "is_onset_15", "y_maxdepth_1h", "x"]
+    with pytest.raises(ValueError, match="nothing"):
+        evaluation.load_features(t, (2021,), ("nothing",), 15, 1)
+    parts = {k: [r.ts.year for r in v.collect()] for k, v in evaluation.folds(t, 0).items()}
+    assert parts == {"train": [2020], "val": [], "test": [2022]}
+
+
+def test_baselines_are_tuned_on_one_part_and_tested_on_another(spark):
+    rows = [("FL.AAA.01", T0 + timedelta(minutes=15 * k), int(k % 4 == 0), 30.0 if k % 4 == 0 else 2.0, None if k % 8 == 0 else float(k % 4 == 0)) for k in range(80)]
+    df = spark.createDataFrame(rows, "station_code string, ts timestamp_ntz, y int, depth double, rain double")
+    got = {r.scorer: r for r in evaluation.run_baselines(df, df, df, "depth", "rain").collect()}
+    assert (got["persistence"].tp, got["persistence"].fp, got["persistence"].fn) == (20, 0, 0)
+    assert (got["rain_rule"].tp, got["rain_rule"].fn) == (10, 10)  # an unknown score is no alert
+    assert set(got) == {"persistence", "rain_rule", "climatology", "always_negative"}
+
+
+def test_a_snapshot_of_nothing_and_a_poll_three_hours_old(spark):
+    rows = [(T0 - timedelta(hours=h), 2.0 - h / 10, 0.1 if h else None, -1.0 if h == 0 else None) for h in (0, 1, 3, 5)]
+    polls = spark.createDataFrame(rows, "polled_at timestamp_ntz, level double, rise double, flow double")
+    one = live.water_snapshot(polls, str(T0)).first()
+    assert one.water_rise_3h_mean == 0.3 and one.water_rise_1h_mean is None and one.flow_negative_share == 1.0 and one.water_offline_share == 0.0
+    none = live.water_snapshot(polls, "2030-01-01 00:00:00").collect()
+    assert len(none) == 1 and none[0].polled_at is None and none[0].flow_mean is None
+
+
+def test_forecast_of_a_flooded_and_of_an_unknown_station(spark):
+    cold = spark.createDataFrame([(True,)], "cold_start boolean")
+    got = {r.station_code: r for r in live.live_forecast(spark.createDataFrame([("a", 20.0, 0.9), ("b", None, None), ("c", 1.0, 0.5), ("d", 1.0, 0.01)], "station_code string, depth_now double, prob double"), cold, 15, 0.1).collect()}
+    assert {k: (r.status, r.alert, r.probability) for k, r in got.items()} == {"a": ("flooded_now", True, None), "b": ("unknown", False, None), "c": ("at_risk", True, 0.5), "d": ("clear", False, 0.01)}
+    assert all(r.cold_start for r in got.values())
