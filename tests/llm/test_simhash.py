@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -64,6 +66,64 @@ def test_components_match_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(got.values()))
 
 
+def clustered(rng, n, centres=6, bits=14):
+    """Fingerprints around a few centres, so that distances spread from 0 to 64."""
+    base = [rng.getrandbits(64) for _ in range(centres)]
+    out = set()
+    while len(out) < n:
+        x = rng.choice(base)
+        for b in rng.sample(range(64), rng.randint(0, bits)):
+            x ^= 1 << b
+        out.add(x)
+    return sorted(out)
+
+
+def joined(n, edges):
+    up = list(range(n))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        up[max(root(a), root(b))] = min(root(a), root(b))
+    return [root(i) for i in range(n)]
+
+
+def test_tree_goes_down_several_levels_and_misses_nothing():
+    rng = random.Random(11)
+    for n, bits in ((400, 6), (700, 14), (300, 3)):
+        fps = np.array(clustered(rng, n, bits=bits), np.uint64)
+        near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4
+        edges, depth = simhash.tree_links(fps, 4, leaf=4)
+        assert depth >= 4 and all(near[a, b] for a, b in edges) and len(edges) < n
+        assert joined(n, edges) == joined(n, np.argwhere(near).tolist())
+        cut = n // 3
+        edges, depth = simhash.tree_links(fps[:cut], 4, fps[cut:], leaf=4)
+        across = [(a, b) for a, b in np.argwhere(near).tolist() if (a < cut) != (b < cut)]
+        assert depth >= 4 and all((a < cut) != (b < cut) and near[a, b] for a, b in edges)
+        assert joined(n, edges) == joined(n, across)
+    same = np.array([7] * 50, np.uint64) ^ np.uint64(1) * np.arange(50, dtype=np.uint64)
+    assert len(set(joined(50, simhash.tree_links(same, 4, leaf=2)[0]))) == 1
+
+
+def test_blocks_follow_the_number_of_fingerprints():
+    assert simhash.shard_blocks(10, 4) == 5 and simhash.shard_blocks(10_000_000, 4) == 6 and simhash.shard_blocks(10**12, 4) == 8
+    for n in range(5, 11):
+        assert all(1 <= 64 * (b + 1) // n - 64 * b // n <= -(-64 // n) for b in range(n))
+
+
+@pytest.mark.parametrize("most", [1, 256])
+def test_links_of_every_width_are_those_of_brute_force(spark, most):
+    fps = clustered(random.Random(12), 500, bits=9)
+    signed = [(x - 2**64 if x >= 2**63 else x,) for x in fps]
+    place = {s[0]: k for k, s in enumerate(signed)}
+    edges = simhash.links(spark.createDataFrame(signed, "fp long"), block=64, most=most).collect()
+    near = np.bitwise_count(np.array(fps, np.uint64)[:, None] ^ np.array(fps, np.uint64)[None, :]) <= 4
+    assert joined(len(fps), [(place[e.a], place[e.b]) for e in edges]) == joined(len(fps), np.argwhere(near).tolist())
+
+
 def test_large_shard_is_dealt_out_in_blocks(spark):
     rng = random.Random(7)
     center = rng.getrandbits(64)
