@@ -37,16 +37,32 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def raw_file(spark: SparkSession, root: str, patterns: tuple[str, ...], dataset: str, year: int) -> str:
+    """The first pattern below ``root``, with the dataset and the year filled in, that any file matches; none is an error."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for pattern in patterns:
+        path = hadoop.Path(f"{root}/{pattern.format(dataset=dataset, year=year)}")
+        found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+        if found:
+            return path.toString()
+    raise FileNotFoundError(f"no raw file of {dataset} {year} below {root}")
+
+
+def manifest(spark: SparkSession, path: str, dataset: str, year: int) -> dict:
+    """What ``ingest`` noted of a dataset-year: rows, version, values out of range."""
+    return json.loads(spark.read.text(f"{path}-interim/{dataset}-{year}.manifest").first()["value"])
+
+
 def ingest(source: tuple[SparkSession, str], dataset: str, year: int, overwrite: bool = False) -> DataFrame:
     """Clean one dataset-year into ZSTD Parquet beside a JSON manifest, unless both are there already."""
     spark, path = source
-    target, manifest = f"{path}-interim/{dataset}/year={year}", f"{path}-interim/{dataset}-{year}.manifest"
-    if overwrite or not (exists(spark, target) and exists(spark, manifest)):
+    target, noted = f"{path}-interim/{dataset}/year={year}", f"{path}-interim/{dataset}-{year}.manifest"
+    if overwrite or not (exists(spark, target) and exists(spark, noted)):
         raw = read_raw(spark, path, dataset)
         cleaned(raw, dataset).write.mode("overwrite").option("compression", "zstd").parquet(target)
         flags = range_flags(raw, C.RANGES[dataset]).first().asDict()
         rows = spark.read.parquet(target).count()
-        spark.createDataFrame([(json.dumps({"rows": rows, "version": VERSION, **flags}),)], "value string").coalesce(1).write.mode("overwrite").text(manifest)
+        spark.createDataFrame([(json.dumps({"rows": rows, "version": VERSION, **flags}),)], "value string").coalesce(1).write.mode("overwrite").text(noted)
     return spark.read.parquet(target)
 
 

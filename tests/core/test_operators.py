@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sluice.functions.timeutil import interval
 from sluice.operators import evaluation, events, features, labels, live, metrics, terrain
 from sluice.plans import models
-from sluice.sources import payloads, raw
+from sluice.sources import payloads, raw, stores
 from sluice.streaming.live import is_due
 
 T0 = datetime(2024, 5, 1, 12)
@@ -224,3 +224,28 @@ def test_forecast_of_a_flooded_and_of_an_unknown_station(spark):
     got = {r.station_code: r for r in live.live_forecast(spark.createDataFrame([("a", 20.0, 0.9), ("b", None, None), ("c", 1.0, 0.5), ("d", 1.0, 0.01)], "station_code string, depth_now double, prob double"), cold, 15, 0.1).collect()}
     assert {k: (r.status, r.alert, r.probability) for k, r in got.items()} == {"a": ("flooded_now", True, None), "b": ("unknown", False, None), "c": ("at_risk", True, 0.5), "d": ("clear", False, 0.01)}
     assert all(r.cold_start for r in got.values())
+
+
+def test_raw_files_with_a_mark_and_quoted_commas_and_the_manifest(spark, tmp_path):
+    text = '\ufeffflood_code,flood_name,site_timestamp,flood\nFL.AAA.01,"a, b",2024-01-01 00:05:00,12.5\nFL.AAA.01,c,2024-01-01 00:10:00,NULL\nFL.AAA.02,d,2024-01-01 00:10:00,900\n'
+    (tmp_path / "flood_2024.csv").write_text(text, encoding="utf-8")
+    path = raw.raw_file(spark, str(tmp_path), ("{dataset}-{year}.csv", "{dataset}_{year}.csv"), "flood", 2024)
+    got = raw.ingest((spark, path), "flood", 2024)
+    assert sorted((r.station_code, r.station_name, r.flood) for r in got.collect() if r.flood) == [("FL.AAA.01", "a, b", 12.5)]
+    note = raw.manifest(spark, path, "flood", 2024)
+    assert note["rows"] == got.count() == 3 and note["version"] == raw.VERSION and 1 in note.values()
+    assert raw.ingest((spark, path), "flood", 2024).inputFiles() == got.inputFiles()  # not written again
+    with pytest.raises(FileNotFoundError):
+        raw.raw_file(spark, str(tmp_path), ("{dataset}-{year}.csv",), "flood", 2024)
+
+
+def test_a_store_of_several_versions_and_columns(spark, tmp_path):
+    rows = spark.createDataFrame([("a", T0, 1.0)], "station_code string, ts timestamp_ntz, x double")
+    root = stores.append_poll(str(tmp_path / "polls"), rows, "1")
+    stores.append_poll(root, rows.withColumn("y", F.lit(2)), "2")
+    both = stores.read_history(spark, root)
+    assert both.count() == 2 and {"x", "y", "dt"} <= set(both.columns)
+    assert stores.is_stale(both, "2", {"x"}) and not stores.is_stale(both.where("y = 2"), "2", {"x", "y"}) and stores.is_stale(both.where("y = 2"), "2", {"z"})
+    again = stores.history(both, spark.createDataFrame([("q",)], "body string"), lambda raw: raw, "2")
+    assert again.columns == ["body", "_collector_version"]
+    assert stores.kept_days(both, "2024-05-02 00:00:00", 1).count() == 2 and stores.kept_days(both, "2024-06-02 00:00:00", 1).count() == 0
