@@ -170,12 +170,15 @@ def candidates(keyed: DataFrame, sampled: DataFrame, apart: Callable[[np.ndarray
     return dealt(keyed, sampled, block).repartition(partitions, "bucket", "part").mapInArrow(run, "a long, b long, bucket long, part long")
 
 
-def verified(pairs: DataFrame, together: DataFrame, said: DataFrame, alike: Callable[[pa.Array, pa.Array], np.ndarray]) -> DataFrame:
+def verified(
+    pairs: DataFrame, together: DataFrame, said: DataFrame, alike: Callable[[pa.Array, pa.Array], np.ndarray], apart: Callable[[np.ndarray, np.ndarray], np.ndarray]
+) -> DataFrame:
     """Links ``(a, b)`` by which the units that are ``alike`` among the candidates are connected.
 
     ``pairs(a, b)`` are checked one by one, ``together(bucket, part, uid)``
     bucket by bucket unless already connected there; ``said(uid, said)``
-    has the units' words.  ``alike`` tells it of many pairs at once.
+    has the units' words.  ``alike`` tells it of many pairs at once;
+    ``apart`` is that of ``candidates``, here against more parities.
     """
     both = pairs.join(said.select(F.col("uid").alias("a"), F.col("said").alias("x")), "a")
     both = both.join(said.select(F.col("uid").alias("b"), F.col("said").alias("y")), "b")
@@ -194,13 +197,19 @@ def verified(pairs: DataFrame, together: DataFrame, said: DataFrame, alike: Call
             _, group = _groups(rows.column(0).to_numpy(), rows.column(1).to_numpy())
             first, last = np.searchsorted(group, group), np.searchsorted(group, group, "right")
             label, links = np.arange(len(uid)), []
+            values, n = unpacked(words)
+            bits = parities(values, n, 16).view(np.uint64)
             for i, j in pairs_within(group):
+                open_ = label[i] != label[j]
+                i, j = i[open_], j[open_]
+                near = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) <= apart(n[i], n[j])
+                i, j = i[near], j[near]
                 for at in range(0, len(i), TOGETHER):
                     x, y = i[at : at + TOGETHER], j[at : at + TOGETHER]
-                    open_ = np.flatnonzero(label[x] != label[y])
-                    if not len(open_):
-                        continue
+                    open_ = label[x] != label[y]
                     x, y = x[open_], y[open_]
+                    if not len(x):
+                        continue
                     hit = np.flatnonzero((uid[x] == uid[y]) | alike(words.take(pa.array(x)), words.take(pa.array(y))))
                     for k, m in zip(x[hit].tolist(), y[hit].tolist(), strict=True):
                         if label[k] != label[m]:

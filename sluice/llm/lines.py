@@ -364,7 +364,7 @@ def groups(docs: DataFrame, least_similarity: float = SIMILARITY, least_words: i
     asked = materialise(asked, "asked-lines")
     words = possible_members(said, "uid", asked).join(asked.withColumnRenamed("id", "uid"), "uid", "left_semi")
     words = materialise(words.dropDuplicates(["uid"]), "line-words")
-    found = blocks.verified(pairs, together, words, lambda x, y: all_similar(x, y, least_similarity))
+    found = blocks.verified(pairs, together, words, lambda x, y: all_similar(x, y, least_similarity), _apart(least_similarity))
     members = connected_components(found).withColumnRenamed("node", "uid")
 
     named = materialise(distinct.select("uid", "first").join(members, "uid", "left").withColumn("component", F.coalesce("component", "uid")), "line-groups")
