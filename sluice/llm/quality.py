@@ -341,7 +341,8 @@ def score(docs: DataFrame, model: Quality, threshold: float = 0.5) -> DataFrame:
 
     ``quality`` is the combined probability, ``keep`` whether it reaches
     ``threshold``.  Null and empty texts have zero measures and score like
-    any other; a null or unseen language or source carries no weight.
+    any other; a null or unseen language or source carries no weight; very
+    long texts count whole; rows that repeat an id are scored each.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred weights
 
@@ -354,7 +355,12 @@ def score(docs: DataFrame, model: Quality, threshold: float = 0.5) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Quality, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that reach ``threshold``, each judged by itself, columns unchanged."""
+    """The rows of ``docs`` that reach ``threshold``, each judged by itself, as ``score`` does.
+
+    Rows that repeat an id, and rows without one, are judged by their own
+    text; columns stay as they are, whatever their names; an empty table
+    gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 

@@ -246,7 +246,7 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> D
     """``docs`` with one row per component: the one whose id is the component's least.
 
     Of rows that repeat an id one stays.  Rows without an id can't be told
-    apart and stay.  Columns are those of ``docs``.
+    apart and stay.  Columns are those of ``docs``, whatever their names.
     """
     found = near_duplicates(docs, radius, shingle).where("doc_id is not null")
     by_id = materialise(

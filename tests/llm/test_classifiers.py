@@ -83,5 +83,8 @@ def test_odd_inputs(spark):
     assert toxicity.score(docs, toxicity.fit(docs, labels)).count() == 4
     assert quality.score(docs, quality.fit(docs, labels)).count() == 4
     assert quality.score(docs.limit(0), quality.fit(docs, labels)).count() == 0
+    assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), labels)).count() == 0
+    twins = docs.withColumnsRenamed({"label": "Quality"}).withColumn("keep", F.lit(7))
+    assert quality.keep_good(twins, quality.fit(twins, labels)).columns == twins.columns
     many = spark.createDataFrame([(1, 0), (1, 1), (1, 1), (2, 0), (2, None)], "doc_id long, quality int")
     assert {r.doc_id: r.label for r in text.one_label(many, "quality").collect()} == {1: 1, 2: 0}

@@ -160,3 +160,10 @@ def test_empty_table_and_repeated_rows(spark):
     twice = spark.createDataFrame([(4, "a b"), (4, "a b"), (2, "A  b"), (None, "a b")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.component_id) for r in simhash.near_duplicates(twice).collect()) == [(0, 2), (2, 2), (4, 2), (4, 2)]
     assert {r.doc_id for r in simhash.keep_one(twice).collect()} == {2, None}
+
+
+def test_one_of_each_group_stays_whatever_the_columns_are_called(spark):
+    rows = [(3, "a b c d e f", 1, "x"), (1, "a b c d e f", 2, "y"), (7, "quite another text than that one", 3, None), (7, "quite another text than that one", 4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, head int, rows string")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 7]
