@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -37,6 +38,18 @@ def discard(*written: DataFrame) -> None:
     """Delete what ``materialise`` wrote; nothing may read these frames afterwards."""
     for df in written:
         _remove(df.sparkSession, df._written_at)
+    if written:
+        release(written[0].sparkSession)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the shuffle files of finished plans go now.
+
+    Spark removes them when the driver's garbage collector finds the plans
+    unused, which on a large heap may be long after the disks are full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def unused_name(columns: list[str], wanted: str) -> str:

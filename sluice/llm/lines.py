@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import connected_components, discard, materialise, possible_members, unused_name
+from .common import connected_components, discard, materialise, possible_members, release, unused_name
 from .simhash import links as simhash_links
 from .text import Tokens, mixed, sequence_hashes
 
@@ -358,12 +358,14 @@ def groups(docs: DataFrame, least_similarity: float = SIMILARITY, least_words: i
     bits = near.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
     runs = materialise(_runs(said, least_similarity), "line-runs")
+    release(docs.sparkSession)
     pairs = materialise(runs.where("a < b").select("a", "b").unionByName(bits).distinct(), "line-pairs")
     together = runs.where("a = b").select("bucket", "part", F.col("a").alias("uid"))
     asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(together.select("uid")).distinct()
     asked = materialise(asked, "asked-lines")
     words = possible_members(said, "uid", asked).join(asked.withColumnRenamed("id", "uid"), "uid", "left_semi")
     words = materialise(words.dropDuplicates(["uid"]), "line-words")
+    release(docs.sparkSession)
     found = blocks.verified(pairs, together, words, lambda x, y: all_similar(x, y, least_similarity), _apart(least_similarity))
     members = connected_components(found).withColumnRenamed("node", "uid")
 
