@@ -98,12 +98,12 @@ def repeated(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(twice[at] == values)
 
 
-def _whole(batches: Iterable[pa.RecordBatch]) -> pa.Table | None:
+def whole(batches: Iterable[pa.RecordBatch]) -> pa.Table | None:
     held = [b for b in batches if b.num_rows]
     return pa.Table.from_batches(held) if held else None
 
 
-def _groups(bucket: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def grouped(bucket: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order that puts rows of a bucket and part together, and the group of each row in that order."""
     order = np.lexsort((part, bucket))
     change = np.zeros(len(order), np.int64)
@@ -136,14 +136,14 @@ def candidates(keyed: DataFrame, sampled: DataFrame, apart: Callable[[np.ndarray
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _whole(batches)
+        table = whole(batches)
         if table is None:
             return
         bucket, part = table.column(0).to_numpy(), table.column(2).to_numpy()
         unit, _ = unpacked(table.column(1), UNIT)
         again = repeated(bucket)
         bucket, part, unit = bucket[again], part[again], unit[again]
-        order, group = _groups(bucket, part)
+        order, group = grouped(bucket, part)
         bucket, part, unit = bucket[order], part[order], unit[order]
         uid, n, bits = unit["uid"].copy(), unit["n"].astype(np.int64), [unit["bits"][:, k].copy() for k in range(PARITIES)]
         small = np.bincount(group)[group] <= SMALL
@@ -194,7 +194,7 @@ def verified(
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in sorted_groups(batches, 2):
             uid, words = rows.column(2).to_numpy(), rows.column(3).combine_chunks()
-            _, group = _groups(rows.column(0).to_numpy(), rows.column(1).to_numpy())
+            _, group = grouped(rows.column(0).to_numpy(), rows.column(1).to_numpy())
             first, last = np.searchsorted(group, group), np.searchsorted(group, group, "right")
             label, links = np.arange(len(uid)), []
             values, n = unpacked(words)

@@ -22,8 +22,8 @@ A shard returns a spanning forest of its links, not its pairs.
 
 from __future__ import annotations
 
-import functools
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +32,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import pairs_within
-from .common import arrow_rows, connected_components, discard, materialise, sorted_groups
+from .blocks import ROWS, SAMPLED, dealt, grouped, pairs_within, repeated, whole
+from .common import arrow_rows, connected_components, materialise
+from .text import mixed
 
 RADIUS = 4
 SHINGLE = 4
@@ -146,12 +147,6 @@ def tree_links(fp: np.ndarray, radius: int, other: np.ndarray | None = None, lea
     return groups.edges, depth
 
 
-def block_key(fp, block: int, blocks: int):
-    """Bits of one of ``blocks`` even blocks of a 64-bit column."""
-    low, high = 64 * block // blocks, 64 * (block + 1) // blocks
-    return F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << (high - low)) - 1))
-
-
 def shard_blocks(count: int, radius: int, most: int = SHARD) -> int:
     """The number of even blocks by which ``count`` fingerprints fall into shards of ``most`` on average.
 
@@ -164,61 +159,60 @@ def shard_blocks(count: int, radius: int, most: int = SHARD) -> int:
     return n
 
 
+def shard_keys(fp: np.ndarray, blocks: int, radius: int) -> Iterator[np.ndarray]:
+    """For each choice of ``blocks`` - ``radius`` blocks, a hash of their bits and of the choice."""
+    mask = [((1 << 64 * (k + 1) // blocks) - 1) ^ ((1 << 64 * k // blocks) - 1) for k in range(blocks)]
+    for chosen in itertools.combinations(mask, blocks - radius):
+        bits = np.uint64(sum(chosen))
+        yield mixed((fp & bits) ^ mixed(np.array([bits]))).view(np.int64)
+
+
 def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK, most: int = SHARD) -> DataFrame:
     """Edges ``(a, b)`` whose components are those of all pairs within ``radius`` bits.
 
-    ``fps`` has distinct values in ``fp``.  A shard above ``block`` is dealt
-    out as all pairs (i <= j) of its blocks.
+    ``fps`` has distinct values in ``fp``.  A shard above about ``block`` is
+    dealt out as all pairs of its blocks.  A partition is compared in
+    memory: some ``blocks.ROWS`` rows.
     """
-    n = shard_blocks(fps.count(), radius, most)
-    keys = [
-        functools.reduce(lambda x, y: x * F.lit(1 << -(-64 // n)) + y, [block_key(F.col("fp"), i, n) for i in chosen])
-        for chosen in itertools.combinations(range(n), n - radius)
-    ]
-    keyed = fps.select("fp", F.posexplode(F.array(*keys)).alias("tree", "shard"))
-    sizes = keyed.groupBy("tree", "shard").count().where(F.col("count") > block)
-    sizes = materialise(sizes.select("tree", "shard", F.ceil(F.col("count") / block).cast("int").alias("parts")), "hot-shards")
-    if sizes.isEmpty():
-        dealt = keyed.select("tree", "shard", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("own"), "fp")
-    else:
-        parts = keyed.join(sizes, ["tree", "shard"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-        dealt = parts.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        dealt = dealt.select("tree", "shard", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp")
+    count = fps.count()
+    n = shard_blocks(count, radius, most)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard in shard_keys(batch.column(0).to_numpy().view(np.uint64), n, radius):
+                yield pa.RecordBatch.from_arrays([pa.array(shard), batch.column(0)], names=["bucket", "unit"])
+
+    fps = fps.select("fp")
+    keyed = fps.mapInArrow(keys, "bucket long, unit long")
+    sampled = fps.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLED)) == 0).mapInArrow(keys, "bucket long, unit long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shards in sorted_groups(batches, 4):
-            tree, shard, i, j, own, raw = (shards.column(k).to_numpy() for k in range(6))
-            change = np.zeros(len(raw), np.int64)
-            for k in (tree, shard, i, j):
-                change[1:] |= k[1:] != k[:-1]
-            group, fp = np.cumsum(change), raw.view(np.uint64)
-            starts = np.append(np.flatnonzero(np.append(1, change[1:])), len(raw))
-            small = (np.diff(starts) <= SMALL)[group] & (i == j)
-            a, b = [], []
-            spot = np.flatnonzero(small)
-            for x, y in pairs_within(group[spot]):
-                near = np.bitwise_count(fp[spot[x]] ^ fp[spot[y]]) <= radius
-                a.append(spot[x[near]])
-                b.append(spot[y[near]])
-            for g in np.flatnonzero(~small[starts[:-1]]).tolist():
-                s, e = int(starts[g]), int(starts[g + 1])
-                at = np.arange(s, e)
-                one, two = (at, None) if i[s] == j[s] else (at[own[s:e] == i[s]], at[own[s:e] == j[s]])
-                found, _ = tree_links(fp[one], radius, None if two is None else fp[two])
-                if found:
-                    x, y = np.array(found).T
-                    at = one if two is None else np.concatenate([one, two])
-                    a.append(at[x])
-                    b.append(at[y])
-            if sum(map(len, a)):
-                yield pa.RecordBatch.from_arrays([pa.array(raw[np.concatenate(a)]), pa.array(raw[np.concatenate(b)])], names=["a", "b"])
-
-    return (
-        dealt.repartition("tree", "shard", "i", "j")
-        .sortWithinPartitions("tree", "shard", "i", "j")
-        .mapInArrow(run, "a long, b long")
-    )
+        table = whole(batches)
+        if table is None:
+            return
+        bucket, raw, part = (table.column(k).to_numpy() for k in range(3))
+        again = repeated(bucket)
+        order, group = grouped(bucket[again], part[again])
+        raw = raw[again][order]
+        fp, a, b = raw.view(np.uint64), [], []
+        small = np.flatnonzero(np.bincount(group)[group] <= SMALL)
+        for x, y in pairs_within(group[small]):
+            near = np.bitwise_count(fp[small[x]] ^ fp[small[y]]) <= radius
+            a.append(small[x[near]])
+            b.append(small[y[near]])
+        large = np.setdiff1d(np.arange(len(raw)), small)
+        for at in np.split(large, np.flatnonzero(np.diff(group[large])) + 1):
+            found, _ = tree_links(fp[at], radius)
+            if found:
+                x, y = np.array(found).T
+                a.append(at[x])
+                b.append(at[y])
+        if sum(map(len, a)):
+            yield pa.RecordBatch.from_arrays([pa.array(raw[np.concatenate(a)]), pa.array(raw[np.concatenate(b)])], names=["a", "b"])
+
+    rows = count * math.comb(n, radius)
+    partitions = max(-(-rows // ROWS), int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt(keyed, sampled, block).select("bucket", "unit", "part").repartition(partitions, "bucket", "part").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
