@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import corpus_pipeline
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, lines, neighbours, packing, pii, quality, simhash, substrings, toxicity
+from . import chat, decontaminate, divergence, lines, neighbours, packing, periodic, pii, quality, secrets, simhash, substrings, toxicity
 from .common import sha256_hex, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,6 +100,46 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.spans(table(spark, sf_dir, "documents"))
+    said = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("plain", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, secrets.PLAIN), sha256_hex(said("plain")).alias("base_sha256"), said("spans").alias("spans"))
+
+
+def _planted(doc_id: int | None, n: int) -> np.ndarray | None:
+    """The order of words that the contract of op12 gives every tenth document."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    i = np.arange(n)
+    return np.where(i < a, i, a + (i - a) % (1 + (n - a) // (3 + g % 8)))
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.runs(table(spark, sf_dir, "documents"), rewrite=_planted)
+    # the exact ratio of two runs by cross products; the earlier one, in the order of start and period, wins a tie
+    more = lambda best, r: best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"])
+    best = F.aggregate("runs", F.lit(None).cast("struct<start:long,length:long,period:long>"), lambda best, r: F.when(more(best, r), r).otherwise(best))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        sha256_hex(F.array_join(line, "")).alias("runs_sha256"),
+        sha256_hex(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op2_lines": op2_lines,
@@ -109,10 +151,39 @@ QUERIES: dict[str, Query] = {
     "op8_substrings": op8_substrings,
     "op9_quality": op9_quality,
     "op10_simhash": op10_simhash,
+    "op11_secrets": op11_secrets,
+    "op12_periodic": op12_periodic,
+    "op13_divergence": op13_divergence,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
+    "op13_divergence": """
+        WITH words AS (
+            SELECT doc_id, lang, source, unnest(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+            FROM (SELECT row_number() OVER () AS doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents)
+        ), kept AS (SELECT lang, term FROM words GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3),
+        cells AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+        groups AS (SELECT DISTINCT coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+        sizes AS (SELECT lang, count(*)::HUGEINT AS v FROM kept GROUP BY 1),
+        totals AS (SELECT lang, source, coalesce(sum(n), 0) + any_value(coalesce(v, 0)) AS total FROM groups LEFT JOIN cells USING (lang, source) LEFT JOIN sizes USING (lang) GROUP BY ALL),
+        shares AS (
+            SELECT lang, source, term, coalesce(n, 0) AS n, 1 + 1000000000 * (coalesce(n, 0) + 1) // total AS p
+            FROM totals JOIN kept USING (lang) LEFT JOIN cells USING (lang, source, term)),
+        whole AS (
+            SELECT lang, term, 1 + 1000000000 * (sum(n) + 1) // (any_value(total) + any_value(v)) AS q
+            FROM cells JOIN (SELECT lang, sum(n) AS total FROM cells GROUP BY 1) USING (lang) JOIN sizes USING (lang) GROUP BY ALL),
+        pairs AS (
+            SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(sum((a.p - b.p) * (a.p - b.p) // b.p), 0) AS value
+            FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source
+            LEFT JOIN shares a ON a.lang = g.lang AND a.source = g.source LEFT JOIN shares b ON b.lang = h.lang AND b.source = h.source AND b.term = a.term
+            GROUP BY ALL),
+        terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM shares JOIN whole USING (lang, term) WHERE n > 0 AND p > q)
+        SELECT lang, source, part, item, value::BIGINT AS value,
+               row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+        FROM (FROM pairs UNION ALL FROM terms) QUALIFY part = 'pair' OR rank <= 200
+    """,
     "op7_chat": """
         WITH rows AS (
             SELECT conv_id, turn, role, text FROM conversations
