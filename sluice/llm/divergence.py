@@ -32,7 +32,7 @@ SCALE = 1_000_000_000
 #: Ranks of terms that a report holds for each source.
 TOP = 200
 #: Values that are worked on at once, cells of a language's matrix in a task, bytes of text that are cut at once.
-BLOCK, CELLS, PIECE = 1 << 20, 1 << 19, 1 << 23
+BLOCK, CELLS, PIECE = 1 << 20, 1 << 16, 1 << 23
 
 #: What a byte of a term becomes; zero ends a term.  Letters of ASCII and all bytes of other characters make terms.
 _TERM = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 0 for b in range(256)], np.uint8)
