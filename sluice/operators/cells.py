@@ -82,3 +82,32 @@ def sample_points(points: DataFrame, cells: DataFrame, size: float) -> DataFrame
     """The elevation of the cell that each point ``(east, north)`` lies in, null outside."""
     at = points.withColumns({"y": F.floor(F.col("north") / size).cast("long"), "x": F.floor(F.col("east") / size).cast("long")})
     return at.join(cells.select("y", "x", "z"), ["y", "x"], "left").drop("y", "x")
+
+
+def road_mask(cells: DataFrame, roads: DataFrame, size: float, reach: float) -> DataFrame:
+    """``cells`` with ``is_road``: whether the cell's centre lies within ``reach`` of a road.
+
+    ``roads`` are straight pieces ``(east, north, to_east, to_north)``.  A
+    piece names the lines of cells it comes near, and on each the cells
+    along that part of it, so candidates follow the roads' length and not
+    the boxes around them; a distance decides.
+    """
+    line = lambda low, high: F.sequence(F.ceil(low / size - 0.5), F.floor(high / size - 0.5))  # cells by their centres
+    c = F.col
+    known = roads.select(*(c(k).cast("double").alias(k) for k in ("east", "north", "to_east", "to_north"))).dropna()
+    known = known.withColumns({"dx": c("to_east") - c("east"), "dy": c("to_north") - c("north")})
+    low, high = F.least("north", "to_north") - reach, F.greatest("north", "to_north") + reach
+    near = known.where(F.ceil(low / size - 0.5) <= F.floor(high / size - 0.5)).withColumn("y", F.explode(line(low, high)))
+    # the part of the piece whose north is within reach of the line's middle, as shares of its length
+    middle = (c("y") + 0.5) * size
+    ends = [F.try_divide(middle + k * reach - c("north"), c("dy")) for k in (-1, 1)]
+    clip = lambda x, other: F.least(F.greatest(F.coalesce(x, F.lit(other)), F.lit(0.0)), F.lit(1.0))
+    along = near.withColumns({"t0": clip(F.least(*ends), 0.0), "t1": clip(F.greatest(*ends), 1.0)})
+    along = along.withColumns({"a": c("east") + c("t0") * c("dx"), "b": c("east") + c("t1") * c("dx")})
+    left, right = F.least("a", "b") - reach, F.greatest("a", "b") + reach
+    met = along.where(F.ceil(left / size - 0.5) <= F.floor(right / size - 0.5)).withColumn("x", F.explode(line(left, right)))
+    px, py = (c("x") + 0.5) * size - c("east"), middle - c("north")
+    share = clip(F.try_divide(px * c("dx") + py * c("dy"), c("dx") * c("dx") + c("dy") * c("dy")), 0.0)
+    away = F.pow(px - share * c("dx"), 2) + F.pow(py - share * c("dy"), 2)
+    hit = met.where(F.round(away, 9) <= reach * reach).select("y", "x").distinct().withColumn("is_road", F.lit(True))
+    return cells.join(hit, ["y", "x"], "left").withColumn("is_road", F.coalesce("is_road", F.lit(False)))

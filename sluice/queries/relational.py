@@ -11,7 +11,7 @@ from sluice.operators import baselines, metrics, sampling
 from sluice.registry import add
 from sluice.sources import payloads
 
-from .base import GRID, READINGS, grid, readings, table
+from .base import GRID, READINGS, exact_mean, exact_mean_sql, grid, readings, table
 from .core import DEPTH, EVENTS, EXTERNAL, LABELLED, SCORED, TIERS, depth, found, hourly, labelled, rain, scored  # noqa: F401
 
 
@@ -95,8 +95,8 @@ add("a30_misses_by_hour", lambda s, d: scored(s, d).where("y = 1").groupBy(F.hou
     f"WITH {SCORED} SELECT hour(ts)::INT AS hour, count(*) FILTER (WHERE pred = 0) AS fn, count(*) FILTER (WHERE pred = 1) AS tp, round(count(*) FILTER (WHERE pred = 0) / count(*), 6) AS miss_rate FROM scored WHERE y = 1 GROUP BY 1")
 add("a31_caught_and_missed", lambda s, d: scored(s, d).where("y = 1").groupBy("pred").agg(F.count("*").alias("n"), F.round(F.median("flood"), 6).alias("median_depth")),
     f"WITH {SCORED} SELECT pred, count(*) AS n, round(median(flood), 6) AS median_depth FROM scored WHERE y = 1 GROUP BY 1")
-add("a36_grouped_transform", lambda s, d: hourly(s, d).select("district", "ts", "fcst", F.round(F.avg("fcst").over(Window.partitionBy("district", F.month("ts"), F.hour("ts"))), 3).alias("usual")),
-    f"WITH {GRID}, {EXTERNAL} SELECT district, ts, fcst, round(avg(fcst) OVER (PARTITION BY district, month(ts), hour(ts)), 3) AS usual FROM hourly")
+add("a36_grouped_transform", lambda s, d: hourly(s, d).select("district", "ts", "fcst", exact_mean("fcst", 3, Window.partitionBy("district", F.month("ts"), F.hour("ts"))).alias("usual")),
+    f"WITH {GRID}, {EXTERNAL} SELECT district, ts, fcst, {exact_mean_sql('fcst', 3, 'OVER (PARTITION BY district, month(ts), hour(ts))')} AS usual FROM hourly")
 add("a37_wet_hour_skill", lambda s, d: hourly(s, d).withColumn("later", F.lead("fcst").over(Window.partitionBy("district").orderBy("ts"))).agg(F.round(F.corr("fcst", "later"), 6).alias("corr"), F.round(F.avg(((F.col("fcst") >= 50) == (F.col("later") >= 50)).cast("double")), 6).alias("agree")),
     f"WITH {GRID}, {EXTERNAL}, x AS (SELECT fcst, lead(fcst) OVER (PARTITION BY district ORDER BY ts) AS later FROM hourly) SELECT round(corr(fcst, later), 6) AS corr, round(avg(((fcst >= 50) = (later >= 50))::INT), 6) AS agree FROM x")
 add("a38_summary", lambda s, d: readings(s, d).agg(F.count("flood").alias("n"), F.round(F.avg("flood"), 6).alias("mean"), F.round(F.stddev_pop("flood"), 6).alias("std"), *(F.round(F.percentile("flood", p / 100), 6).alias(f"p{p}") for p in (1, 5, 10, 25, 50, 75, 90, 95, 99))),
@@ -147,9 +147,9 @@ add("w17_latest_per_group", lambda s, d: sampling.latest(readings(s, d), ["stati
     f"WITH {READINGS} SELECT * FROM readings QUALIFY row_number() OVER (PARTITION BY station_code ORDER BY ts DESC, event_id DESC) = 1")
 add("w18_alert_episodes", lambda s, d: readings(s, d).where("flood >= 60").withColumn("was", F.lag("ts").over(by())).agg(F.count("*").alias("n_alerts"), (F.count_if(minutes_between("was", "ts") > 180) + F.countDistinct("station_code")).alias("n_episodes")),
     f"WITH {READINGS}, x AS (SELECT station_code, ts, lag(ts) OVER (PARTITION BY station_code ORDER BY ts, event_id) AS was FROM readings WHERE flood >= 60) SELECT count(*) AS n_alerts, count(*) FILTER (WHERE date_diff('minute', was, ts) > 180) + count(DISTINCT station_code) AS n_episodes FROM x")
-_means = lambda s, d: readings(s, d).groupBy("station_code").agg(F.round(F.avg("flood"), 1).alias("mean_depth"))
+_means = lambda s, d: readings(s, d).groupBy("station_code").agg(exact_mean("flood", 1).alias("mean_depth"))
 add("w21_rank_ties", lambda s, d: _means(s, d).select("station_code", F.rank().over(Window.orderBy("mean_depth")).alias("rank_min"), F.floor(F.rank().over(Window.orderBy(F.desc("mean_depth"))) + (F.count("*").over(Window.partitionBy("mean_depth")) - 1) / 2).cast("int").alias("rank_avg")),
-    f"""WITH {READINGS}, m AS (SELECT station_code, round(avg(flood), 1) AS mean_depth FROM readings GROUP BY 1)
+    f"""WITH {READINGS}, m AS (SELECT station_code, {exact_mean_sql('flood', 1)} AS mean_depth FROM readings GROUP BY 1)
     SELECT station_code, rank() OVER (ORDER BY mean_depth NULLS FIRST) AS rank_min, floor(rank() OVER (ORDER BY mean_depth DESC NULLS LAST) + (count(*) OVER (PARTITION BY mean_depth) - 1) / 2.0)::INT AS rank_avg FROM m""")
 add("w10_order_check", lambda s, d: readings(s, d).groupBy("station_code").agg((F.count("*") - F.countDistinct("ts")).alias("n_repeated_ts")),
     f"WITH {READINGS} SELECT station_code, count(*) - count(DISTINCT ts) AS n_repeated_ts FROM readings GROUP BY 1")

@@ -8,10 +8,10 @@ from sluice.operators import sampling
 from sluice.plans import serving
 from sluice.registry import add
 from sluice.sources import raw
-from sluice.streaming import live
+from sluice.streaming import live, online
 
-from .base import GRID, READINGS, grid, readings
-from .core import LABELLED, SCORED, TIERS, labelled, scored
+from .base import GRID, READINGS, grid, readings, table
+from .core import EVENTS, LABELLED, SCORED, TIERS, labelled, scored
 
 AT = "2024-01-15 12:00:00"
 SQL_AT = f"TIMESTAMP '{AT}'"
@@ -55,8 +55,26 @@ add("d17_build_matrix", lambda s, d: sampling.thinned_negatives(labelled(s, d).w
     AND (y_ge100_3h OR ('0x' || substr(md5(station_code || '|' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '|1'), 1, 8))::BIGINT % 1000000 < 250000)""")
 add("s04_ingest", lambda s, d: raw.ingest(raw.write_csv_fixture(readings(s, d), "flood"), "flood", 2024),
     f"WITH {READINGS} SELECT station_code, station_code AS station_name, date_trunc('second', ts) AS ts, CASE WHEN flood BETWEEN 0 AND 200 THEN flood END AS flood FROM readings")
-add("t05_tumbling", lambda s, d: live.tumbling(s, f"{d}/events.parquet"),
+
+
+def streamed(spark, sf, make):
+    """The events as they would have come in: in three slices, every twentieth half a day late."""
+    rows = table(spark, sf, "events")
+    arrival = F.col("ts") + F.when(F.col("event_id") % 20 == 0, F.expr("INTERVAL 12 HOURS")).otherwise(F.expr("INTERVAL 0 HOURS"))
+    return live.replayed(rows, live.EVENTS, make, arrival, ("2024-01-11", "2024-01-21"), "2030-01-01")
+
+
+def streamed_events(stream):
+    code = F.concat(F.lit("FL."), F.upper(F.substring("event_type", 1, 3)), F.lit("."), F.lpad((F.col("user_id") % 4).cast("string"), 2, "0"))
+    read = stream.select(F.coalesce(code, F.lit("")).alias("station_code"), "ts", F.when(F.col("event_type") != "error", F.col("value")).alias("flood"))
+    return online.events(read, TIERS, cadence=30, persistence=2, merge_gap=180)
+
+
+add("t04_online_events", lambda s, d: streamed(s, d, streamed_events), f"WITH {EVENTS} SELECT * FROM found")
+add("t05_tumbling", lambda s, d: streamed(s, d, live.tumbling),
     "SELECT event_type, time_bucket(INTERVAL 15 MINUTE, ts) AS window_start, count(*) AS n, round(avg(value), 6) AS mean_value, max(value) AS max_value FROM events GROUP BY 1, 2")
+add("t05_sliding", lambda s, d: streamed(s, d, lambda e: live.sliding(e, 6, 120)),
+    """SELECT event_type, time_bucket(INTERVAL 2 HOUR, ts) + k * INTERVAL 2 HOUR AS ts, count(*) AS n, max(value) AS max_value FROM events, (VALUES (1), (2), (3)) t(k) GROUP BY 1, 2""")
 add("t03_dedupe", lambda s, d: live.deduplicated(s, f"{d}/events.parquet"), "SELECT event_id, ts, user_id, event_type, value FROM events")
 add("t04_sessions", lambda s, d: live.sessions(s, f"{d}/events.parquet", 100, 180),
     """WITH wet AS (SELECT user_id, ts, value, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS was FROM events WHERE value >= 100),

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def connect(app: str = "sluice", master: str | None = None, memory: str | None = None, **conf: str) -> SparkSession:
@@ -44,3 +45,16 @@ def shared_dir(spark: SparkSession) -> str:
     made = tempfile.mkdtemp(prefix="sluice-checkpoint-")
     spark.sparkContext.setCheckpointDir("file://" + os.path.abspath(made))
     return spark.sparkContext.getCheckpointDir()
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as Parquet on shared storage, read back: its plan ends here, a lost executor costs a re-read."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def state_in_rocksdb(spark: SparkSession) -> None:
+    """Keep the state of streams on disk, as arbitrary stateful operators need."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

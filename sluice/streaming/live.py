@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.session import shared_dir
@@ -36,19 +37,78 @@ def _run(stream: DataFrame, mode: str) -> DataFrame:
     return spark.read.parquet(f"{base}/out")
 
 
-def tumbling(spark: SparkSession, path: str, minutes: int = 15, late: str = "24 hours") -> DataFrame:
-    """Counts, means and maxima per type and tumbling window; readings up to ``late`` count."""
+class Feed:
+    """A store that fills up slice by slice, and streams that are run over what has come in.
+
+    Every ``run`` is a new start of the same query from its checkpoint: it
+    reads the slices that came since, with the state that the last one left.
+    """
+
+    def __init__(self, spark: SparkSession, schema: str):
+        self.spark, self.schema = spark, schema
+        self.base = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
+        self.dropped = 0
+        #: rows of state after each run
+        self.state: list[int] = []
+
+    def add(self, rows: DataFrame) -> None:
+        names = [f.split()[0] for f in self.schema.split(", ")]
+        rows.select(*names).write.mode("append").parquet(f"{self.base}/in")
+
+    def source(self) -> DataFrame:
+        return self.spark.readStream.schema(self.schema).parquet(f"{self.base}/in").withColumn("ts", F.col("ts").cast("timestamp"))
+
+    def run(self, stream: DataFrame) -> None:
+        """Append what the stream has to say by now; rows behind the watermark are counted as dropped."""
+        writer = stream.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{self.base}/checkpoint")
+        query = writer.format("parquet").option("path", f"{self.base}/out").start()
+        query.awaitTermination()
+        steps = [op for progress in query.recentProgress for op in progress.stateOperators]
+        self.dropped += sum(op.numRowsDroppedByWatermark for op in steps)
+        if steps:
+            self.state.append(steps[-1].numRowsTotal)
+
+    def out(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.base}/out")
+
+    def closed(self, make: Callable[[DataFrame], DataFrame], last: str) -> DataFrame:
+        """What is said once time has passed ``last``: empty readings of that time carry the watermark on."""
+        empty = ", ".join(f"CAST(NULL AS {f.split()[1]}) AS {f.split()[0]}" for f in self.schema.split(", ") if not f.startswith("ts "))
+        for _ in range(2):  # a batch sees the watermark that the one before left
+            self.add(self.spark.sql(f"SELECT TIMESTAMP_NTZ '{last}' AS ts, {empty}"))
+            self.run(make(self.source()))
+        return self.out()
+
+
+def replayed(rows: DataFrame, schema: str, make: Callable[[DataFrame], DataFrame], arrival: Column, cuts: Sequence[str], last: str) -> DataFrame:
+    """A table as a stream: its rows come in slices of their ``arrival`` time, cut at ``cuts``, and then nothing until ``last``."""
+    feed = Feed(rows.sparkSession, schema)
+    edges = [None, *(F.lit(c).cast("timestamp_ntz") for c in cuts), None]
+    for low, high in zip(edges, edges[1:], strict=False):
+        inside = F.lit(True) if low is None else arrival >= low
+        feed.add(rows.where(inside if high is None else inside & (arrival < high)))
+        feed.run(make(feed.source()))
+    return feed.closed(make, last)
+
+
+def tumbling(stream: DataFrame, minutes: int = 15, late: str = "24 hours") -> DataFrame:
+    """Counts, means and maxima per type and tumbling window, once each: when the watermark passes the window's end.
+
+    Readings more than ``late`` behind the newest one are dropped; a window
+    that was put out leaves the state.
+    """
     slot = F.window("ts", f"{minutes} minutes")
-    agg = source(spark, path).withWatermark("ts", late).groupBy("event_type", slot).agg(
+    agg = stream.withWatermark("ts", late).groupBy("event_type", slot).agg(
         F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_value"), F.max("value").alias("max_value")
     )
-    return _run(agg, "complete").select("event_type", F.col("window.start").cast("timestamp_ntz").alias("window_start"), "n", "mean_value", "max_value")
+    return agg.select("event_type", F.col("window.start").cast("timestamp_ntz").alias("window_start"), "n", "mean_value", "max_value")
 
 
-def sliding(spark: SparkSession, path: str, hours: int = 3, step: int = 15) -> DataFrame:
+def sliding(stream: DataFrame, hours: int = 3, step: int = 15, late: str = "24 hours") -> DataFrame:
+    """Counts and maxima per type over the last ``hours``, every ``step`` minutes, each when the watermark passes its end."""
     slot = F.window("ts", f"{hours} hours", f"{step} minutes")
-    agg = source(spark, path).withWatermark("ts", "24 hours").groupBy("event_type", slot).agg(F.max("value").alias("max_value"))
-    return _run(agg, "complete").select("event_type", F.col("window.end").cast("timestamp_ntz").alias("ts"), "max_value")
+    agg = stream.withWatermark("ts", late).groupBy("event_type", slot).agg(F.count("*").alias("n"), F.max("value").alias("max_value"))
+    return agg.select("event_type", F.col("window.end").cast("timestamp_ntz").alias("ts"), "n", "max_value")
 
 
 def deduplicated(spark: SparkSession, path: str, late: str = "24 hours") -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice.functions.timeutil import interval
-from sluice.operators import evaluation, events, features, labels, live, metrics, terrain
+from sluice.operators import evaluation, events, features, labels, live, metrics
 from sluice.plans import models
 from sluice.sources import payloads, raw, stores
 from sluice.streaming.live import is_due
@@ -106,26 +106,6 @@ def test_forward_rain_needs_the_last_stamp(spark):
     assert interval(3, micros=-1) == "INTERVAL '0 02:59:59.999999' DAY TO SECOND"
 
 
-def test_bowl_in_a_plane(spark):
-    r, c = np.mgrid[0:60, 0:60]
-    z = 0.01 * c - np.where(np.hypot(r - 30, c - 30) < 8, 0.4 * (1 - np.hypot(r - 30, c - 30) / 8), 0)
-    depth = terrain.depression_depth(z)
-    assert 0.3 < depth.max() < 0.41
-    assert abs(np.median(terrain.slope_degrees(0.01 * c, 1.0)) - 0.5729) < 1e-3
-    assert terrain.flow_accumulation(0.01 * c + 0.0, 1.0)[:, 0].sum() == 3600
-    cells = spark.createDataFrame([(0, int(i), int(j), float(z[i, j])) for i in range(60) for j in range(60)], "tile long, row long, col long, z double")
-    out = terrain.tile_terrain(cells, 1.0, 2)
-    assert out.count() == 56 * 56 and 0.3 < out.agg(F.max("depth")).first()[0] < 0.41
-
-
-def test_roofs_are_masked():
-    r, c = np.mgrid[0:240, 0:240]
-    dome = np.maximum(0, 3.5 * (1 - (np.hypot(r % 60 - 30, c % 60 - 30) / 25) ** 2))
-    mask = terrain.ground_mask(1.0 + dome, 1.0)
-    assert 0.05 < mask.mean() < 0.8 and np.median((1.0 + dome)[mask]) < 1.4
-    assert terrain.ground_mask(0.8 + 0.002 * c, 1.0).mean() > 0.3
-
-
 def test_payloads(spark):
     now = T0
     body = '{"hourly":{"time":["2024-05-01T11:00","2024-05-01T13:00","bad"],"precipitation":[1.0,null,2.0]}}'
