@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions import constants as C
 from sluice.functions.timeutil import floor_minutes
+from sluice.operators.quantiles import quantiles
 
 
 def district():
@@ -74,7 +75,8 @@ def district_risk(forecast: DataFrame) -> DataFrame:
 
 def area_forecast(scored: DataFrame, ts: str, value: str = "flood") -> DataFrame:
     now = scored.where(F.col("ts") == _at(ts))
-    return now.agg(F.round(F.percentile(value, 0.95), 6).alias("p95"), F.round(F.avg(value), 6).alias("mean"), F.max(value).alias("max"), F.count(value).alias("n"))
+    rest = now.agg(F.round(F.avg(value), 6).alias("mean"), F.max(value).alias("max"), F.count(value).alias("n"))
+    return quantiles(now, value, {"p95": 0.95}).select(F.round("p95", 6).alias("p95")).join(rest, how="right").select("p95", "mean", "max", "n")  # one row each
 
 
 def alert_level(p95: dict[int, str], now: str):

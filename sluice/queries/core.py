@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.operators import events, features, labels, metrics, quality
+from sluice.operators.quantiles import with_quantiles
 from sluice.registry import add
 
 from .base import GRID, READINGS, grid, readings, table
@@ -75,9 +76,9 @@ add(
 )
 add(
     "a19_event_summary",
-    lambda s, d: found(s, d).groupBy("tier_cm").agg(
-        F.round(F.median("duration_minutes"), 6).alias("median_minutes"), F.round(F.percentile("duration_minutes", 0.9), 6).alias("p90_minutes"),
-        F.max("peak_depth_cm").alias("max_depth_cm"), F.countDistinct("station_code").alias("n_stations"),
+    lambda s, d: with_quantiles(
+        found(s, d).groupBy("tier_cm").agg(F.max("peak_depth_cm").alias("max_depth_cm"), F.countDistinct("station_code").alias("n_stations")),
+        found(s, d), "duration_minutes", {"median_minutes": 0.5, "p90_minutes": 0.9}, ("tier_cm",),
     ),
     f"""WITH {EVENTS} SELECT tier_cm, round(median(duration_minutes), 6) AS median_minutes, round(quantile_cont(duration_minutes, 0.9), 6) AS p90_minutes,
         max(peak_depth_cm) AS max_depth_cm, count(DISTINCT station_code) AS n_stations FROM found GROUP BY 1""",
@@ -85,7 +86,7 @@ add(
 QUANTILES = (0.25, 0.5, 0.75, 0.9, 0.99)
 add(
     "a20_duration_quantiles",
-    lambda s, d: found(s, d).groupBy("tier_cm").agg(*(F.round(F.percentile("duration_minutes", q), 6).alias(f"q{int(q * 100)}") for q in QUANTILES)),
+    lambda s, d: with_quantiles(found(s, d).select("tier_cm").distinct(), found(s, d), "duration_minutes", {f"q{int(q * 100)}": q for q in QUANTILES}, ("tier_cm",)),
     f"WITH {EVENTS} SELECT tier_cm, " + ", ".join(f"round(quantile_cont(duration_minutes, {q}), 6) AS q{int(q * 100)}" for q in QUANTILES) + " FROM found GROUP BY 1",
 )
 

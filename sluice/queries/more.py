@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions import constants as C
 from sluice.operators import baselines, features, metrics
+from sluice.operators.quantiles import with_quantiles
 from sluice.registry import add
 from sluice.sources import payloads, stores
 
@@ -43,7 +44,7 @@ def _ahead(h):
 
 add("a41_over_and_under", lambda s, d: scored(s, d).groupBy((F.col("flood") >= 100).alias("deep")).agg(F.count("*").alias("n"), F.round(F.avg(((F.col("pred") == 1) & (F.col("y") == 0)).cast("double")), 6).alias("over"), F.round(F.avg(((F.col("pred") == 0) & (F.col("y") == 1)).cast("double")), 6).alias("under")),
     f"WITH {SCORED} SELECT flood >= 100 AS deep, count(*) AS n, round(avg((pred = 1 AND y = 0)::INT), 6) AS over, round(avg((pred = 0 AND y = 1)::INT), 6) AS under FROM scored GROUP BY 1")
-add("a43_wet_profile", lambda s, d: readings(s, d).groupBy("station_code").agg(F.count_if(F.col("flood") >= 100).alias("n_pos"), F.count_if(F.col("flood") < 100).alias("n_neg"), F.round(F.median(F.when(F.col("flood") >= 100, F.col("flood"))), 6).alias("median_wet")),
+add("a43_wet_profile", lambda s, d: readings(s, d).groupBy("station_code").agg(F.count_if(F.col("flood") >= 100).alias("n_pos"), F.count_if(F.col("flood") < 100).alias("n_neg")).transform(lambda n: with_quantiles(n, readings(s, d).where("flood >= 100"), "flood", {"median_wet": 0.5}, ("station_code",))),
     f"WITH {READINGS} SELECT station_code, count(*) FILTER (WHERE flood >= 100) AS n_pos, count(*) FILTER (WHERE flood < 100) AS n_neg, round(median(flood) FILTER (WHERE flood >= 100), 6) AS median_wet FROM readings GROUP BY 1")
 _family = lambda: F.when(F.col("p_type").startswith("STANDARD"), "standard").when(F.col("p_type").startswith("SMALL"), "small").otherwise("other")
 add("a45_share_by_family", lambda s, d: table(s, d, "part").groupBy(_family().alias("family")).agg(F.sum("p_retailprice").alias("gain")).select("family", F.round(F.col("gain") / F.sum("gain").over(Window.partitionBy()), 6).alias("share")),
@@ -90,7 +91,7 @@ def _states(h):
     return y.select("district", F.when(F.col("present") < 0.5, "NO DATA").when(F.col("same") > 0.99, "SAME").otherwise("DIFFERENT").alias("state"))
 
 
-add("d36_roughness", lambda s, d: grid(s, d).withColumn("step", F.abs(F.col("flood") - F.lag("flood").over(Window.partitionBy("station_code").orderBy("ts")))).groupBy("station_code").agg(F.round(F.percentile("step", 0.5), 6).alias("median_step"), F.round(F.percentile("step", 0.99), 6).alias("p99_step")),
+add("d36_roughness", lambda s, d: with_quantiles(grid(s, d).select("station_code").distinct(), grid(s, d).withColumn("step", F.abs(F.col("flood") - F.lag("flood").over(Window.partitionBy("station_code").orderBy("ts")))), "step", {"median_step": 0.5, "p99_step": 0.99}, ("station_code",)),
     f"WITH {GRID}, x AS (SELECT station_code, abs(flood - lag(flood) OVER (PARTITION BY station_code ORDER BY ts)) AS step FROM grid) SELECT station_code, round(quantile_cont(step, 0.5), 6) AS median_step, round(quantile_cont(step, 0.99), 6) AS p99_step FROM x GROUP BY 1")
 _base = lambda s, d, f: metrics.average_precision(f(scored(s, d).drop("score")))
 add("d14_persistence_score", lambda s, d: _base(s, d, lambda x: baselines.persistence(x, "flood")),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sluice.functions import constants as C
 from sluice.functions.timeutil import floor_minutes, minutes_between
 from sluice.operators import baselines, metrics, sampling
+from sluice.operators.quantiles import with_quantiles
 from sluice.registry import add
 from sluice.sources import payloads
 
@@ -93,13 +94,13 @@ add("a29_two_level", lambda s, d: readings(s, d).groupBy("station_code", F.date_
     SELECT split_part(station_code, '.', 2) AS district, hour_ts, count(deepest) AS n, count(*) FILTER (WHERE deepest >= 100) AS n_wet, max(deepest) AS deepest FROM x GROUP BY 1, 2""")
 add("a30_misses_by_hour", lambda s, d: scored(s, d).where("y = 1").groupBy(F.hour("ts").alias("hour")).agg(F.count_if(F.col("pred") == 0).alias("fn"), F.count_if(F.col("pred") == 1).alias("tp")).withColumn("miss_rate", F.round(F.col("fn") / (F.col("fn") + F.col("tp")), 6)),
     f"WITH {SCORED} SELECT hour(ts)::INT AS hour, count(*) FILTER (WHERE pred = 0) AS fn, count(*) FILTER (WHERE pred = 1) AS tp, round(count(*) FILTER (WHERE pred = 0) / count(*), 6) AS miss_rate FROM scored WHERE y = 1 GROUP BY 1")
-add("a31_caught_and_missed", lambda s, d: scored(s, d).where("y = 1").groupBy("pred").agg(F.count("*").alias("n"), F.round(F.median("flood"), 6).alias("median_depth")),
+add("a31_caught_and_missed", lambda s, d: with_quantiles(scored(s, d).where("y = 1").groupBy("pred").agg(F.count("*").alias("n")), scored(s, d).where("y = 1"), "flood", {"median_depth": 0.5}, ("pred",)),
     f"WITH {SCORED} SELECT pred, count(*) AS n, round(median(flood), 6) AS median_depth FROM scored WHERE y = 1 GROUP BY 1")
 add("a36_grouped_transform", lambda s, d: hourly(s, d).select("district", "ts", "fcst", exact_mean("fcst", 3, Window.partitionBy("district", F.month("ts"), F.hour("ts"))).alias("usual")),
     f"WITH {GRID}, {EXTERNAL} SELECT district, ts, fcst, {exact_mean_sql('fcst', 3, 'OVER (PARTITION BY district, month(ts), hour(ts))')} AS usual FROM hourly")
 add("a37_wet_hour_skill", lambda s, d: hourly(s, d).withColumn("later", F.lead("fcst").over(Window.partitionBy("district").orderBy("ts"))).agg(F.round(F.corr("fcst", "later"), 6).alias("corr"), F.round(F.avg(((F.col("fcst") >= 50) == (F.col("later") >= 50)).cast("double")), 6).alias("agree")),
     f"WITH {GRID}, {EXTERNAL}, x AS (SELECT fcst, lead(fcst) OVER (PARTITION BY district ORDER BY ts) AS later FROM hourly) SELECT round(corr(fcst, later), 6) AS corr, round(avg(((fcst >= 50) = (later >= 50))::INT), 6) AS agree FROM x")
-add("a38_summary", lambda s, d: readings(s, d).agg(F.count("flood").alias("n"), F.round(F.avg("flood"), 6).alias("mean"), F.round(F.stddev_pop("flood"), 6).alias("std"), *(F.round(F.percentile("flood", p / 100), 6).alias(f"p{p}") for p in (1, 5, 10, 25, 50, 75, 90, 95, 99))),
+add("a38_summary", lambda s, d: with_quantiles(readings(s, d).agg(F.count("flood").alias("n"), F.round(F.avg("flood"), 6).alias("mean"), F.round(F.stddev_pop("flood"), 6).alias("std")), readings(s, d), "flood", {f"p{p}": p / 100 for p in (1, 5, 10, 25, 50, 75, 90, 95, 99)}),
     f"WITH {READINGS} SELECT count(flood) AS n, round(avg(flood), 6) AS mean, round(stddev_pop(flood), 6) AS std, " + ", ".join(f"round(quantile_cont(flood, {p / 100}), 6) AS p{p}" for p in (1, 5, 10, 25, 50, 75, 90, 95, 99)) + " FROM readings")
 add("w20_histogram_percentiles", lambda s, d: _histogram(readings(s, d)),
     f"""WITH {READINGS}, b AS (SELECT floor(flood)::INT AS bin, count(*) AS n FROM readings WHERE flood IS NOT NULL GROUP BY 1), c AS (SELECT bin, sum(n) OVER (ORDER BY bin) AS run, sum(n) OVER () AS total FROM b)
@@ -127,7 +128,7 @@ def _identical(h):
     return x.agg(F.round(F.avg(same), 6).alias("same_all"), F.round(F.avg(F.when(F.col("fcst") > 50, same)), 6).alias("same_wet"), F.count("past").alias("n"))
 
 
-add("a44_poll_reference", lambda s, d: readings(s, d).groupBy("station_code").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("last_id"), F.round(F.median("flood"), 6).alias("median_depth")),
+add("a44_poll_reference", lambda s, d: with_quantiles(readings(s, d).groupBy("station_code").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("last_id")), readings(s, d), "flood", {"median_depth": 0.5}, ("station_code",)),
     f"WITH {READINGS} SELECT station_code, arg_max(event_id, (ts, event_id)) AS last_id, round(median(flood), 6) AS median_depth FROM readings GROUP BY 1")
 add("a47_monotone_decay", lambda s, d: labelled(s, d).agg(*(F.count_if(F.col(f"y_ge50_{h}h")).alias(f"h{h}") for h in (1, 3, 6))).selectExpr("stack(3, 1, h1, 3, h3, 6, h6) AS (horizon, n)").select("horizon", "n", (F.col("n") >= F.coalesce(F.lag("n").over(Window.orderBy("horizon")), F.lit(0))).alias("grows")),
     f"""WITH {LABELLED}, x AS (SELECT 1 AS horizon, count(*) FILTER (WHERE y_ge50_1h) AS n FROM labelled UNION ALL SELECT 3, count(*) FILTER (WHERE y_ge50_3h) FROM labelled UNION ALL SELECT 6, count(*) FILTER (WHERE y_ge50_6h) FROM labelled)
