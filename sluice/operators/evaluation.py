@@ -123,3 +123,42 @@ def folds(rows: DataFrame, which: int) -> dict[str, DataFrame]:
         "val": embargoed(of((fold["val"],)), f"{fold['test']}-01-01"),
         "test": of((fold["test"],)),
     }
+
+
+def forecast_report(forecast: DataFrame, observed: DataFrame, all_same: float = 0.99, wet_same: float = 0.95, least_wet: int = 100) -> DataFrame:
+    """Per year: how often a forecast ``(district, ts, fcst)`` equals what was seen ``(district, ts, seen)``.
+
+    Most hours are dry, so agreement on wet hours is what tells; a forecast
+    that agrees too often is the measurement under another name.  A year of
+    which next to nothing was forecast is ``empty``.
+    """
+    both = forecast.join(observed, ["district", "ts"], "full")
+    known = F.col("fcst").isNotNull() & F.col("seen").isNotNull()
+    same, wet = known & (F.col("fcst") == F.col("seen")), known & ((F.col("fcst") > 0) | (F.col("seen") > 0))
+    per = both.groupBy(F.year("ts").alias("year")).agg(
+        F.count("*").alias("n"), F.round(F.count("fcst") / F.count("*"), 4).alias("coverage"),
+        F.round(F.try_divide(F.count_if(same), F.count_if(known)), 4).alias("identical_all"),
+        F.round(F.try_divide(F.count_if(same & wet), F.count_if(wet)), 4).alias("identical_wet"), F.count_if(wet).alias("wet_hours"),
+    )
+    copied = (F.col("identical_all") > all_same) | ((F.col("wet_hours") > least_wet) & (F.col("identical_wet") > wet_same))
+    return per.withColumn("status", F.when(F.col("coverage") < 0.01, "empty").when(copied, "reanalysis").otherwise("usable"))
+
+
+def guarded(rows: DataFrame, report: DataFrame, ts: str = "ts") -> DataFrame:
+    """``rows`` as they are, or an error as soon as one lies in a year that the report doesn't call usable.
+
+    The guard is part of the plan: whatever reads the rows meets it.
+    """
+    year, status = unused(rows, "year"), unused(rows, "status")
+    judged = rows.withColumn(year, F.year(ts)).join(F.broadcast(report.select(F.col("year").alias(year), F.col("status").alias(status))), year, "left")  # a row a year
+    said = F.concat(F.lit("no forecast for "), F.col(year).cast("string"), F.lit(": "), F.coalesce(status, F.lit("not in the report")))
+    fine = F.when(F.col(status).eqNullSafe("usable"), F.lit(True)).otherwise(F.raise_error(said).cast("boolean"))
+    return judged.where(fine).drop(year, status)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name

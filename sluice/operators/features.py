@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import partial
 from math import pi
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sluice.functions import constants as C
@@ -50,26 +50,27 @@ def depth_features(readings: DataFrame, value: str = "flood", step: int = C.STEP
     )
 
 
-def district_rain(readings: DataFrame, value: str, step: int = C.STEP_MINUTES, lags=(4, 12, 192)) -> DataFrame:
+def district_rain(readings: DataFrame, value: str, step: int = C.STEP_MINUTES, lags=(4, 12, 192), by_year: bool = False) -> DataFrame:
     """Mean, maximum, count and spread per district and grid time, with row lags of the mean.
 
-    Thinned before the aggregation; the lags count grid rows on purpose.
+    Thinned before the aggregation; the lags count grid rows on purpose, and
+    with ``by_year`` those of the same year.
     """
     grid = readings.where(F.minute("ts") % step == 0).groupBy(F.split_part("station_code", F.lit("."), F.lit(2)).alias("district_code"), "ts")
     agg = grid.agg(F.round(F.avg(value), 6).alias("rain_now"), F.max(value).alias("rain_max"), F.count(value).alias("rain_stations"))
-    w = Window.partitionBy("district_code").orderBy("ts")
+    w = Window.partitionBy("district_code", *([F.year("ts")] if by_year else [])).orderBy("ts")
     out = agg.withColumn("rain_spread", F.round(F.col("rain_max") - F.col("rain_now"), 6))
     out = out.withColumns({f"rain_lag_{n}": F.lag("rain_now", n).over(w) for n in lags})
     return out.withColumn("rain_antecedent_ratio", F.round(F.try_divide(F.col("rain_now"), F.nullif(F.col(f"rain_lag_{lags[-1]}"), F.lit(0.0))), 6))
 
 
-def citywide_water(readings: DataFrame, value: str, lag: int = 12, excluded=(), step: int = C.STEP_MINUTES) -> DataFrame:
+def citywide_water(readings: DataFrame, value: str, lag: int = 12, excluded=(), step: int = C.STEP_MINUTES, by_year: bool = False) -> DataFrame:
     """Per time: mean and largest rise over ``lag`` rows, share rising, share offline.
 
     Row lags are taken before thinning.  Excluded stations stay out of the
     rises but not out of the offline share.
     """
-    w = Window.partitionBy("station_code").orderBy("ts")
+    w = Window.partitionBy("station_code", *([F.year("ts")] if by_year else [])).orderBy("ts")
     rise = F.col(value) - F.lag(value, lag).over(w)
     used = ~F.col("station_code").isin(*excluded) if excluded else F.lit(True)
     marked = readings.withColumn("rise", rise).where(F.minute("ts") % step == 0)
@@ -119,12 +120,31 @@ def feature_table(depth: DataFrame, labelled: DataFrame, rain: DataFrame, city:
     wide = base.join(rain, ["district_code", "ts"], "left").join(city, "ts", "left").join(districts, "district_code", "left")
     wide = wide.withColumn("hour_ts", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
     wide = wide.join(hourly.withColumnRenamed("ts", "hour_ts"), ["district", "hour_ts"], "left").drop("hour_ts")
-    return calendar(wide)
+    return calendar(wide).withColumn("rain_x_recent_flood", F.round(F.col("rain_now") * F.col("fl_max_24h"), 6))
+
+
+def write_feature_table(wide: DataFrame, path: str) -> None:
+    """The table in folders by year, numbers in single precision; years that ``wide`` has are replaced, others stay.
+
+    Keys, labels and flags keep their types.  Rows are dealt by year and
+    station, so a year's files don't mix and a year isn't one task.
+    """
+    kept = {"station_code", "ts", "district", "district_code"}
+    narrow = [F.col(f.name).cast("float").alias(f.name) if f.dataType.simpleString() == "double" and f.name not in kept else F.col(f.name) for f in wide.schema]
+    yearly = wide.select(*narrow).withColumn("year", F.year("ts"))
+    dealt = yearly.repartition("year", F.pmod(F.xxhash64("station_code"), F.lit(8)))
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("year").parquet(path)
+
+
+def read_feature_table(spark: SparkSession, path: str) -> DataFrame:
+    """The table with its ``year``; a filter by year leaves the other folders alone."""
+    return spark.read.parquet(path)
 
 
 def with_terrain(rows: DataFrame, terrain: DataFrame) -> DataFrame:
     """The terrain of each row's district; a district counts once, the rest of the rows stay with nulls."""
-    once = terrain.dropDuplicates(["district"])  # a row a district: Spark broadcasts it by its size
+    least = F.min(F.struct(*(c for c in terrain.columns if c != "district"))).alias("least")  # of rows of one district the least
+    once = terrain.groupBy("district").agg(least).select("district", "least.*")
     return rows.join(once, "district", "left").select(*rows.columns, *(c for c in terrain.columns if c != "district"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions import constants as C
@@ -15,7 +15,11 @@ def range_checked(raw: DataFrame, ranges: dict[str, tuple[float, float]]) -> Dat
 
 def range_flags(raw: DataFrame, ranges: dict[str, tuple[float, float]], keys: tuple[str, ...] = ()) -> DataFrame:
     """How many values of each column the check would null, in one pass over all columns."""
-    return raw.groupBy(*keys).agg(*(F.count_if(F.col(c).isNotNull() & ~F.col(c).between(*r)).alias(f"flagged_{c}") for c, r in ranges.items()))
+    return raw.groupBy(*keys).agg(*flag_counts(ranges))
+
+
+def flag_counts(ranges: dict[str, tuple[float, float]]) -> list[Column]:
+    return [F.count_if(F.col(c).isNotNull() & ~F.col(c).between(*r)).alias(f"flagged_{c}") for c, r in ranges.items()]
 
 
 def expected_rows(days: int, cadence: int = C.CADENCE_MINUTES) -> int:

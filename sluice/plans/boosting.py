@@ -330,7 +330,8 @@ def score(nodes: DataFrame, rows: DataFrame, features: list[str]) -> DataFrame:
     )
     per = nodes.where("tree < 0").select("target", "alpha", F.col("value").alias("base"))
     same = (F.col("a.target") == F.col("b.target")) & F.col("a.alpha").eqNullSafe(F.col("b.alpha"))
-    forests = per.alias("a").join(trees.groupBy("target", "alpha").agg(F.collect_list("nodes").alias("trees")).alias("b"), same, "left").select("a.target", "a.alpha", "base", "trees")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("tree", "nodes"))), lambda t: t["nodes"])  # sums follow the order
+    forests = per.alias("a").join(trees.groupBy("target", "alpha").agg(ordered.alias("trees")).alias("b"), same, "left").select("a.target", "a.alpha", "base", "trees")
     names = [name_of(r["target"], r["alpha"]) for r in per.select("target", "alpha").orderBy("target", "alpha").collect()]  # one a model
     one = forests.groupBy().agg(F.array_sort(F.collect_list(F.struct("target", "alpha", "base", "trees"))).alias("__models"))
 

@@ -210,11 +210,22 @@ add("w12_forward_rain", hourly, f"WITH {GRID}, {EXTERNAL} SELECT * FROM hourly")
 
 
 def wide(spark: SparkSession, sf: str) -> DataFrame:
-    return features.feature_table(depth(spark, sf), labelled(spark, sf), rain(spark, sf), city(spark, sf), districts(spark, sf), hourly(spark, sf))
+    """The feature table, no year's windows reaching into another; forecasts, which are not measured, may."""
+    slots = grid(spark, sf)
+    parts = (
+        features.depth_features(slots, thresholds=(50, 100), by_year=True), labels.labels(slots, TIERS, H, min_share=0.02, by_year=True),
+        features.district_rain(slots, "flood", by_year=True), features.citywide_water(slots, "flood", excluded=(DEAD,), by_year=True),
+    )
+    return features.feature_table(*parts, districts(spark, sf), hourly(spark, sf))
 
 
-WIDE = f"""{LABELLED}, {DEPTH[len(GRID) + 2:]}, {RAIN}, {CITY}, {EXTERNAL}, wide_table AS (
-    SELECT d.*, l.* EXCLUDE (station_code, ts, flood), r.* EXCLUDE (ts), c.* EXCLUDE (ts), m.district, h.* EXCLUDE (district, ts), {CALENDAR.replace('(ts)', '(d.ts)').replace(', ts)', ', d.ts)')}
+def _yearly(sql: str) -> str:
+    return sql.replace("PARTITION BY station_code ORDER", "PARTITION BY station_code, year(ts) ORDER").replace("PARTITION BY district_code ORDER", "PARTITION BY district_code, year(ts) ORDER")
+
+
+WIDE = f"""{_yearly(LABELLED)}, {_yearly(DEPTH[len(GRID) + 2:])}, {_yearly(RAIN)}, {_yearly(CITY)}, {EXTERNAL}, wide_table AS (
+    SELECT d.*, l.* EXCLUDE (station_code, ts, flood), r.* EXCLUDE (ts), c.* EXCLUDE (ts), m.district, h.* EXCLUDE (district, ts), {CALENDAR.replace('(ts)', '(d.ts)').replace(', ts)', ', d.ts)')},
+        round(r.rain_now * d.fl_max_24h, 6) AS rain_x_recent_flood
     FROM depth d LEFT JOIN labelled l USING (station_code, ts)
     LEFT JOIN rain r ON r.district_code = split_part(d.station_code, '.', 2) AND r.ts = d.ts
     LEFT JOIN city c ON c.ts = d.ts LEFT JOIN districts m ON m.district_code = split_part(d.station_code, '.', 2)

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sluice.operators import evaluation, features, live, quality
+from sluice.operators import evaluation, features, live, metrics, quality
+from sluice.plans import boosting
 from sluice.registry import add
-from sluice.sources import payloads, stores
+from sluice.session import shared_dir, written
+from sluice.sources import pages, payloads, raw, stores
 
 from .base import GRID, READINGS, grid, readings, table
-from .core import DEPTH, SCORED, TIERS, WIDE, _metrics_sql, depth, districts, scored, wide
+from .core import DEPTH, EXTERNAL, H, SCORED, TIERS, WIDE, _metrics_sql, depth, districts, hourly, labelled, scored, wide
 from .serving import AT, CARRIED, SQL_AT, carried
 
 SOURCES = ("CLI", "ERR", "PUR", "SIG", "XXX")
@@ -171,11 +175,30 @@ add("n07_rolling_window", lambda s, d: stores.kept_days(readings(s, d), AT, 5).g
     f"WITH {READINGS} SELECT station_code, count(*) AS n, min(ts) AS first_ts FROM readings WHERE ts > {SQL_AT} - INTERVAL 5 DAYS AND ts <= {SQL_AT} GROUP BY 1")
 
 # -- the feature table's readers ------------------------------------------
-add("s08_load_features", lambda s, d: evaluation.load_features(wide(s, d), (2024,), ("fl_max_3h", "rain_now"), 100, 3),
-    f"WITH {WIDE} SELECT station_code, ts, y_ge100_3h, y_valid_3h, is_onset_100, y_maxdepth_3h, fl_max_3h, rain_now FROM wide_table WHERE y_valid_3h AND year(ts) = 2024")
-NAMES = ("fl_max_3h", "era5_1h", "rain_fcst_1h", "rain_now", "cal_monsoon")
-add("p05_feature_set", lambda s, d: s.createDataFrame([(k, f) for k, y in (("onset", 2020), ("onset", 2022), ("general", 2022)) for f in evaluation.feature_set(list(NAMES), k, (2019, y))], "kind string, feature string"),
-    "SELECT kind, feature FROM (VALUES ('onset', false), ('onset', true), ('general', false)) k(kind, fcst), (VALUES " + ", ".join(f"('{n}')" for n in NAMES) + ") f(feature) WHERE NOT starts_with(feature, 'era5_') AND (fcst OR NOT starts_with(feature, 'rain_fcst'))")
+def stored_features(spark: SparkSession, sf: str) -> DataFrame:
+    """The feature table as it is written, by year."""
+    path = f"{shared_dir(spark)}/features-{uuid.uuid4().hex}"
+    features.write_feature_table(wide(spark, sf), path)
+    return features.read_feature_table(spark, path)
+
+
+add("s08_load_features", lambda s, d: evaluation.load_features(stored_features(s, d), (2024,), ("fl_max_3h", "rain_now"), 100, 3).withColumns({c: F.round(F.col(c).cast("double"), 3) for c in ("rain_now", "fl_max_3h", "y_maxdepth_3h")}),
+    f"""WITH {WIDE} SELECT station_code, ts, y_ge100_3h, y_valid_3h, is_onset_100, round(y_maxdepth_3h::FLOAT::DOUBLE, 3) AS y_maxdepth_3h, round(fl_max_3h::FLOAT::DOUBLE, 3) AS fl_max_3h, round(rain_now::FLOAT::DOUBLE, 3) AS rain_now
+    FROM wide_table WHERE y_valid_3h AND year(ts) = 2024""")
+
+
+def known_features(spark: SparkSession, sf: str) -> DataFrame:
+    """How many values each input of a kind of model has in the feature table."""
+    rows = wide(spark, sf)
+    inputs = features.feature_columns(rows)
+    kinds = {kind: evaluation.feature_set(inputs, kind, (2019, 2022)) for kind in ("onset", "general")}
+    counted = quality.null_shares(rows, inputs).select("feature", "n_values")
+    return counted.withColumn("kind", F.explode(F.array(*(F.when(F.col("feature").isin(chosen), F.lit(kind)) for kind, chosen in kinds.items())))).where("kind IS NOT NULL")
+
+
+add("p05_feature_set", known_features,
+    f"""WITH {WIDE}, n AS (SELECT count(COLUMNS('^((fl|rain|wl|fcst|cal)(_.*)?)$')) AS "\\1" FROM wide_table), u AS (UNPIVOT n ON COLUMNS(*) INTO NAME feature VALUE n_values)
+    SELECT kind, feature, n_values FROM u, (VALUES ('onset'), ('general')) k(kind)""")
 add("d12_feature_check", lambda s, d: evaluation.check_features(grid(s, d), depth(s, d), 3, "fl_max_3h"),
     f"""WITH {DEPTH}, x AS (SELECT d.fl_max_3h AS stored, (SELECT max(flood) FROM grid g WHERE g.station_code = d.station_code AND g.ts BETWEEN d.ts - INTERVAL 3 HOURS AND d.ts) AS again,
     (SELECT max(flood) FROM grid g WHERE g.station_code = d.station_code AND g.ts > d.ts AND g.ts <= d.ts + INTERVAL 3 HOURS) AS ahead FROM depth d)
@@ -214,3 +237,89 @@ def terrain_joined(spark: SparkSession, sf: str) -> DataFrame:
 add("j06_terrain", terrain_joined,
     f"""WITH {DEPTH}, t(district, elevation, slope) AS (VALUES {', '.join(f"('{n}', {e}::DOUBLE, {s}::DOUBLE)" for n, e, s in TERRAIN)})
     SELECT station_code, ts, n_name AS district, elevation, slope FROM depth JOIN nation ON n_nationkey = ascii(substr(split_part(station_code, '.', 2), 1, 1)) % 25 LEFT JOIN t ON t.district = n_name""")
+
+
+# -- reports in pages: every fifth page serves the one before it once more, the last but one nothing new -----------
+PAGE = 250
+
+
+def served(spark: SparkSession, sf: str) -> str:
+    """The events as pages of reports on shared storage."""
+    root = f"{shared_dir(spark)}/pages-{uuid.uuid4().hex}"
+    e = table(spark, sf, "events").withColumn("page", F.floor(F.col("event_id") / PAGE).cast("int"))
+    last = e.agg(F.max("page").alias("last"))
+    again = F.when((F.col("page") == F.col("last") - 1) & (F.col("page") > 0), F.col("event_id") - PAGE).when((F.col("page") % 5 == 4) & (F.col("event_id") % 2 == 0), F.col("event_id") - PAGE).otherwise(F.col("event_id"))
+    properties = F.struct(again.cast("string").alias("ticket_id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.col("event_type").alias("district"))
+    place = F.struct(F.array(F.lit(100.0) + F.col("user_id") / 1000, F.lit(13.0)).alias("coordinates"))
+    feature = F.struct(F.col("event_id").alias("id"), place.alias("geometry"), properties.alias("properties"))
+    page = e.crossJoin(F.broadcast(last)).groupBy("page").agg(F.array_sort(F.collect_list(feature)).alias("features"))  # PAGE of them
+    page.select("page", F.to_json(F.struct("features")).alias("value")).repartition("page").write.partitionBy("page").text(root)
+    return root
+
+
+def reports(spark: SparkSession, sf: str) -> DataFrame:
+    return pages.until_nothing_new(pages.read(spark, served(spark, sf), maxPages=1_000_000)).select("page", "ticket_id", "ts", "lon", "district")
+
+
+add("s16_paged_reports", reports,
+    f"""WITH e AS (SELECT *, (event_id // {PAGE})::INT AS page FROM events), l AS (SELECT max(page) AS last FROM e),
+    t AS (SELECT page, event_id, ts, event_type, 100.0::DOUBLE + user_id / 1000 AS lon, CASE WHEN page = last - 1 AND page > 0 THEN event_id - {PAGE} WHEN page % 5 = 4 AND event_id % 2 = 0 THEN event_id - {PAGE} ELSE event_id END AS ticket FROM e, l),
+    f AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY ticket ORDER BY page, event_id) = 1),
+    stop AS (SELECT min(page) AS stop FROM (SELECT DISTINCT page FROM t) ANTI JOIN f USING (page))
+    SELECT page, ticket::VARCHAR AS ticket_id, date_trunc('second', ts) AS ts, lon, event_type AS district FROM f, stop WHERE stop IS NULL OR page < stop""")
+
+
+def table_order(spark: SparkSession, sf: str) -> DataFrame:
+    return readings(spark, sf).select("station_code", "ts", "flood", "event_id")
+
+
+def _two_sources(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """A forecast, and a measurement that equals it on even hours and is missing on every third."""
+    h = hourly(spark, sf)
+    seen = h.where(F.hour("ts") % 3 != 0).select("district", "ts", F.when(F.hour("ts") % 2 == 0, F.col("fcst")).otherwise(F.col("fcst") + 1).alias("seen"))
+    return h.select("district", "ts", "fcst"), seen
+
+
+add("w10_file_order", lambda s, d: raw.order_check(raw.read_raw(s, raw.write_csv_fixture(table_order(s, d), "flood", ordered="event_id")[1], "flood"), "site_timestamp"),
+    f"""WITH {READINGS}, x AS (SELECT date_trunc('second', ts) AS ts, lag(date_trunc('second', ts)) OVER (ORDER BY event_id) AS was FROM readings)
+    SELECT count(*) AS n_rows, count(*) FILTER (WHERE ts < was) AS n_inversions, count(*) FILTER (WHERE ts = was) AS n_repeats FROM x""")
+add("a40_forecast_report", lambda s, d: evaluation.forecast_report(*_two_sources(s, d)),
+    f"""WITH {GRID}, {EXTERNAL}, x AS (SELECT year(ts)::INT AS year, fcst, CASE WHEN hour(ts) % 3 <> 0 THEN CASE WHEN hour(ts) % 2 = 0 THEN fcst ELSE fcst + 1 END END AS seen FROM hourly)
+    SELECT year, count(*) AS n, round(count(fcst) / count(*), 4) AS coverage, round(count(*) FILTER (WHERE fcst = seen) / count(seen), 4) AS identical_all,
+    round(count(*) FILTER (WHERE fcst = seen AND (fcst > 0 OR seen > 0)) / count(*) FILTER (WHERE seen IS NOT NULL AND (fcst > 0 OR seen > 0)), 4) AS identical_wet,
+    count(*) FILTER (WHERE seen IS NOT NULL AND (fcst > 0 OR seen > 0)) AS wet_hours, 'usable' AS status FROM x GROUP BY 1""")
+
+
+# -- models as tables of nodes: few rounds, since every driver's run trains them ----------------------------------
+INPUTS = ("fl_depth_now", "fl_depth_lag_1h", "fl_rise_1h", "fl_max_3h", "fl_max_24h", "fl_mean_1h", "fl_std_3h", "fl_missing_share_3h")
+QUANTILES = (0.05, 0.5, 0.95)
+
+
+def split_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Depth features and labels; the third week of the month stops the training, what is later is held out."""
+    rows = depth(spark, sf).join(labelled(spark, sf).drop("flood"), ["station_code", "ts"])
+    day = F.dayofmonth("ts")
+    return written(rows.withColumns({"validation": (day > 15) & (day <= 21), "held_out": day > 21}), "split")
+
+
+def quantile_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """Depth quantiles for three horizons, trained together, and how many held-out depths their outer pair holds."""
+    rows = split_rows(spark, sf)
+    targets = {f"y_maxdepth_{h}h": list(QUANTILES) for h in H}
+    nodes = written(boosting.train(rows.where("NOT held_out"), list(INPUTS), targets, rules=boosting.Rules(rounds=5, depth=3, rate=0.3, bins=16)), "nodes")
+    scored_rows = written(boosting.score(nodes, rows.where("held_out"), list(INPUTS)), "scored")
+    per = [metrics.coverage(scored_rows.where(f"y_maxdepth_{h}h IS NOT NULL"), f"y_maxdepth_{h}h", f"y_maxdepth_{h}h_p05", f"y_maxdepth_{h}h_p95", 100).withColumn("horizon", F.lit(h)) for h in H]
+    return per[0].unionByName(per[1]).unionByName(per[2])
+
+
+def importance(spark: SparkSession, sf: str) -> DataFrame:
+    """What a saved onset model's splits gained, feature by feature."""
+    rows = split_rows(spark, sf).withColumn("onset", F.col("y_ge100_3h").cast("double"))
+    nodes = boosting.train(rows.where("NOT held_out AND is_onset_100"), list(INPUTS), {}, ["onset"], rules=boosting.Rules(rounds=5, depth=3, rate=0.3, bins=16))
+    path = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
+    boosting.save(nodes, {"features": INPUTS, "target": "onset"}, path)
+    return boosting.gain_importance(boosting.load(spark, path)[0])
+
+
+add("d19_quantile_coverage", quantile_coverage)
+add("d21_gain_importance", importance)

@@ -86,13 +86,16 @@ def water_rows(payloads: DataFrame, body: str = "body", now: str = "fetched_at")
 def pump_rows(payloads: DataFrame, body: str = "body") -> DataFrame:
     """Pump stations by an explicit projection, so personal fields never pass; an offline level stays null."""
     s = F.col("s")
-    rows = payloads.select(F.explode(F.from_json(body, LEVELS)).alias("s"))
-    return rows.select(
+    told = payloads.select(F.explode(F.from_json(body, LEVELS)).alias("s"))
+    rows = told.select(
         s["code"].alias("code"), F.nullif(F.regexp_extract(s["code"], r"^[A-Z]+\.([A-Z]+)\.", 1), F.lit("")).alias("prefix"),
         F.when(~s["status"].eqNullSafe("offline"), F.expr("try_cast(s.level AS double)")).alias("level_m"),
         F.size(F.filter(s["pumps"], lambda p: p["running"])).alias("n_running"),
         F.array_join(F.transform(F.filter(s["pumps"], lambda p: p["running"]), lambda p: p["name"]), ",").alias("running"),
-    ).dropDuplicates(["code"])
+    )
+    names = [c for c in rows.columns if c != "code"]
+    # a station that is told of twice: the greater row, whatever the order of arrival
+    return rows.groupBy("code").agg(F.max(F.struct(*names)).alias("r")).select("code", "r.*")
 
 
 def aliased(df: DataFrame, aliases: dict[str, tuple[str, ...]], version: str) -> DataFrame:
