@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, unused_name
+from .common import arrow_rows, materialise, unused_name
 
 WINDOW = 10
 #: Words of items, reckoned from their bytes, that one automaton, and so one broadcast, may hold; more take more passes.
@@ -164,11 +164,34 @@ def char_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(int(starts[a]), int(ends[b - 1])) for a, b in runs]
 
 
-def _sized(items: DataFrame, item_words: int) -> tuple[DataFrame, int]:
-    """The items with a number of words each, and how many automata they take."""
+def _sized(items: DataFrame, item_words: int, window: int) -> tuple[DataFrame, int]:
+    """``(item_id, text, turn)`` and how many turns, so that the items of a turn have at most ``item_words`` words.
+
+    An item of more than half as many is cut into stretches that overlap by
+    all but one word of a window: each of its windows lies in one.
+    """
+    size = (F.floor(F.octet_length("text") / 2) + 1).cast("long")  # words are at least a byte and a gap
     rough = items.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
-    total = rough.agg(F.sum(F.floor(F.octet_length("text") / 2) + 1)).first()[0] or 0  # words are at least a byte and a gap
-    return rough, max(1, -(-int(total) // item_words))
+    step = max(item_words // 2 - window, 1)
+
+    def stretches(ids, texts):
+        for i, t in zip(ids, texts, strict=True):
+            said = words(t)
+            for at in range(0, max(1, len(said) - window + 1), step):
+                yield i, b" ".join(said[at : at + step + window - 1]).decode("utf-8", "surrogatepass")
+
+    long = rough.where(size > item_words // 2)
+    kind = items.schema["item_id"].dataType.simpleString()
+    cut_up = arrow_rows(long, ["item_id", "text"], f"item_id {kind}, text string", stretches, rows_per_batch=16)
+    pieces = materialise(rough.where(size <= item_words // 2).unionByName(cut_up).withColumn("size", size), "items")
+    turns = max(1, -(-int(pieces.agg(F.sum("size")).first()[0] or 0) // item_words))
+    while True:
+        turn = F.pmod(F.xxhash64("item_id", "text"), F.lit(turns)).cast("int")
+        dealt = pieces.withColumn("turn", turn)
+        most = dealt.groupBy("turn").agg(F.sum("size").alias("n")).agg(F.max("n")).first()[0] or 0
+        if most <= item_words or turns > pieces.count():
+            return dealt.select("item_id", "text", "turn"), turns
+        turns *= 2
 
 
 def match(
@@ -185,17 +208,16 @@ def match(
     of the items with an occurring window, sorted as strings.  An item of
     fewer words than ``window`` is one window; one without words is none.
     Null texts have no words.  A null item id is matched, not listed.  Items
-    beyond ``item_words`` are dealt to several automata, a pass each; a
-    repeated item counts once.
+    beyond ``item_words`` are dealt to several automata, a pass each, long
+    ones in stretches; a repeated item counts once.
     """
     spark = docs.sparkSession
-    rough, passes = _sized(items, item_words)
+    rough, passes = _sized(items, item_words, window)
     fresh = (F.array().cast("array<struct<start:long,end:long>>"), F.array().cast("array<string>"), F.lit(0).cast("long"))
     out = docs.drop(*into).withColumns(dict(zip(into, fresh, strict=True)))
     runs_name, items_name, words_name = into
     for turn in range(passes):
-        part = rough.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == turn) if passes > 1 else rough
-        texts = part.select("item_id", "text").collect()  # at most item_words words
+        texts = rough.where(F.col("turn") == turn).select("item_id", "text").collect()  # at most item_words words
         shared = spark.sparkContext.broadcast(Automaton(((r.item_id, words(r.text)) for r in texts), window))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -16,6 +16,7 @@ and the first line of each connected group stays.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -389,9 +390,28 @@ def drop_repeats(docs: DataFrame, least_similarity: float = SIMILARITY, least_wo
     repeats = groups(docs, least_similarity, least_words).where("not kept")
     gone = repeats.groupBy("doc_id").agg(F.collect_set("line").alias(name))  # at most a document's own lines
     joined = docs.join(gone, "doc_id", "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col(name), i))
-    joined = joined.withColumn("text", F.when(F.col(name).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-    out = joined.where(F.col(name).isNull() | F.col("text").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col(name).isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    names, count = joined.columns, "n_chars" in docs.columns
+    where = names.index(name)
+
+    def shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lost, columns = batch.column(where).to_pylist(), {c: batch.column(k) for k, c in enumerate(names) if k != where}
+            if any(g is not None for g in lost):
+                texts = columns["text"].to_pylist()
+                for k, g in enumerate(lost):
+                    if g is not None:
+                        without = set(g)
+                        texts[k] = "\n".join(x for n, x in enumerate(texts[k].split("\n")) if n not in without)
+                keep = pa.array([g is None or bool(_SAYS.search(t)) for g, t in zip(lost, texts, strict=True)])
+                columns["text"] = pa.array(texts, type=columns["text"].type)
+                if count:
+                    sizes = [n if g is None else len(t) for n, g, t in zip(columns["n_chars"].to_pylist(), lost, texts, strict=True)]
+                    columns["n_chars"] = pa.array(sizes, type=columns["n_chars"].type)
+                columns = {c: v.filter(keep) for c, v in columns.items()}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return joined.mapInArrow(shortened, docs.schema)
+
+
+#: A character of a word.
+_SAYS = re.compile("[0-9A-Za-z\x80-\U0010ffff]")

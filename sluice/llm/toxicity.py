@@ -14,6 +14,7 @@ even shares.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -167,15 +168,19 @@ def without_echoes(best: list) -> list:
     return kept
 
 
-def held_out_cutoff(table: list, grade: np.ndarray, width: int, grades: int, false_alarms: float = 0.002) -> float:
+#: Parts that the cutoff is found by: each is scored by a fit on the others.
+FOLDS = 4
+
+
+def held_out_cutoff(table: list, grade: np.ndarray, fold: np.ndarray, width: int, grades: int, false_alarms: float = 0.002) -> float:
     """The least probability that calls at most ``false_alarms`` of held-out clean examples toxic.
 
-    Each half is scored by a fit on the other; kept between 0.03 and 0.5.
+    Each fold is scored by a fit on the others; kept between 0.03 and 0.5.
     """
     p = np.zeros(len(table))
-    for half in (0, 1):
-        own, other = np.arange(half, len(table), 2), np.arange(1 - half, len(table), 2)
-        if not (len(own) and len(other) and (grade[other] > 0).any() and (grade[other] == 0).any()):
+    for k in np.unique(fold).tolist():
+        own, other = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
+        if not ((grade[other] > 0).any() and (grade[other] == 0).any()):
             return 0.5
         w, thresholds = fit_ordinal(Rows([table[k] for k in other], width), grade[other], grades)
         p[own] = sigmoid(Rows([table[k] for k in own], width).times(w) - thresholds[0])
@@ -211,13 +216,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
     """Fit on at most ``sample`` labelled documents, chosen by a hash of their ids.
 
     Equal texts of the sample count once, with the majority of their labels,
-    toxic on a tie.  Repeated ids are one label, ids without a document
-    none.  Counts of the chosen grams, not
+    toxic on a tie.  Repeated ids are one label and one text, the least of
+    theirs; labels without a document don't count.  Counts of the chosen grams, not
     texts, come to the driver.  Without both classes in the sample, or a
     gram that tells them apart, the model calls nothing toxic.
     """
-    chosen = first_by_hash(one_label(labels, "toxic"), sample)
-    read = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text")  # at most ``sample`` ids
+    known = one_label(labels, "toxic").join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    chosen = materialise(first_by_hash(known, sample), "chosen-labels")
+    read = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` ids
+    read = read.groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # and as many texts
     read = read.groupBy("text").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
     read = materialise(read.select("label", "text"), "labelled")
     best, telling = choose_grams(read, features)
@@ -228,9 +235,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
         finder = Finder(best)
         for y, t in zip(label, texts, strict=True):
             which, counts, n = finder.counts(t)
-            yield y, which.tolist(), counts.tolist(), n
+            yield y, which.tolist(), counts.tolist(), n, int.from_bytes(hashlib.sha256((t or "").encode("utf-8", "surrogatepass")).digest()[:7], "big")
 
-    got = arrow_rows(read, ["label", "text"], "label int, which array<long>, counts array<long>, n long", rows).collect()
+    got = arrow_rows(read, ["label", "text"], "label int, which array<long>, counts array<long>, n long, digest long", rows).collect()
+    got.sort(key=lambda r: r["digest"])  # neither folds nor sums follow the order of arrival
     y = np.array([r["label"] for r in got], np.int64)
     speaks = np.array(telling)
     table, density = [], np.zeros(len(got))
@@ -242,7 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
     edges = np.quantile(density[y == 1], np.arange(1, grades) / grades)
     grade[y == 1] = 1 + np.searchsorted(edges, density[y == 1], side="right")
     w, thresholds = fit_ordinal(Rows(table, len(best)), grade, grades)
-    return Severity(best, w, thresholds, held_out_cutoff(table, grade, len(best), grades))
+    return Severity(best, w, thresholds, held_out_cutoff(table, grade, np.array([r["digest"] for r in got], np.int64) % FOLDS, len(best), grades))
 
 
 def score(docs: DataFrame, model: Severity) -> DataFrame:

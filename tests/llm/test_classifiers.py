@@ -88,3 +88,20 @@ def test_odd_inputs(spark):
     assert quality.keep_good(twins, quality.fit(twins, labels)).columns == twins.columns
     many = spark.createDataFrame([(1, 0), (1, 1), (1, 1), (2, 0), (2, None)], "doc_id long, quality int")
     assert {r.doc_id: r.label for r in text.one_label(many, "quality").collect()} == {1: 1, 2: 0}
+
+
+def test_rows_that_repeat_an_id_are_one_text_of_the_fit(spark):
+    """One labelled id in thousands of rows of different texts brings one text to the driver."""
+    many = spark.range(4000).selectExpr("1L AS doc_id", "concat('some text number ', id) AS text")
+    few = spark.createDataFrame([(k, ("vile " if k % 2 else "kind ") * 20) for k in range(2, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 2)) for k in range(1, 60)] + [(k, 1) for k in range(1000, 3000)], "doc_id long, toxic int")
+    seen = []
+    old = toxicity.choose_grams
+    toxicity.choose_grams = lambda read, features: seen.append(read.count()) or old(read, features)
+    try:
+        model = toxicity.fit(many.unionByName(few), labels, sample=60)
+    finally:
+        toxicity.choose_grams = old
+    assert seen == [3]  # the repeated id's least text, and the two texts of the others
+    got = {r.doc_id: r.toxic for r in toxicity.score(few, model).collect()}
+    assert len(got) == 58

@@ -81,3 +81,17 @@ def test_common_short_phrases_stay_and_names_may_clash(spark):
     got = {r.doc_id: tuple(r) for r in dc.clean(D, items).collect()}
     assert got[1] == rows[0] and got[None] == rows[2]
     assert got[2] == (2, "of the cat  and more words here than that was", "b", 2)
+
+
+def test_long_items_are_cut_and_no_window_is_lost(spark):
+    long = [f"w{i}" for i in range(5000)]
+    items = spark.createDataFrame([(1, " ".join(long)), (2, "a b c d e f g h i j k"), (3, "x y")], "item_id long, text string")
+    docs = [(k, "before " + " ".join(long[at : at + 10]) + " after") for k, at in enumerate(range(0, 4990, 97))] + [(900, "a b c d e f g h i j"), (901, " ".join(long[4990:])), (902, "x y"), (903, " ".join(long[7:16]))]
+    D = spark.createDataFrame(docs, "doc_id long, text string")
+    sized, turns = dc._sized(items, 400, 10)
+    assert turns > 10
+    assert max(sum(len(r.text.split()) for r in sized.where(f"turn = {t}").collect()) for t in range(0, turns, 9)) <= 400
+    found = dc.match(D, items, item_words=400)
+    got = {r.doc_id: (r["items"], [tuple(x) for x in r.word_runs]) for r in found.collect()}
+    assert all(got[k] == (["1"], [(1, 11)]) for k in range(len(docs) - 4))
+    assert got[900] == (["2"], [(0, 10)]) and got[901] == (["1"], [(0, 10)]) and got[902] == (["3"], [(0, 2)]) and got[903] == ([], [])

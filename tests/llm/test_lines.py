@@ -217,3 +217,16 @@ def test_clashing_names_and_very_long_lines(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, gone int")
     out = {r.doc_id: (r.text, r.gone) for r in lines.drop_repeats(docs).collect()}
     assert out == {1: (long, 1), 3: ("a b c d", 3)}
+
+
+def test_a_text_of_very_many_repeated_lines_is_cut_in_linear_time(spark):
+    import time
+
+    line = "one line of more than enough words to be looked at again"
+    rows = [(1, line, 5, "x"), (2, "\n".join([line] * 60_000 + ["", "the end of it"]), 5, "x"), (3, None, 5, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, gone string")
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in lines.drop_repeats(docs).collect()}
+    assert time.perf_counter() - began < 60
+    assert got[1].text == line and got[1].n_chars == 5 and got[2].text == "\nthe end of it" and got[2].n_chars == 14
+    assert got[3].text is None and got[3].gone == "x"
