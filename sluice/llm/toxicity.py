@@ -169,7 +169,7 @@ def without_echoes(best: list) -> list:
 
 
 #: Parts that the cutoff is found by: each is scored by a fit on the others.
-FOLDS = 4
+FOLDS = 2
 
 
 def held_out_cutoff(table: list, grade: np.ndarray, fold: np.ndarray, width: int, grades: int, false_alarms: float = 0.002) -> float:
