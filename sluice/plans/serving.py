@@ -23,6 +23,13 @@ def resolve_timestamp(df: DataFrame, step: int = C.STEP_MINUTES) -> DataFrame:
     return df.withColumn("ts", floor_minutes("ts", step))
 
 
+def served_at(requests: DataFrame, available: DataFrame, step: int = C.STEP_MINUTES) -> DataFrame:
+    """The step each requested ``ts`` falls on, the last one for a request without a time, and whether it is ``served``."""
+    snapped = resolve_timestamp(requests, step).crossJoin(F.broadcast(available.select("first_ts", "last_ts")))  # one row
+    ts = F.coalesce("ts", "last_ts")
+    return snapped.withColumns({"served": ts.between(F.col("first_ts"), F.col("last_ts")), "ts": ts}).drop("first_ts", "last_ts")
+
+
 def window_before(df: DataFrame, ts: str, hours: int) -> DataFrame:
     """Rows of (t - hours, t]."""
     return df.where((F.col("ts") > _at(ts) - F.expr(f"INTERVAL {hours} HOURS")) & (F.col("ts") <= _at(ts)))

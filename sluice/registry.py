@@ -23,6 +23,6 @@ def add(name: str, query: Query, oracle: str | None = None) -> None:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from sluice.queries import core, live, more, relational, serving, terrain  # noqa: F401
+    from sluice.queries import board, core, live, more, relational, serving, terrain  # noqa: F401
 
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.sources.stores import vertex_mean
+
 FORECAST = "struct<hourly:struct<time:array<string>,precipitation:array<double>>>"
 REPORTS = "struct<features:array<struct<geometry:struct<coordinates:array<double>>,properties:struct<ticket_id:string,comment:string,type:string,province:string,timestamp:string>>>>"
 LEVELS = "array<struct<code:string,name:string,status:string,level:string,phone:string,pumps:array<struct<name:string,running:boolean>>>>"
@@ -47,6 +49,15 @@ def report_rows(payloads: DataFrame, words: tuple[str, ...], bbox: dict | None =
     return rows.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n", "k")
 
 
+OUTLINES = "struct<features:array<struct<properties:struct<dname:string>,geometry:struct<type:string,coordinates:array<array<array<double>>>>>>>"
+
+
+def district_points(payloads: DataFrame, body: str = "body") -> DataFrame:
+    """``(district, lat, lon)``: the mean of a district's vertices over all its rings; polygons of a feature collection."""
+    f = payloads.select(F.explode(F.from_json(body, OUTLINES)["features"]).alias("f"))
+    return vertex_mean(f.select(F.col("f.properties.dname").alias("district"), F.flatten("f.geometry.coordinates").alias("coordinates")))
+
+
 WATER = (
     "struct<data:struct<waterlevel_data:struct<data:array<struct<station:struct<id:long,name:string,lat:string,long:string,left_bank:string,right_bank:string,min_bank:string>,"
     "geocode:struct<subdistrict:string,district:string>,agency:string,river_name:string,waterlevel_datetime:string,waterlevel_msl:string,waterlevel_msl_previous:string,"

@@ -37,6 +37,18 @@ def _run(stream: DataFrame, mode: str) -> DataFrame:
     return spark.read.parquet(f"{base}/out")
 
 
+def stored(stream: DataFrame, version: str, root: str | None = None) -> str:
+    """Add what has come in to the poll store under ``dt=`` folders, stamped with the parser's version; returns the store.
+
+    The same ``root`` again goes on after the files that were read before.
+    """
+    root = root or f"{shared_dir(stream.sparkSession)}/store-{uuid.uuid4().hex}"
+    stamped = stream.withColumns({"_collector_version": F.lit(version), "dt": F.to_date("ts")})
+    writer = stamped.writeStream.outputMode("append").partitionBy("dt").format("parquet").trigger(availableNow=True)
+    writer.option("checkpointLocation", f"{root}/checkpoint").option("path", f"{root}/rows").start().awaitTermination()
+    return f"{root}/rows"
+
+
 class Feed:
     """A store that fills up slice by slice, and streams that are run over what has come in.
 
