@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, discard, materialise
+from .common import arrow_rows, discard, materialise, without
 from .text import first_by_hash, logistic, one_label, sigmoid
 
 #: Labelled documents that the fit reads at most, and word shapes, or languages and sources, that a view keeps (its size).
@@ -300,7 +300,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Quality
     keys = [r["keys"] for r in got]
     content, metadata = View.over(dense, shapes, SHAPES), View.over(layout, keys, SHAPES)
     a, b = content.matrix(dense, shapes), metadata.matrix(layout, keys)
-    free = docs.where("doc_id is not null").join(labels.where("quality is not null").select("doc_id").distinct(), "doc_id", "left_anti")
+    free = without(_columns(docs.where("doc_id is not null")), labels.where("quality is not null"))
     pool = materialise(_packed(free, content, metadata), "views")
     content.weights, metadata.weights, _ = co_train(
         a[~held], b[~held], y[~held], SparkPool(pool, (a.shape[1], b.shape[1])), (a[held], b[held], y[held]) if held.any() else None
