@@ -24,6 +24,7 @@ KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+_DECIMAL = re.compile(r"[0-9]\.[0-9]")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -44,6 +45,8 @@ def _emails(text: str):
 
 
 def _ips(text: str):
+    if not _DECIMAL.search(text):
+        return
     for m in _IP.finditer(text):
         parts = [p.lstrip("0") for p in m[0].split(".")]
         if all(len(p) < 4 and int(p or 0) < 256 for p in parts):
@@ -152,6 +155,34 @@ _NUMERIC_DOT = re.compile(rf"(?<=[0-9])\s{{1,3}}(?:{_either(DOT_WORDS)})\s{{1,3}
 _SPOKEN_PLUS = re.compile(rf"(?<![^\W_])(?:{_either(PLUS_WORDS)})\s{{1,3}}(?=[0-9])", re.IGNORECASE)
 _LETTER_DIGIT = re.compile(r"(?<=[0-9])[OoIl]+(?=[\x20.-]?[0-9])|(?<=[0-9][\x20.-])[OoIl]+(?=[0-9])")
 _LETTER_TO_DIGIT = str.maketrans("OoIl", "0011")
+# What a match can't be without, found faster than the match: most texts have none of it.
+_OPENED = re.compile(rf"[\[({{<|*_~-]\s{{0,3}}(?:{_either((*AT_WORDS, *DOT_WORDS))}|[@.])", re.IGNORECASE)
+_SAID_AT = re.compile(rf"\s(?:{_either(AT_WORDS)})\s{{1,3}}{_HOST}(?:{_SPACED_DOT}|\.)[A-Za-z0-9-]", re.IGNORECASE)
+_DIGIT_THEN_LETTER = re.compile(r"[0-9][\x20.-]?[OoIl]")
+_SPELLED_BYTES = frozenset(w.encode() for w in _DIGIT_OF)
+_LETTERS_ONLY = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+#: Letters that a pattern takes for i or s whatever ``lower`` makes of them.
+_UNLIKE_LOWER = re.compile("[ſıİ]")
+
+
+def _says(text: str, words: tuple[str, ...]) -> bool:
+    """Whether one of ``words`` may be in the text, in either case."""
+    low = text.lower()
+    return any(w in low for w in words) or not text.isascii() and bool(_UNLIKE_LOWER.search(text))
+
+
+def _says_digit(text: str) -> bool:
+    """Whether a spelled digit may stand in the text as a word."""
+    low = text.lower()
+    if not text.isascii():
+        if _UNLIKE_LOWER.search(text):
+            return True
+        for c in set(low):
+            if c > "\x7f" and not c.isalnum():
+                low = low.replace(c, " ")
+    return not _SPELLED_BYTES.isdisjoint(low.encode("utf-8", "surrogatepass").translate(_LETTERS_ONLY).split())
+
+
 class Tape:
     """A text after edits, able to map its spans to the source.
 
@@ -205,12 +236,9 @@ class Tape:
         self.text, self.at, self.start, self.end, self.edited = "".join(out), at or [0], start or [0], end or [0], edited or [False]
 
 
-def _changed(old: str, new: str) -> list[tuple[int, int, str]]:
-    return [(i, i + 1, b) for i, (a, b) in enumerate(zip(old, new, strict=True)) if a != b]
-
-
 def _fold(text: str) -> list[tuple[int, int, str]]:
-    return _changed(text, text.translate(FOLD))
+    some = "".join(c for c in set(text) if ord(c) in FOLD)
+    return [(m.start(), m.end(), FOLD[ord(m[0])]) for m in re.finditer(f"[{re.escape(some)}]", text)] if some else []
 
 
 def _drop_invisible(text: str) -> list[tuple[int, int, str]]:
@@ -222,16 +250,20 @@ def _spell(text: str) -> list[tuple[int, int, str]]:
     def digits(run: str) -> str:
         return "".join(_DIGIT_OF.get(d.lower(), d) * _MULTIPLE.get((m or "").lower(), 1) for m, d in _ONE.findall(run))
 
-    return [(m.start(), m.end(), digits(m[0])) for m in _SPELLED.finditer(text)]
+    return [(m.start(), m.end(), digits(m[0])) for m in _SPELLED.finditer(text)] if _says_digit(text) else []
 
 
 def _separators(text: str) -> list[tuple[int, int, str]]:
+    if not _OPENED.search(text):
+        return []
     found = [(m.start(), m.end(), "@") for m in _BRACKET_AT.finditer(text)]
     return sorted(found + [(m.start(), m.end(), ".") for m in _BRACKET_DOT.finditer(text) if not any(a < m.end() and m.start() < b for a, b, _ in found)])
 
 
 def _spoken(text: str) -> list[tuple[int, int, str]]:
     edits = []
+    if "@" not in text and not _SAID_AT.search(text):
+        return edits
     for m in _SPOKEN.finditer(text):
         at, host = ("at", "host") if m["at"] else ("at2", "host2")
         dots = [(d.start(), d.end(), ".") for part in ("name", host) for d in _ANY_DOT.finditer(text, *m.span(part)) if d[0] != "."]
@@ -244,15 +276,15 @@ def _spoken(text: str) -> list[tuple[int, int, str]]:
 
 
 def _numeric(text: str) -> list[tuple[int, int, str]]:
-    return [(m.start(), m.end(), ".") for m in _NUMERIC_DOT.finditer(text)]
+    return [(m.start(), m.end(), ".") for m in _NUMERIC_DOT.finditer(text)] if _says(text, DOT_WORDS) else []
 
 
 def _plus(text: str) -> list[tuple[int, int, str]]:
-    return [(m.start(), m.end(), "+") for m in _SPOKEN_PLUS.finditer(text)]
+    return [(m.start(), m.end(), "+") for m in _SPOKEN_PLUS.finditer(text)] if _says(text, PLUS_WORDS) else []
 
 
 def _letters(text: str) -> list[tuple[int, int, str]]:
-    return [(m.start(), m.end(), m[0].translate(_LETTER_TO_DIGIT)) for m in _LETTER_DIGIT.finditer(text)]
+    return [(m.start(), m.end(), m[0].translate(_LETTER_TO_DIGIT)) for m in _LETTER_DIGIT.finditer(text)] if _DIGIT_THEN_LETTER.search(text) else []
 
 
 TRANSDUCERS = (_drop_invisible, _fold, _spell, _separators, _numeric, _plus, _spoken, _letters)

@@ -121,3 +121,29 @@ def test_unrelated_words_do_not_decide_what_is_found():
         more = "é [at] [dot] y one two z"  # fires the transducers of any kind
         own = [s for s in pii.find(t + " ;\n\n\n\n; " + more)[1] if s[2] <= len(t)]
         assert pii.find(t)[1] == own, repr(t)
+
+
+def test_slow_patterns_only_read_texts_that_may_match(monkeypatch):
+    class Slow:
+        def finditer(self, *_):
+            raise AssertionError("a text without it was read")
+
+    for name in ("_SPELLED", "_BRACKET_AT", "_BRACKET_DOT", "_SPOKEN", "_NUMERIC_DOT", "_SPOKEN_PLUS", "_LETTER_DIGIT"):
+        monkeypatch.setattr(pii, name, Slow())
+    assert pii.find("Größe und Maß: we met at noon - the others (see below) came by 3, or later…") == ([], [])
+
+
+def test_what_is_asked_first_hides_no_match():
+    rng = random.Random(3)
+    pieces = "one Two ZERO fünf FÜNF zéro double siX ſix sİx sıx five² … — _ 9 4 0 . @ at AT dot DOT punkt [ ] ( ) + plus PLUS mas más pluſ example com name O I l 12 - ,".split()
+    found = 0
+    for _ in range(20_000):
+        text = "".join(rng.choice([*pieces, " ", " ", " "]) for _ in range(rng.randint(1, 20)))
+        for step, pattern in ((pii._spell, pii._SPELLED), (pii._numeric, pii._NUMERIC_DOT), (pii._plus, pii._SPOKEN_PLUS), (pii._letters, pii._LETTER_DIGIT)):
+            want = [m.span() for m in pattern.finditer(text)]
+            assert [(a, b) for a, b, _ in step(text)] == want, text
+            found += len(want)
+        assert bool(pii._OPENED.search(text)) or not (pii._BRACKET_AT.search(text) or pii._BRACKET_DOT.search(text))
+        assert "@" in text or bool(pii._SAID_AT.search(text)) or not pii._SPOKEN.search(text)
+        assert [(a, b) for a, b, _ in pii._fold(text)] == [(i, i + 1) for i, (x, y) in enumerate(zip(text, text.translate(pii.FOLD), strict=True)) if x != y]
+    assert found > 200
