@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import ROWS, SAMPLED, dealt, grouped, pairs_within, repeated, whole
-from .common import arrow_rows, connected_components, materialise
+from .common import arrow_rows, connected_components, materialise, within, without
 from .text import mixed
 
 RADIUS = 4
@@ -247,9 +247,9 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> D
         found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("head"), F.count("*").alias("rows")),
         "heads",
     )
-    kept = docs.join(by_id.where("not head").select("doc_id"), "doc_id", "left_anti")
+    kept = without(docs, by_id.where("not head"))
     repeated = by_id.where("head and rows > 1").select("doc_id")
     if not repeated.isEmpty():
-        again = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(again)
+        again = within(docs, repeated).dropDuplicates(["doc_id"])
+        kept = without(docs, by_id.where("not head or rows > 1")).unionByName(again)
     return kept.select(*docs.columns)

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sluice.llm import common, quality
+from sluice.llm import common, quality, simhash
 
 
 def shuffled(spark):
@@ -45,3 +45,13 @@ def test_unlabelled_texts_are_not_shuffled(no_broadcast):
     before = shuffled(spark)
     assert quality.fit(docs, labels).content is not None
     assert shuffled(spark) - before < sum(map(len, texts)) / 4
+
+
+def test_texts_of_documents_that_stay_are_not_shuffled(no_broadcast):
+    spark = no_broadcast
+    texts = texts_of(900)
+    docs = spark.createDataFrame([(k, texts[k % 900]) for k in range(1500)], "doc_id long, text string")
+    docs = common.materialise(docs, "docs")
+    before = shuffled(spark)
+    assert simhash.keep_one(docs).agg(F.sum(F.length("text"))).first()[0] == sum(map(len, texts))
+    assert shuffled(spark) - before < sum(map(len, texts)) / 4
