@@ -115,3 +115,22 @@ def test_a_forecast_that_is_the_measurement_stops_its_reader(spark):
     assert evaluation.guarded(forecast.where("year(ts) = 2022"), report).count() == 200
     with pytest.raises(Exception, match="no forecast for 2021: reanalysis"):
         evaluation.guarded(forecast, report).where("year(ts) <= 2022").agg(F.sum("fcst")).collect()
+
+
+def test_pages_in_blocks_are_fetched_once(spark, tmp_path):
+    lines = {}
+    for number, tickets in enumerate(([f"t{n}"] for n in range(pages.BLOCK + 3))):
+        put(tmp_path / "single", number, tickets)
+        text = "".join(p.read_text() for p in sorted((tmp_path / "single" / f"page={number}").glob("part-*")))
+        lines.setdefault(number // pages.BLOCK, []).append(f"{number}\t{text.strip()}")
+    for block, rows in lines.items():
+        (tmp_path / f"many/block={block}").mkdir(parents=True)
+        (tmp_path / f"many/block={block}/part-0").write_text("\n".join(rows) + "\n")
+    read = pages.read(spark, f"file://{tmp_path}/many", fetch="sluice.sources.pages:blocks", pagesPerPartition=pages.BLOCK)
+    assert read.rdd.getNumPartitions() == 2
+    got = pages.until_nothing_new(read)
+    for part in (tmp_path / "many").glob("*/part-0"):
+        part.unlink()
+    assert sorted((r.ticket_id, r.page) for r in got.collect()) == sorted((f"t{n}", n) for n in range(pages.BLOCK + 3))
+    fetch = pages.blocks(f"file://{tmp_path}/none")
+    assert fetch(0) is None and fetch(200) is None
