@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +93,44 @@ def test_sliding_windows_end_once(spark):
                 n, top = want.get(end, (0, 0.0))
                 want[end] = (n + 1, max(top, float(k)))
     assert {((r.ts - T0).total_seconds() / 60, r.n, r.max_value) for r in got} == {(e, *v) for e, v in want.items()}
+
+
+def test_state_calls_of_a_slot_do_not_grow_with_its_readings():
+    class Held(dict):
+        calls = 0
+
+        def iterator(self):
+            return iter(list(self.items()))
+
+        def containsKey(self, key):  # noqa: N802
+            self.calls += 1
+            return key in self
+
+        def getValue(self, key):  # noqa: N802
+            self.calls += 1
+            return self[key]
+
+        def updateValue(self, key, value):  # noqa: N802
+            self.calls += 1
+            self[key] = value
+
+    class Handle:
+        def __init__(self):
+            self.waiting, self.timers = Held(), []
+
+        def getMapState(self, name, *_):  # noqa: N802
+            return self.waiting if name == "waiting" else Held()
+
+        def getValueState(self, *_):  # noqa: N802
+            return type("Value", (), {"exists": lambda self: False})()
+
+        def registerTimer(self, at):  # noqa: N802
+            self.timers.append(at)
+
+    handle = Handle()
+    made = online._Events(((10.0,), 5, 1, 20), 5)
+    made.init(handle)
+    batches = [pd.DataFrame({"minute": [0, 5, 10, 5], "depth": [float(k), None, 3.0, k + 1.0]}) for k in range(50)]
+    (out,) = made.handleInputRows(("S",), iter(batches), type("Times", (), {"getCurrentWatermarkInMs": lambda self: 0})())
+    assert not len(out) and handle.waiting == {(0,): (49.0,), (5,): (50.0,), (10,): (3.0,)}
+    assert handle.waiting.calls == 3
