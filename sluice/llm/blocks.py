@@ -16,21 +16,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, sorted_groups
+from .common import sorted_groups, tidied
+from .text import mixed
 
 #: Units that a task compares at once in one bucket at most, and in a bucket whose pairs are returned.
 BLOCK, SMALL = 2048, 32
 #: Pairs that are verified at once.
 TOGETHER = 2048
-#: Bucket rows of a partition, and the share of units by which hot buckets are found.
-ROWS, SAMPLED = 400_000, 16
+#: Bucket rows of a partition, those that a task packs at once, and the share of units by which hot buckets are found.
+ROWS, PACKED, SAMPLED = 400_000, 1 << 18, 16
 #: Parities a unit carries: columns of 32 bits.
 PARITIES = 3
-#: What a bucket row carries besides its bucket: one binary value, which costs Spark less than as many columns.
+#: What a bucket row carries besides its bucket.
 UNIT = np.dtype([("uid", "<i8"), ("bits", "<u4", PARITIES), ("n", "<u2")])
 #: The greatest size that fits; such units are never ruled out by size or parities.
 HUGE = 2**16 - 1
-KEYED = "bucket long, unit binary"
 
 
 def packed_slices(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -55,10 +55,10 @@ def unpacked(said: pa.Array, kind: str | np.dtype = "<u4") -> tuple[np.ndarray,
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].copy().view(kind), np.diff(offsets) // size
 
 
-def units(uid: np.ndarray, bits: np.ndarray, n: np.ndarray) -> pa.Array:
+def units(uid: np.ndarray, bits: np.ndarray, n: np.ndarray) -> np.ndarray:
     made = np.empty(len(uid), UNIT)
     made["uid"], made["bits"], made["n"] = uid, bits, np.minimum(n, HUGE)
-    return packed_slices(made, np.ones(len(uid), np.int64))
+    return made
 
 
 def parities(values: np.ndarray, sizes: np.ndarray, columns: int = PARITIES) -> np.ndarray:
@@ -88,86 +88,159 @@ def pairs_within(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield i, i + d
 
 
-def repeated(values: np.ndarray) -> np.ndarray:
-    """Positions of the values that occur more than once."""
-    ranked = np.sort(values)
-    twice = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
-    if not len(twice):
+def by_bucket(bucket: np.ndarray, then: np.ndarray | None = None) -> np.ndarray:
+    """The rows that aren't alone in their bucket, sorted by it, and within it by ``then``."""
+    if len(bucket) < 2:
         return np.zeros(0, np.int64)
-    at = np.minimum(np.searchsorted(twice, values), len(twice) - 1)
-    return np.flatnonzero(twice[at] == values)
+    order = np.argsort(bucket)
+    ranked = bucket[order]
+    same = np.concatenate(([False], ranked[1:] == ranked[:-1], [False]))
+    order = order[same[1:] | same[:-1]]
+    return order if then is None else order[np.lexsort((then[order], bucket[order]))]
 
 
-def whole(batches: Iterable[pa.RecordBatch]) -> pa.Table | None:
-    held = [b for b in batches if b.num_rows]
-    return pa.Table.from_batches(held) if held else None
+def numbered(bucket: np.ndarray) -> np.ndarray:
+    """The number of each row's bucket, rows being sorted by it."""
+    change = np.zeros(len(bucket), np.int64)
+    change[1:] = bucket[1:] != bucket[:-1]
+    return np.cumsum(change)
 
 
-def grouped(bucket: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order that puts rows of a bucket and part together, and the group of each row in that order."""
-    order = np.lexsort((part, bucket))
-    change = np.zeros(len(order), np.int64)
-    change[1:] = (bucket[order][1:] != bucket[order][:-1]) | (part[order][1:] != part[order][:-1])
-    return order, np.cumsum(change)
+#: Makes, of a batch, arrays of buckets and of what stands in them, whose first field tells units apart.
+Keys = Callable[[pa.RecordBatch], Iterable[tuple[np.ndarray, np.ndarray]]]
 
 
-def dealt(keyed: DataFrame, sampled: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``keyed`` with ``part``: a bucket of more than about ``block`` rows is dealt out as pairs of blocks.
+def hot_buckets(sampled: DataFrame, keys: Keys, block: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Buckets of more than about ``block`` rows, into how many blocks each is cut, and how many rows its copies add.
 
-    ``sampled`` holds the buckets of one unit in ``SAMPLED``, by which the
-    sizes are estimated; which pairs meet doesn't depend on the estimate.
+    ``sampled`` holds one unit in ``SAMPLED``, by which sizes are estimated;
+    which pairs meet doesn't depend on the estimate.
     """
-    sizes = sampled.groupBy("bucket").count().where(F.col("count") * SAMPLED > block)
-    sizes = materialise(sizes.select("bucket", F.ceil(F.col("count") * SAMPLED / block).cast("long").alias("parts")), "hot-buckets")
-    if sizes.isEmpty():
-        return keyed.withColumn("part", F.lit(0).cast("long"))
-    parts = keyed.join(sizes, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
-    own = F.pmod(F.xxhash64("unit"), F.col("parts")).alias("own")
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
-    return parts.select(*keyed.columns, own, other).select(*keyed.columns, (F.least("own", "other") * 2**31 + F.greatest("own", "other")).alias("part"))
-
-
-def candidates(keyed: DataFrame, sampled: DataFrame, apart: Callable[[np.ndarray, np.ndarray], np.ndarray], rows: int, block: int = BLOCK) -> DataFrame:
-    """``(a, b, bucket, part)``: pairs a < b of small buckets, and units a = b of larger ones with something to compare to.
-
-    ``keyed`` is ``KEYED``, some ``rows`` of it; ``apart(n, n)`` bounds the
-    members by which alike units of these sizes differ.  A partition is
-    compared in memory: some ``ROWS`` rows.
+
+    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, _ in keys(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(bucket)], names=["bucket"])
+
+    counted = sampled.mapInArrow(tidied(buckets), "bucket long").groupBy("bucket").count().where(F.col("count") * SAMPLED > block)
+    found = counted.toArrow()  # at most one in ``block`` of all bucket rows
+    bucket, rows = found.column("bucket").to_numpy(), found.column("count").to_numpy() * SAMPLED
+    order, parts = np.argsort(bucket), -(-rows // block)
+    return bucket[order], parts[order], int((rows * (parts - 1)).sum())
+
+
+def copied(bucket: np.ndarray, unit: np.ndarray, hot: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket rows, those of hot buckets dealt out to new buckets of two blocks each, so that all pairs meet."""
+    at = np.minimum(np.searchsorted(hot, bucket), max(len(hot) - 1, 0))
+    rows = np.flatnonzero(hot[at] == bucket) if len(hot) else np.zeros(0, np.int64)
+    if not len(rows):
+        return bucket, unit
+    p = parts[at[rows]]
+    own = (mixed(unit[unit.dtype.names[0]][rows].astype(np.uint64)) % p.astype(np.uint64)).astype(np.int64)
+    other = np.arange(p.sum()) - np.repeat(np.cumsum(p) - p, p)
+    own, again = np.repeat(own, p), np.repeat(rows, p)
+    two = (np.minimum(own, other) << 32 | np.maximum(own, other)).astype(np.uint64)
+    fresh = mixed(bucket[again].view(np.uint64) + mixed(two + np.uint64(1))).view(np.int64)
+    rest = np.delete(np.arange(len(bucket)), rows)
+    return np.concatenate([bucket[rest], fresh]), np.concatenate([unit[rest], unit[again]])
+
+
+def met(df: DataFrame, sampled: DataFrame, keys: Keys, kind: np.dtype, rows: int, block: int) -> tuple[DataFrame, np.dtype]:
+    """The bucket rows of ``df``, some ``rows`` of them, dealt to partitions of about ``ROWS``, and what they are packed as.
+
+    A task packs the rows that go to one partition into one binary value,
+    so Spark shuffles few rows; ``unpacked_rows`` reads them.  A bucket of
+    more than about ``block`` rows is dealt out as pairs of blocks.
+    """
+    spark = df.sparkSession
+    hot, parts, more = hot_buckets(sampled, keys, block)
+    n = max(1, -(-(rows + more) // ROWS), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shared, row = spark.sparkContext.broadcast((hot, parts)), np.dtype([("bucket", "<i8"), ("unit", kind)])
+
+    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+        made = np.concatenate(held)
+        to = (mixed(made["bucket"].astype(np.uint64)) >> np.uint64(32)) % np.uint64(n)
+        to = to.astype(np.uint16 if n <= 1 << 16 else np.int64)
+        sizes = np.bincount(to, minlength=n)
+        some = np.flatnonzero(sizes)
+        packs = packed_slices(made[np.argsort(to, kind="stable")], sizes[some])
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), packs], names=["to", "rows"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for batch in batches:
+            for bucket, unit in keys(batch):
+                bucket, unit = copied(bucket, unit, *shared.value)
+                made = np.empty(len(bucket), row)
+                made["bucket"], made["unit"] = bucket, unit
+                held.append(made)
+                count += len(made)
+                if count >= PACKED:
+                    yield packed(held)
+                    held, count = [], 0
+        if count:
+            yield packed(held)
+
+    return df.mapInArrow(tidied(pack), "to int, rows binary").repartitionById(n, "to"), row
+
+
+def unpacked_rows(batches: Iterable[pa.RecordBatch], row: np.dtype) -> np.ndarray:
+    held = [unpacked(b.column(1), row)[0] for b in batches]
+    return np.concatenate(held) if held else np.zeros(0, row)
+
+
+def candidates(df: DataFrame, sampled: DataFrame, keys: Keys, apart: Callable[[np.ndarray, np.ndarray], np.ndarray], rows: int, block: int = BLOCK) -> DataFrame:
+    """``(a, b, bucket)``: pairs a < b of small buckets, and units a = b of larger ones with something to compare to.
+
+    ``keys`` makes units (``UNIT``) of ``df``, and of ``sampled`` as in
+    ``hot_buckets``; ``apart(n, m)`` for n <= m bounds the members by which
+    alike units of these sizes differ, and stays negative as m grows.  A
+    partition is compared in memory: some ``ROWS`` rows.
     """
+    dealt, row = met(df, sampled, keys, UNIT, rows, block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = whole(batches)
-        if table is None:
+        made = unpacked_rows(batches, row)
+        made = made[by_bucket(made["bucket"].copy(), made["unit"]["n"].copy())]
+        if not len(made):
             return
-        bucket, part = table.column(0).to_numpy(), table.column(2).to_numpy()
-        unit, _ = unpacked(table.column(1), UNIT)
-        again = repeated(bucket)
-        bucket, part, unit = bucket[again], part[again], unit[again]
-        order, group = grouped(bucket, part)
-        bucket, part, unit = bucket[order], part[order], unit[order]
-        uid, n, bits = unit["uid"].copy(), unit["n"].astype(np.int64), [unit["bits"][:, k].copy() for k in range(PARITIES)]
+        bucket, unit = made["bucket"].copy(), made["unit"]
+        group, uid, n = numbered(bucket), unit["uid"].copy(), unit["n"].astype(np.int64)
+        bits = [unit["bits"][:, k].copy() for k in range(PARITIES)]
         small = np.bincount(group)[group] <= SMALL
         mark, found = np.zeros(len(uid), bool), []
-        for i, j in pairs_within(group):
-            most = apart(n[i], n[j])
-            differ = np.bitwise_count(bits[0][i] ^ bits[0][j]).astype(np.int16)
+        i, d = np.arange(len(group)), 0
+        while len(i):
+            d += 1
+            i = i[: np.searchsorted(i, len(group) - d)]
+            i = i[group[i] == group[i + d]]
+            most, huge = apart(n[i], n[i + d]), n[i + d] == HUGE
+            close = (most >= 0) | huge
+            i, most, huge = i[close], most[close], huge[close]  # units grow longer within a bucket: later ones are no closer
+            differ = np.bitwise_count(bits[0][i] ^ bits[0][i + d]).astype(np.int16)
             for b in bits[1:]:
-                differ += np.bitwise_count(b[i] ^ b[j])
-            hit = np.flatnonzero(((differ <= most) | (np.maximum(n[i], n[j]) == HUGE)) & (uid[i] != uid[j]))
-            i, j = i[hit], j[hit]
-            two = small[i]
-            found.append(np.column_stack([np.minimum(uid[i[two]], uid[j[two]]), np.maximum(uid[i[two]], uid[j[two]])]))
-            mark[i[~two]] = mark[j[~two]] = True
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+                differ += np.bitwise_count(b[i] ^ b[i + d])
+            hit = i[(differ <= most) | huge]
+            hit = hit[uid[hit] != uid[hit + d]]
+            two = hit[small[hit]]
+            found.append(np.column_stack([np.minimum(uid[two], uid[two + d]), np.maximum(uid[two], uid[two + d])]))
+            large = hit[~small[hit]]
+            mark[large] = mark[large + d] = True
+        pairs = once(np.concatenate(found))
         at = np.flatnonzero(mark)
-        zero = np.zeros(len(pairs), np.int64)
-        columns = [np.append(pairs[:, 0], uid[at]), np.append(pairs[:, 1], uid[at]), np.append(zero, bucket[at]), np.append(zero, part[at])]
+        columns = [np.append(pairs[:, 0], uid[at]), np.append(pairs[:, 1], uid[at]), np.append(np.zeros(len(pairs), np.int64), bucket[at])]
         if len(columns[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "bucket", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "bucket"])
+
+    return dealt.mapInArrow(tidied(run), "a long, b long, bucket long")
+
 
-    partitions = max(1, -(-rows // ROWS))
-    partitions = max(partitions, int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return dealt(keyed, sampled, block).repartition(partitions, "bucket", "part").mapInArrow(run, "a long, b long, bucket long, part long")
+def once(pairs: np.ndarray) -> np.ndarray:
+    """Pairs of longs, sorted, each once."""
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    first = np.ones(len(pairs), bool)
+    first[1:] = (pairs[1:] != pairs[:-1]).any(axis=1)
+    return pairs[first]
 
 
 def verified(
@@ -175,7 +248,7 @@ def verified(
 ) -> DataFrame:
     """Links ``(a, b)`` by which the units that are ``alike`` among the candidates are connected.
 
-    ``pairs(a, b)`` are checked one by one, ``together(bucket, part, uid)``
+    ``pairs(a, b)`` are checked one by one, ``together(bucket, uid)``
     bucket by bucket unless already connected there; ``said(uid, said)``
     has the units' words.  ``alike`` tells it of many pairs at once;
     ``apart`` is that of ``candidates``, here against more parities.
@@ -189,12 +262,12 @@ def verified(
                 part = batch.slice(at, TOGETHER)
                 yield part.select(["a", "b"]).filter(pa.array(alike(part.column(2), part.column(3))))
 
-    one_by_one = both.select("a", "b", "x", "y").mapInArrow(passed, "a long, b long")
+    one_by_one = both.select("a", "b", "x", "y").mapInArrow(tidied(passed), "a long, b long")
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in sorted_groups(batches, 2):
-            uid, words = rows.column(2).to_numpy(), rows.column(3).combine_chunks()
-            _, group = grouped(rows.column(0).to_numpy(), rows.column(1).to_numpy())
+        for rows in sorted_groups(batches, 1):
+            uid, words = rows.column(1).to_numpy(), rows.column(2).combine_chunks()
+            group = numbered(rows.column(0).to_numpy())
             first, last = np.searchsorted(group, group), np.searchsorted(group, group, "right")
             label, links = np.arange(len(uid)), []
             values, n = unpacked(words)
@@ -202,7 +275,7 @@ def verified(
             for i, j in pairs_within(group):
                 open_ = label[i] != label[j]
                 i, j = i[open_], j[open_]
-                near = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) <= apart(n[i], n[j])
+                near = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) <= apart(np.minimum(n[i], n[j]), np.maximum(n[i], n[j]))
                 i, j = i[near], j[near]
                 for at in range(0, len(i), TOGETHER):
                     x, y = i[at : at + TOGETHER], j[at : at + TOGETHER]
@@ -220,5 +293,5 @@ def verified(
                 a, b = np.array(links, np.int64).T
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    rows = together.join(said, "uid").select("bucket", "part", "uid", "said").repartition("bucket", "part").sortWithinPartitions("bucket", "part")
-    return rows.mapInArrow(joined, "a long, b long").unionByName(one_by_one).distinct()
+    rows = together.join(said, "uid").select("bucket", "uid", "said").repartition("bucket").sortWithinPartitions("bucket")
+    return rows.mapInArrow(tidied(joined), "a long, b long").unionByName(one_by_one).distinct()

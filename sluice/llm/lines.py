@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import connected_components, discard, materialise, possible_members, release, unused_name
+from .common import connected_components, discard, materialise, possible_members, release, tidied, unused_name
 from .simhash import links as simhash_links
 from .text import Tokens, mixed, sequence_hashes
 
@@ -41,6 +42,8 @@ SHORT = 20
 RUN, LONGEST_RUN, COMMON = 3, 6, 16.0
 #: Counters of word frequencies (a power of two).
 COUNTERS = 1 << 15
+#: Words more or fewer of one line gone by, up to which the distances of many pairs are tried at once.
+BAND = 8
 #: Rows of documents that are worked on at once.
 BATCH = 256
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
@@ -119,39 +122,119 @@ def similar(a: bytes, b: bytes, least: float) -> bool:
     return len(own - other) <= edits and len(other - own) <= edits and edit_distance(x, y) <= edits
 
 
+def edit_distances(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """``edit_distance`` of many pairs at once: rows of ``a`` have ``n`` words, 1 to 64, those of ``b`` have ``m``."""
+    order = np.argsort(-m, kind="stable")
+    a, n, b, m = a[order], n[order].astype(np.uint64), b[order], m[order]
+    one = np.uint64(1)
+    plus, minus, score = np.full(len(n), ~np.uint64(0)), np.zeros(len(n), np.uint64), n.astype(np.int64)
+    top = n - one
+    for j in range(int(m.max(initial=0))):
+        k = int(np.searchsorted(-m, -j))  # rows with more than j words in b stand first
+        eq = np.zeros((k, 8), np.uint8)
+        bits = np.packbits(a[:k] == b[:k, j : j + 1], axis=1, bitorder="little")
+        eq[:, : bits.shape[1]] = bits
+        eq = eq.view("<u8")[:, 0]
+        p, q = plus[:k], minus[:k]
+        xv = eq | q
+        xh = (((eq & p) + p) ^ p) | eq
+        ph, mh = q | ~(xh | p), p & xh
+        score[:k] += ((ph >> top[:k]) & one).astype(np.int64) - ((mh >> top[:k]) & one).astype(np.int64)
+        ph, mh = ph << one | one, mh << one
+        plus[:k], minus[:k] = mh | ~(xv | ph), ph & xv
+    out = np.empty(len(n), np.int64)
+    out[order] = score
+    return out
+
+
+def within_band(x: np.ndarray, x_at: np.ndarray, n: np.ndarray, y: np.ndarray, y_at: np.ndarray, m: np.ndarray, edits: np.ndarray) -> np.ndarray:
+    """Whether ``edits`` turn n words of ``x`` into m of ``y`` with never over ``BAND`` more or fewer of one gone by; many pairs at once.
+
+    On each diagonal the farthest place that d edits reach, for all d.
+    """
+    start = np.cumsum(n + 1) - n - 1
+    step = np.arange(int((n + 1).sum())) - np.repeat(start, n + 1)
+    at, far = np.arange(len(step)), np.repeat(m, n + 1)
+    own, other, end = x[np.minimum(np.repeat(x_at, n + 1) + step, len(x) - 1)], np.repeat(y_at, n + 1) + step, step == np.repeat(n, n + 1)
+    apart = np.empty((2 * BAND + 1, len(step)), np.int64)  # the next place, on each diagonal, where the words differ
+    for k in range(-BAND, BAND + 1):
+        unequal = end | (step + k < 0) | (step + k >= far) | (own != y[np.clip(other + k, 0, len(y) - 1)])
+        apart[k + BAND] = np.minimum.accumulate(np.where(unequal, at, len(at))[::-1])[::-1]
+    out, rows, diagonal = np.zeros(len(n), bool), np.flatnonzero(np.abs(m - n) <= BAND), np.arange(2 * BAND + 1)
+    none = -(1 << 40)
+    reach = np.full((len(rows), 2 * BAND + 1), none)
+    reach[:, BAND] = 0
+    d = 0
+    while len(rows):
+        most = np.minimum(n[rows, None], m[rows, None] - (diagonal - BAND))
+        place = np.minimum(reach, most)
+        base = start[rows, None]
+        place = np.where(place >= 0, apart[diagonal, base + np.maximum(place, 0)] - base, none)
+        done = place[np.arange(len(rows)), m[rows] - n[rows] + BAND] >= n[rows]
+        out[rows[done]] = True
+        d += 1
+        left = ~done & (edits[rows] >= d)
+        rows, place = rows[left], place[left]
+        reach = place + 1
+        reach[:, 1:] = np.maximum(reach[:, 1:], place[:, :-1])
+        reach[:, :-1] = np.maximum(reach[:, :-1], place[:, 1:] + 1)
+    return out
+
+
+def _rows(values: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Runs of ``values`` as the rows of a matrix; what lies beyond a run is of no account."""
+    place = at[:, None] + np.arange(int(size.max(initial=0)))
+    return values[np.minimum(place, len(values) - 1)]
+
+
 def all_similar(a: pa.Array, b: pa.Array, least: float) -> np.ndarray:
-    """``similar`` of many pairs: by bounds of the distance where these decide, else one by one.
+    """``similar`` of many pairs: by bounds of the distance where these decide, else by the distance.
 
-    The multisets' parities bound it from below.  From above do the places
-    at which lines of equal length differ, and what lies between a common
-    beginning and a common end.
+    From above: a common number of words stands at equal places, counted
+    from the beginnings up to some word and from the ends after it.  From
+    below: the multisets' parities.  Distances of up to 64 words are found
+    together; longer lines are tried in a band before they go one by one.
     """
     (x, n), (y, m) = blocks.unpacked(a), blocks.unpacked(b)
     longest, both = np.maximum(n, m), np.minimum(n, m)
     edits = most_edits(longest, least)
-    differ = np.bitwise_count(blocks.parities(x, n, 16) ^ blocks.parities(y, m, 16)).sum(axis=1, dtype=np.int64)
-    open_ = np.abs(n - m) <= edits
-    open_ &= differ <= both - longest + 2 * edits
-    x_at, y_at = np.cumsum(n) - n, np.cumsum(m) - m
-    out = open_ & (both == 0)
-    open_ &= both > 0
-    rows = np.flatnonzero(open_)
+    out = longest <= edits
+    rows = np.flatnonzero((longest - both <= edits) & (both > 0))
+    if not len(rows):
+        return out
+    x_all, y_all = np.cumsum(n) - n, np.cumsum(m) - m
+    size, start = both[rows], np.cumsum(both[rows]) - both[rows]
+    step = np.arange(size.sum()) - np.repeat(start, size)
+    front = x[np.repeat(x_all[rows], size) + step] != y[np.repeat(y_all[rows], size) + step]
+    end = x[np.repeat((x_all + n)[rows] - size, size) + step] != y[np.repeat((y_all + m)[rows] - size, size) + step]
+    unequal_to_end = np.add.reduceat(end, start, dtype=np.int64)
+    turned = np.cumsum(front.astype(np.int64) - end)  # up to and with each word, over all pairs
+    turned -= np.repeat((turned - front + end)[start], size)
+    most = (longest - both)[rows] + unequal_to_end + np.minimum(np.minimum.reduceat(turned, start), 0)
+    out[rows] = most <= edits[rows]
+    rows = rows[most > edits[rows]]
     if len(rows):
-        size = both[rows]
-        start = np.cumsum(size) - size
-        step = np.arange(size.sum()) - np.repeat(start, size)
-        front = x[np.repeat(x_at[rows], size) + step] != y[np.repeat(y_at[rows], size) + step]
-        end = x[np.repeat(x_at[rows] + n[rows] - size, size) + step] != y[np.repeat(y_at[rows] + m[rows] - size, size) + step]
-        unequal = np.add.reduceat(front, start, dtype=np.int64)
-        head = np.minimum.reduceat(np.where(front, step, np.repeat(size, size)), start)
-        tail = size - 1 - np.maximum.reduceat(np.where(end, step, -1), start)
-        most = np.minimum(np.where(n[rows] == m[rows], unequal, longest[rows]), longest[rows] - np.minimum(head + tail, size))
-        out[rows] = most <= edits[rows]
-        for k in rows[most > edits[rows]].tolist():
-            out[k] = similar(a[k].as_py(), b[k].as_py(), least)
+        differ = np.bitwise_count(blocks.parities(*_some(x, x_all, n, rows), 16) ^ blocks.parities(*_some(y, y_all, m, rows), 16)).sum(axis=1, dtype=np.int64)
+        rows = rows[differ <= (both - longest + 2 * edits)[rows]]
+    short = rows[longest[rows] <= 64]
+    if len(short):
+        x_rows, y_rows = (_rows(v, at[short], k[short]) for v, at, k in ((x, x_all, n), (y, y_all, m)))
+        out[short] = edit_distances(x_rows, n[short], y_rows, m[short]) <= edits[short]
+    rows = rows[longest[rows] > 64]
+    long = rows[longest[rows] <= 1 << 16]
+    for some in np.split(long, np.flatnonzero(np.diff(np.cumsum(n[long] + 1) >> 16)) + 1) if len(long) else []:  # in some 10 MB
+        out[some] = within_band(x, x_all[some], n[some], y, y_all[some], m[some], edits[some])
+    for k in rows[~out[rows]].tolist():
+        out[k] = similar(a[k].as_py(), b[k].as_py(), least)
     return out
 
 
+def _some(values: np.ndarray, at: np.ndarray, size: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``rows`` of ``values``, one after the other, and their sizes."""
+    own = size[rows]
+    return values[np.repeat(at[rows] - np.cumsum(own) + own, own) + np.arange(own.sum())], own
+
+
 def most_edits(longest, least_similarity: float) -> np.ndarray:
     """Edits that may part two similar lines, the longer one of ``longest`` words."""
     return np.floor((1 - least_similarity) * longest + 1e-9).astype(np.int64)
@@ -280,7 +363,7 @@ def _lines(docs: DataFrame, least_words: int) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     known = docs.where("doc_id is not null").select("doc_id", "text")
-    return known.mapInArrow(run, f"doc_id {kind}, line int, uid long, fp long, said binary")
+    return known.mapInArrow(tidied(run), f"doc_id {kind}, line int, uid long, fp long, said binary")
 
 
 def common_words(said: DataFrame) -> tuple[np.ndarray, int, int]:
@@ -295,7 +378,7 @@ def common_words(said: DataFrame) -> tuple[np.ndarray, int, int]:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], lines))], names=["counter", "n"])
 
-    found = said.select("said").mapInArrow(counts, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).collect()  # a row a counter
+    found = said.select("said").mapInArrow(tidied(counts), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).collect()  # a row a counter
     by = {r["counter"]: r["n"] for r in found}
     lines, words = by.pop(-1, 0), sum(by.values())
     share = np.zeros(COUNTERS)
@@ -306,12 +389,19 @@ def common_words(said: DataFrame) -> tuple[np.ndarray, int, int]:
     return np.append(out, constant).astype(np.float32), lines, words
 
 
+@cache
+def _edits(least_similarity: float) -> np.ndarray:
+    """``most_edits`` of all sizes up to ``blocks.HUGE``."""
+    return most_edits(np.arange(blocks.HUGE + 1), least_similarity)
+
+
 def _apart(least_similarity: float):
-    """The most members by which the word multisets of similar lines of given lengths differ."""
+    """The most members by which the word multisets of similar lines of given lengths differ, the longer one last; below 0 for none."""
 
-    def bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        longest = np.maximum(a, b)
-        return np.minimum(a, b) - longest + 2 * most_edits(longest, least_similarity)
+    def bound(shorter: np.ndarray, longer: np.ndarray) -> np.ndarray:
+        table = _edits(least_similarity)
+        edits = table[longer] if longer.max(initial=0) < len(table) else most_edits(longer, least_similarity)
+        return np.where(longer - shorter > edits, -1, shorter - longer + 2 * edits)
 
     return bound
 
@@ -321,20 +411,16 @@ def _runs(said: DataFrame, least_similarity: float) -> DataFrame:
     some, lines, words = common_words(said)
     common = said.sparkSession.sparkContext.broadcast(some)  # COUNTERS numbers
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                values, n = blocks.unpacked(part.column(1))
-                values = values.astype(np.uint64)
-                line, key = map(np.concatenate, zip(*(make(values, n, common.value, least_similarity) for make in (rare_pairs, run_keys)), strict=True))
-                bits = blocks.parities(values, n)[line]
-                unit = blocks.units(part.column(0).to_numpy()[line], bits, n[line])
-                yield pa.RecordBatch.from_arrays([pa.array(key), unit], names=["bucket", "unit"])
+    def keys(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for at in range(0, batch.num_rows, 4096):
+            part = batch.slice(at, 4096)
+            values, n = blocks.unpacked(part.column(1))
+            values = values.astype(np.uint64)
+            line, key = map(np.concatenate, zip(*(make(values, n, common.value, least_similarity) for make in (rare_pairs, run_keys)), strict=True))
+            yield key, blocks.units(part.column(0).to_numpy()[line], blocks.parities(values, n)[line], n[line])
 
-    keyed = said.mapInArrow(keys, blocks.KEYED)
-    sampled = said.where(F.pmod(F.xxhash64("uid"), F.lit(blocks.SAMPLED)) == 0).mapInArrow(keys, blocks.KEYED)
-    return blocks.candidates(keyed, sampled, _apart(least_similarity), 12 * lines)
+    sampled = said.where(F.pmod(F.xxhash64("uid"), F.lit(blocks.SAMPLED)) == 0)
+    return blocks.candidates(said, sampled, keys, _apart(least_similarity), 12 * lines)
 
 
 def groups(docs: DataFrame, least_similarity: float = SIMILARITY, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -351,17 +437,15 @@ def groups(docs: DataFrame, least_similarity: float = SIMILARITY, least_words: i
     distinct = materialise(seen.groupBy("uid").agg(F.min(place).alias("first"), F.max("fp").alias("fp")), "distinct-lines")
     said = seen.where("said is not null").select("uid", "said")
 
-    by_fp = distinct.groupBy("fp").agg(F.min("uid").alias("head"))
-    near = simhash_links(by_fp.select("fp"), RADIUS, most=SHARD)
-    near = near.join(by_fp.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a")
-    near = near.join(by_fp.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
-    same = distinct.join(by_fp, "fp").where("uid <> head").select(F.col("head").alias("x"), F.col("uid").alias("y"))
+    by_fp = materialise(distinct.groupBy("fp").agg(F.min("uid").alias("head"), F.count("*").alias("n")), "line-fingerprints")
+    near = simhash_links(by_fp, RADIUS, most=SHARD, name="head").select(F.col("a").alias("x"), F.col("b").alias("y"))
+    same = distinct.join(by_fp.where("n > 1"), "fp").where("uid <> head").select(F.col("head").alias("x"), F.col("uid").alias("y"))
     bits = near.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
     runs = materialise(_runs(said, least_similarity), "line-runs")
     release(docs.sparkSession)
     pairs = materialise(runs.where("a < b").select("a", "b").unionByName(bits).distinct(), "line-pairs")
-    together = runs.where("a = b").select("bucket", "part", F.col("a").alias("uid"))
+    together = runs.where("a = b").select("bucket", F.col("a").alias("uid"))
     asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(together.select("uid")).distinct()
     asked = materialise(asked, "asked-lines")
     words = possible_members(said, "uid", asked).join(asked.withColumnRenamed("id", "uid"), "uid", "left_semi")
@@ -370,10 +454,12 @@ def groups(docs: DataFrame, least_similarity: float = SIMILARITY, least_words: i
     found = blocks.verified(pairs, together, words, lambda x, y: all_similar(x, y, least_similarity), _apart(least_similarity))
     members = connected_components(found).withColumnRenamed("node", "uid")
 
-    named = materialise(distinct.select("uid", "first").join(members, "uid", "left").withColumn("component", F.coalesce("component", "uid")), "line-groups")
-    discard(runs, pairs, asked, words)
+    # only lines of a group need its first one; the others are their own
+    named = distinct.select("uid", "first").join(members, "uid")
     heads = named.groupBy("component").agg(F.min("first").alias("head"))
-    by_uid = named.join(heads, "component").select("uid", "head")
+    heads = materialise(named.join(heads, "component").select("uid", "head"), "line-groups")
+    discard(runs, pairs, asked, words, by_fp)
+    by_uid = distinct.select("uid", "first").join(heads, "uid", "left").select("uid", F.coalesce("head", "first").alias("head"))
     return seen.select("doc_id", "line", "uid").join(by_uid, "uid").select(
         "doc_id", "line", F.col("head.doc_id").alias("first_doc_id"), F.col("head.line").alias("first_line"), (place == F.col("head")).alias("kept")
     )
@@ -410,7 +496,7 @@ def drop_repeats(docs: DataFrame, least_similarity: float = SIMILARITY, least_wo
                 columns = {c: v.filter(keep) for c, v in columns.items()}
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return joined.mapInArrow(shortened, docs.schema)
+    return joined.mapInArrow(tidied(shortened), docs.schema)
 
 
 #: A character of a word.

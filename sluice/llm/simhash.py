@@ -32,8 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import ROWS, SAMPLED, dealt, grouped, pairs_within, repeated, whole
-from .common import arrow_rows, connected_components, materialise, within, without
+from .blocks import SAMPLED, by_bucket, met, numbered, once, pairs_within, unpacked_rows
+from .common import arrow_rows, connected_components, materialise, tidied, within, without
 from .text import mixed
 
 RADIUS = 4
@@ -159,60 +159,80 @@ def shard_blocks(count: int, radius: int, most: int = SHARD) -> int:
     return n
 
 
+def _choices(blocks: int, radius: int) -> list[int]:
+    """The bits of each choice of ``blocks`` - ``radius`` even blocks."""
+    mask = [((1 << 64 * (k + 1) // blocks) - 1) ^ ((1 << 64 * k // blocks) - 1) for k in range(blocks)]
+    return [sum(chosen) for chosen in itertools.combinations(mask, blocks - radius)]
+
+
 def shard_keys(fp: np.ndarray, blocks: int, radius: int) -> Iterator[np.ndarray]:
     """For each choice of ``blocks`` - ``radius`` blocks, a hash of their bits and of the choice."""
-    mask = [((1 << 64 * (k + 1) // blocks) - 1) ^ ((1 << 64 * k // blocks) - 1) for k in range(blocks)]
-    for chosen in itertools.combinations(mask, blocks - radius):
-        bits = np.uint64(sum(chosen))
+    for chosen in _choices(blocks, radius):
+        bits = np.uint64(chosen)
         yield mixed((fp & bits) ^ mixed(np.array([bits]))).view(np.int64)
 
 
-def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK, most: int = SHARD) -> DataFrame:
+def finer_blocks(blocks: int, radius: int) -> np.ndarray:
+    """For each choice, the bits outside of it in ``radius`` + 1 blocks: of a linked pair in its shard one agrees as well."""
+    out = []
+    for chosen in _choices(blocks, radius):
+        rest = [k for k in range(64) if not chosen >> k & 1]
+        cuts = [len(rest) * k // (radius + 1) for k in range(radius + 2)]
+        out.append([sum(1 << k for k in rest[a:b]) for a, b in itertools.pairwise(cuts)])
+    return np.array(out, np.uint64)
+
+
+#: What stands in a shard: a fingerprint, the number that names it, and the choice of blocks.
+_MEMBER = np.dtype([("fp", "<i8"), ("name", "<i8"), ("choice", "u1")])
+
+
+def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK, most: int = SHARD, name: str = "fp") -> DataFrame:
     """Edges ``(a, b)`` whose components are those of all pairs within ``radius`` bits.
 
-    ``fps`` has distinct values in ``fp``.  A shard above about ``block`` is
-    dealt out as all pairs of its blocks.  A partition is compared in
-    memory: some ``blocks.ROWS`` rows.
+    ``fps`` has distinct values in ``fp``; the long in ``name`` stands for
+    them in the edges.  A shard above about ``block`` is dealt out as all
+    pairs of its blocks.  A partition is compared in memory: some
+    ``blocks.ROWS`` rows.  Within a shard fingerprints meet by one more
+    block of their other bits; where many still do, in a tree.
     """
     count = fps.count()
     n = shard_blocks(count, radius, most)
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for shard in shard_keys(batch.column(0).to_numpy().view(np.uint64), n, radius):
-                yield pa.RecordBatch.from_arrays([pa.array(shard), batch.column(0)], names=["bucket", "unit"])
+    def keys(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        made = np.empty(batch.num_rows, _MEMBER)
+        made["fp"], made["name"] = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for choice, shard in enumerate(shard_keys(made["fp"].astype(np.uint64), n, radius)):
+            own = made.copy()
+            own["choice"] = choice
+            yield shard, own
 
-    fps = fps.select("fp")
-    keyed = fps.mapInArrow(keys, "bucket long, unit long")
-    sampled = fps.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLED)) == 0).mapInArrow(keys, "bucket long, unit long")
+    fps = fps.select(F.col("fp"), F.col(name).alias("name"))
+    sampled = fps.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLED)) == 0)
+    dealt, row = met(fps, sampled, keys, _MEMBER, count * math.comb(n, radius), block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = whole(batches)
-        if table is None:
-            return
-        bucket, raw, part = (table.column(k).to_numpy() for k in range(3))
-        again = repeated(bucket)
-        order, group = grouped(bucket[again], part[again])
-        raw = raw[again][order]
-        fp, a, b = raw.view(np.uint64), [], []
-        small = np.flatnonzero(np.bincount(group)[group] <= SMALL)
-        for x, y in pairs_within(group[small]):
-            near = np.bitwise_count(fp[small[x]] ^ fp[small[y]]) <= radius
-            a.append(small[x[near]])
-            b.append(small[y[near]])
-        large = np.setdiff1d(np.arange(len(raw)), small)
-        for at in np.split(large, np.flatnonzero(np.diff(group[large])) + 1):
-            found, _ = tree_links(fp[at], radius)
-            if found:
-                x, y = np.array(found).T
-                a.append(at[x])
-                b.append(at[y])
-        if sum(map(len, a)):
-            yield pa.RecordBatch.from_arrays([pa.array(raw[np.concatenate(a)]), pa.array(raw[np.concatenate(b)])], names=["a", "b"])
-
-    rows = count * math.comb(n, radius)
-    partitions = max(-(-rows // ROWS), int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return dealt(keyed, sampled, block).select("bucket", "unit", "part").repartition(partitions, "bucket", "part").mapInArrow(run, "a long, b long").distinct()
+        made = unpacked_rows(batches, row)
+        made = made[by_bucket(made["bucket"].copy())]
+        shard, fp, named, choice = made["bucket"].astype(np.uint64), made["unit"]["fp"].astype(np.uint64), made["unit"]["name"].copy(), made["unit"]["choice"]
+        found = [np.zeros((0, 2), np.int64)]
+        for k, bits in enumerate(finer_blocks(n, radius).T):
+            key = mixed(shard + mixed((fp & bits[choice]) + np.uint64(k)))
+            order = by_bucket(key)
+            group = numbered(key[order])
+            small = np.bincount(group)[group] <= SMALL if len(group) else np.zeros(0, bool)
+            few, many = order[small], order[~small]
+            for x, y in pairs_within(group[small]):
+                near = np.bitwise_count(fp[few[x]] ^ fp[few[y]]) <= radius
+                found.append(np.column_stack([named[few[x[near]]], named[few[y[near]]]]))
+            for at in np.split(many, np.flatnonzero(np.diff(group[~small])) + 1) if len(many) else []:
+                joined, _ = tree_links(fp[at], radius)
+                if joined:
+                    found.append(named[at[np.array(joined)]])
+        pairs = once(np.concatenate(found))
+        if len(pairs):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return dealt.mapInArrow(tidied(run), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

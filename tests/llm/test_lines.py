@@ -230,3 +230,54 @@ def test_a_text_of_very_many_repeated_lines_is_cut_in_linear_time(spark):
     assert time.perf_counter() - began < 60
     assert got[1].text == line and got[1].n_chars == 5 and got[2].text == "\nthe end of it" and got[2].n_chars == 14
     assert got[3].text is None and got[3].gone == "x"
+
+
+def test_long_lines_are_compared_together(monkeypatch):
+    rng = random.Random(8)
+    pairs = []
+    for n in [70, 150, 300] * 40:
+        a = [rng.randrange(10**6) for _ in range(n)]
+        b = list(a)
+        for at in (n // 5, n // 3, n // 2):  # a word goes, one comes, one changes: no two of them on one diagonal
+            b.pop(at)
+            b.insert(at + 7, rng.randrange(10**6))
+            b[at + 11] = rng.randrange(10**6)
+        pairs.append((np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes()))
+    monkeypatch.setattr(lines, "edit_distance", None)  # not one by one
+    a, b = (pa.array(x, pa.binary()) for x in zip(*pairs, strict=True))
+    assert lines.all_similar(a, b, 0.8).all()
+
+
+def test_edit_distances_and_bands_are_those_of_each_pair():
+    rng = random.Random(9)
+    for n in (1, 5, 30, 64):
+        a = [[rng.randrange(4) for _ in range(n)] for _ in range(40)]
+        b = [x[: rng.randint(0, n)] + [rng.randrange(4) for _ in range(rng.randint(0, 3))] for x in a]
+        want = np.array([slow_distance(x, y) for x, y in zip(a, b, strict=True)])
+        m = np.array([len(y) for y in b])
+        wide = np.zeros((40, max(1, m.max())), np.uint32)
+        for k, y in enumerate(b):
+            wide[k, : len(y)] = y
+        sizes = np.full(40, n)
+        assert (lines.edit_distances(np.array(a, np.uint32), sizes, wide, m) == want).all()
+        x, y = np.concatenate(a).astype(np.uint32), np.array([w for v in b for w in v] or [0], np.uint32)
+        args = x, np.cumsum(sizes) - n, sizes, y, np.cumsum(m) - m, m
+        near = want <= lines.BAND  # no way of so few edits leaves the band
+        assert (lines.within_band(*args, want)[near]).all()
+        assert not lines.within_band(*args, want - 1)[want > 0].any()
+
+
+def test_bucket_rows_are_shuffled_in_packs(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "ROWS", 1 << 30)
+    units = spark.range(20_000).repartition(2)
+    keys = lambda batch: [((batch.column(0).to_numpy() // 2), blocks.units(batch.column(0).to_numpy(), np.zeros((batch.num_rows, blocks.PARITIES)), np.full(batch.num_rows, 5)))]
+    packs, row = blocks.met(units, units.limit(0), keys, blocks.UNIT, 20_000, blocks.BLOCK)
+    assert packs.count() <= 2 * packs.rdd.getNumPartitions()
+    got = np.concatenate([np.frombuffer(r["rows"], row) for r in packs.collect()])
+    assert sorted(got["unit"]["uid"].tolist()) == list(range(20_000))
+    assert (got["bucket"] == got["unit"]["uid"] // 2).all()
+
+
+def test_rows_alone_in_their_bucket_are_left_out():
+    for bucket, want in (([], []), ([7], []), ([7, 3], []), ([7, 3, 7, 5, 3], [1, 4, 0, 2])):
+        assert sorted(blocks.by_bucket(np.array(bucket, np.int64)).tolist()) == sorted(want)
