@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, materialise, unused_name
+from .common import arrow_rows, materialise, tidied, unused_name
 
 WINDOW = 10
 #: Words of items, reckoned from their bytes, that one automaton, and so one broadcast, may hold; more take more passes.
@@ -239,7 +239,7 @@ def match(
                         columns[where[n]] = pa.array(values, type=piece.schema.field(n).type)
                     yield pa.RecordBatch.from_arrays(columns, schema=piece.schema)
 
-        out = out.mapInArrow(run, out.schema)
+        out = out.mapInArrow(tidied(run), out.schema)
         if turn + 1 < passes:
             out = materialise(out, "matched")
     return out
@@ -310,7 +310,7 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, span_limit: i
                 columns["n_chars"] = pa.array(sizes, type=batch.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=names).filter(pa.array(keep))
 
-    return found.mapInArrow(run, docs.schema)
+    return found.mapInArrow(tidied(run), docs.schema)
 
 
 def items_digest(items: list[str]) -> str:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, discard, materialise, without
+from .common import arrow_rows, discard, materialise, tidied, without
 from .text import first_by_hash, logistic, one_label, sigmoid
 
 #: Labelled documents that the fit reads at most, and word shapes, or languages and sources, that a view keeps (its size).
@@ -250,7 +250,7 @@ class SparkPool:
                     total += np.frombuffer(s)
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["sums"])
 
-        parts = self.rows.mapInArrow(run, "sums binary").repartition(GROUPS).mapInArrow(merge, "sums binary")
+        parts = self.rows.mapInArrow(tidied(run), "sums binary").repartition(GROUPS).mapInArrow(tidied(merge), "sums binary")
         return np.sum([np.frombuffer(r["sums"]) for r in parts.collect()], axis=0)  # GROUPS vectors
 
     def histograms(self, weights) -> np.ndarray:
@@ -372,4 +372,4 @@ def keep_good(docs: DataFrame, model: Quality, threshold: float = 0.5) -> DataFr
                 p = shared.value.score(column("text"), column("lang"), column("source"))
                 yield part.filter(pa.array(p >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

@@ -55,3 +55,18 @@ def test_each_stage_takes_effect_and_keeps_clean_documents(spark, stages):
     assert after.where(F.col("n_chars") != F.char_length("text")).count() == 0
     before, after = stages["packing"]
     assert {r.doc_id for r in after.select("doc_id").collect()} == {r.doc_id for r in before.select("doc_id").collect()}
+
+
+def test_texts_go_to_workers_a_few_at_once(spark):
+    import corpus_pipeline
+    from sluice.llm import common
+
+    docs = spark.createDataFrame([(k, f"{k} " + "word " * 40_000) for k in range(120)], "doc_id long, text string").coalesce(1)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(name)
+    try:
+        corpus_pipeline.unique_documents(spark, docs, "")
+        size = lambda batches: (b.slice(0, 1).from_pydict({"n": [b.nbytes]}) for b in batches)
+        assert max(r.n for r in docs.mapInArrow(size, "n long").collect()) < 1.2 * common.BATCH_BYTES
+    finally:
+        spark.conf.set(name, old)
