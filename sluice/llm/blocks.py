@@ -4,7 +4,10 @@ A unit is a sequence of words by its hashes.  Units that share a key meet
 in its bucket.  There the pairs that size and parities can't rule out are
 found; of a small bucket they are returned, to be checked once each
 however many buckets they share, and of a larger one the units, to be
-checked together and joined as a forest.
+checked together and joined as a forest.  Near copies share most of their
+buckets, so each unit of a larger bucket is first paired with the least
+one there that may be alike: these pairs are few and mostly the same from
+bucket to bucket, and what they connect isn't compared again.
 """
 
 from __future__ import annotations
@@ -16,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sorted_groups, tidied
+from .common import materialise, release, sorted_groups, tidied
 from .text import mixed
 
 #: Units that a task compares at once in one bucket at most, and in a bucket whose pairs are returned.
 BLOCK, SMALL = 2048, 32
-#: Pairs that are verified at once.
-TOGETHER = 2048
+#: Pairs that are verified at once at most, and those of hot buckets that wait for it at least.
+TOGETHER, HELD = 2048, 256
 #: Bucket rows of a partition, those that a task packs at once, and the share of units by which hot buckets are found.
 ROWS, PACKED, SAMPLED = 400_000, 1 << 18, 16
 #: Parities a unit carries: columns of 32 bits.
@@ -66,14 +69,14 @@ def parities(values: np.ndarray, sizes: np.ndarray, columns: int = PARITIES) ->
 
     Two differ in no more bits than the runs, as multisets, in members.
     """
-    out = np.zeros((len(sizes), columns), np.uint32)
-    some = np.flatnonzero(sizes)
-    if len(some):
-        starts = (np.cumsum(sizes) - sizes)[some]
-        values = values.astype(np.uint32)
-        bit, column = np.uint32(1) << (values & np.uint32(31)), (values >> np.uint32(5)) % np.uint32(columns)
-        for c in range(columns):
-            out[some, c] = np.bitwise_xor.reduceat(np.where(column == c, bit, np.uint32(0)), starts)
+    out, width = np.empty((len(sizes), columns), np.uint32), 32 * columns
+    values = values.astype(np.uint32)
+    bit = ((values >> np.uint32(5)) % np.uint32(columns) << np.uint32(5) | values & np.uint32(31)).astype(np.int64)
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    for at in range(0, len(sizes), TOGETHER):
+        own = sizes[at : at + TOGETHER]
+        drawn = np.bincount(bit[ends[at] : ends[at + len(own)]] + np.repeat(np.arange(len(own)) * width, own), minlength=len(own) * width)
+        out[at : at + len(own)] = np.packbits((drawn & 1).astype(bool), bitorder="little").view("<u4").reshape(len(own), columns)
     return out
 
 
@@ -190,7 +193,7 @@ def unpacked_rows(batches: Iterable[pa.RecordBatch], row: np.dtype) -> np.ndarra
 
 
 def candidates(df: DataFrame, sampled: DataFrame, keys: Keys, apart: Callable[[np.ndarray, np.ndarray], np.ndarray], rows: int, block: int = BLOCK) -> DataFrame:
-    """``(a, b, bucket)``: pairs a < b of small buckets, and units a = b of larger ones with something to compare to.
+    """``(a, b, bucket)``: pairs a < b, all of small buckets and some of larger ones, and units a = b of these with something to compare to.
 
     ``keys`` makes units (``UNIT``) of ``df``, and of ``sampled`` as in
     ``hot_buckets``; ``apart(n, m)`` for n <= m bounds the members by which
@@ -208,7 +211,7 @@ def candidates(df: DataFrame, sampled: DataFrame, keys: Keys, apart: Callable[[n
         group, uid, n = numbered(bucket), unit["uid"].copy(), unit["n"].astype(np.int64)
         bits = [unit["bits"][:, k].copy() for k in range(PARITIES)]
         small = np.bincount(group)[group] <= SMALL
-        mark, found = np.zeros(len(uid), bool), []
+        mark, least, found = np.zeros(len(uid), bool), uid.copy(), []
         i, d = np.arange(len(group)), 0
         while len(i):
             d += 1
@@ -226,7 +229,10 @@ def candidates(df: DataFrame, sampled: DataFrame, keys: Keys, apart: Callable[[n
             found.append(np.column_stack([np.minimum(uid[two], uid[two + d]), np.maximum(uid[two], uid[two + d])]))
             large = hit[~small[hit]]
             mark[large] = mark[large + d] = True
-        pairs = once(np.concatenate(found))
+            least[large] = np.minimum(least[large], uid[large + d])
+            least[large + d] = np.minimum(least[large + d], uid[large])
+        at = np.flatnonzero(least < uid)
+        pairs = once(np.concatenate([*found, np.column_stack([least[at], uid[at]])]))
         at = np.flatnonzero(mark)
         columns = [np.append(pairs[:, 0], uid[at]), np.append(pairs[:, 1], uid[at]), np.append(np.zeros(len(pairs), np.int64), bucket[at])]
         if len(columns[0]):
@@ -248,13 +254,15 @@ def verified(
 ) -> DataFrame:
     """Links ``(a, b)`` by which the units that are ``alike`` among the candidates are connected.
 
-    ``pairs(a, b)`` are checked one by one, ``together(bucket, uid)``
-    bucket by bucket unless already connected there; ``said(uid, said)``
-    has the units' words.  ``alike`` tells it of many pairs at once;
-    ``apart`` is that of ``candidates``, here against more parities.
+    ``pairs(a, b)`` are checked one by one, then ``together(bucket, uid)``
+    bucket by bucket unless already connected, there or by a unit that both
+    are linked to; ``said(uid, said)`` has the units' words.  ``alike`` tells
+    it of many pairs at once; ``apart`` is that of ``candidates``, here
+    against more parities.
     """
-    both = pairs.join(said.select(F.col("uid").alias("a"), F.col("said").alias("x")), "a")
-    both = both.join(said.select(F.col("uid").alias("b"), F.col("said").alias("y")), "b")
+    dealt = said.repartition("uid")  # one shuffle for both ends
+    both = pairs.join(dealt.select(F.col("uid").alias("a"), F.col("said").alias("x")), "a")
+    both = both.join(dealt.select(F.col("uid").alias("b"), F.col("said").alias("y")), "b")
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,36 +270,50 @@ def verified(
                 part = batch.slice(at, TOGETHER)
                 yield part.select(["a", "b"]).filter(pa.array(alike(part.column(2), part.column(3))))
 
-    one_by_one = both.select("a", "b", "x", "y").mapInArrow(tidied(passed), "a long, b long")
+    one_by_one = materialise(both.select("a", "b", "x", "y").mapInArrow(tidied(passed), "a long, b long"), "links")
+    release(said.sparkSession)
+    ends = one_by_one.unionByName(one_by_one.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    linked = ends.groupBy(F.col("a").alias("uid")).agg(F.min("b").alias("to"))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in sorted_groups(batches, 1):
             uid, words = rows.column(1).to_numpy(), rows.column(2).combine_chunks()
             group = numbered(rows.column(0).to_numpy())
             first, last = np.searchsorted(group, group), np.searchsorted(group, group, "right")
-            label, links = np.arange(len(uid)), []
+            label, links = rows.column(3).to_numpy().copy(), []
             values, n = unpacked(words)
             bits = parities(values, n, 16).view(np.uint64)
-            for i, j in pairs_within(group):
-                open_ = label[i] != label[j]
-                i, j = i[open_], j[open_]
-                near = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) <= apart(np.minimum(n[i], n[j]), np.maximum(n[i], n[j]))
-                i, j = i[near], j[near]
+            held, count = [], 0
+
+            def check() -> None:
+                i, j = map(np.concatenate, zip(*held, strict=True))
                 for at in range(0, len(i), TOGETHER):
                     x, y = i[at : at + TOGETHER], j[at : at + TOGETHER]
                     open_ = label[x] != label[y]
                     x, y = x[open_], y[open_]
-                    if not len(x):
-                        continue
-                    hit = np.flatnonzero((uid[x] == uid[y]) | alike(words.take(pa.array(x)), words.take(pa.array(y))))
+                    hit = np.flatnonzero(alike(words.take(pa.array(x)), words.take(pa.array(y)))) if len(x) else []
                     for k, m in zip(x[hit].tolist(), y[hit].tolist(), strict=True):
                         if label[k] != label[m]:
                             own = label[first[k] : last[k]]
                             own[own == label[m]] = label[k]
                             links.append((uid[k], uid[m]))
+
+            for i, j in pairs_within(group):
+                open_ = label[i] != label[j]
+                i, j = i[open_], j[open_]
+                near = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) <= apart(np.minimum(n[i], n[j]), np.maximum(n[i], n[j]))
+                if near.any():
+                    held.append((i[near], j[near]))
+                    count += len(held[-1][0])
+                if count >= HELD:
+                    check()
+                    held, count = [], 0
+            if held:
+                check()
             if links:
                 a, b = np.array(links, np.int64).T
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    rows = together.join(said, "uid").select("bucket", "uid", "said").repartition("bucket").sortWithinPartitions("bucket")
-    return rows.mapInArrow(tidied(joined), "a long, b long").unionByName(one_by_one).distinct()
+    known = said.join(linked, "uid", "left").withColumn("label", F.least("uid", "to"))  # of nulls the other one
+    rows = together.join(known, "uid").select("bucket", "uid", "said", "label").repartition("bucket").sortWithinPartitions("bucket")
+    return rows.mapInArrow(tidied(joined), "a long, b long").unionByName(one_by_one)

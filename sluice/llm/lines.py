@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import connected_components, discard, materialise, possible_members, release, tidied, unused_name
+from .common import connected_components, discard, materialise, membership, release, tidied, unused_name
 from .simhash import links as simhash_links
 from .text import Tokens, mixed, sequence_hashes
 
@@ -44,8 +44,10 @@ RUN, LONGEST_RUN, COMMON = 3, 6, 16.0
 COUNTERS = 1 << 15
 #: Words more or fewer of one line gone by, up to which the distances of many pairs are tried at once.
 BAND = 8
-#: Rows of documents that are worked on at once.
-BATCH = 256
+#: Rows of documents that are worked on at once, and words of a pack of lines.
+BATCH, PACK = 256, 1 << 17
+#: Columns of a pack, and of one of sampled lines.
+_PACK, _SOME = ["uids", "sizes", "words"], ["some_uids", "some_sizes", "some_words"]
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
 _EDGE = np.uint64(0x5851F42D4C957F2D)
 _MIX = np.uint64(0xD1342543DE82EF95)
@@ -328,14 +330,18 @@ def rare_pairs(values: np.ndarray, sizes: np.ndarray, common: np.ndarray, least_
 
 
 def _lines(docs: DataFrame, least_words: int) -> DataFrame:
-    """``(doc_id, line, uid, fp, said)`` of every line of at least ``least_words`` words.
+    """``(doc_id, line, uid, fp)`` of every line of at least ``least_words`` words, and packs.
 
-    Equal words, equal ``uid``; ``said`` are the packed word hashes, null
-    where the task has given them for the ``uid`` already.
+    Equal words, equal ``uid``.  Packs, for ``_packs``, stand in one row in
+    many: ``uids``, ``sizes`` and ``words`` have the word hashes of the
+    lines that the task hasn't given already, the columns with ``some_``
+    those of one line in ``blocks.SAMPLED`` once more, and ``counts`` how
+    often the task gave the words of each counter.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given: set[int] = set()
+        total, held = np.zeros(COUNTERS, np.int64), None
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
@@ -355,30 +361,66 @@ def _lines(docs: DataFrame, least_words: int) -> DataFrame:
                         fresh[k] = True
                 if len(given) > 1_000_000:  # bounds memory; a line given twice costs time only
                     given.clear()
-                said = blocks.packed_slices((hashes >> np.uint64(32)).astype("<u4"), sizes)
                 fp = simhashes(hashes, starts, sizes)
                 columns = [part.column(0).take(pa.array(doc)), pa.array((chosen - t.first_line[doc]).astype(np.int32)), pa.array(uid), pa.array(fp)]
-                said = said.take(pa.array(np.where(fresh, np.arange(len(uid)), -1), mask=~fresh))
-                yield pa.RecordBatch.from_arrays([*columns, said], names=["doc_id", "line", "uid", "fp", "said"])
+                uid, n = uid[fresh], sizes[fresh]
+                values = (hashes[np.repeat(fresh, sizes)] >> np.uint64(32)).astype("<u4")
+                total += np.bincount(values & np.uint32(COUNTERS - 1), minlength=COUNTERS)
+                some = mixed(uid.view(np.uint64)) % np.uint64(blocks.SAMPLED) == 0
+                columns += _packed(uid, n, values, len(fresh)) + _packed(uid[some], n[some], values[np.repeat(some, n)], len(fresh))
+                if held:
+                    yield made(held, None)
+                held = columns
+        if held:
+            yield made(held, total.astype("<i8").tobytes())
+
+    def made(columns: list[pa.Array], counts: bytes | None) -> pa.RecordBatch:
+        own = pa.array([counts] + [None] * (len(columns[0]) - 1), pa.binary())
+        return pa.RecordBatch.from_arrays([*columns, own], names=["doc_id", "line", "uid", "fp", *_PACK, *_SOME, "counts"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     known = docs.where("doc_id is not null").select("doc_id", "text")
-    return known.mapInArrow(tidied(run), f"doc_id {kind}, line int, uid long, fp long, said binary")
+    packs = ", ".join(f"{c} binary" for c in [*_PACK, *_SOME, "counts"])
+    return known.mapInArrow(tidied(run), f"doc_id {kind}, line int, uid long, fp long, {packs}")
+
+
+def _packed(uid: np.ndarray, sizes: np.ndarray, words: np.ndarray, rows: int) -> list[pa.Array]:
+    """Packs of some ``PACK`` words, a line at least, in the first of ``rows`` rows."""
+    ends = np.cumsum(sizes)
+    begin = ends - sizes
+    cut = np.concatenate(([0], np.flatnonzero(np.diff(begin // PACK)) + 1, [len(uid)])).astype(np.int64).tolist()
+    parts = [(a, b) for a, b in zip(cut[:-1], cut[1:], strict=True) if a < b]
+    values = (
+        [uid[a:b].astype("<i8").tobytes() for a, b in parts],
+        [sizes[a:b].astype("<i4").tobytes() for a, b in parts],
+        [words[begin[a] : ends[b - 1]].tobytes() for a, b in parts],
+    )
+    return [pa.array(v + [None] * (rows - len(parts)), pa.binary()) for v in values]
+
+
+def _packs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The lines' uids, sizes and words in each pack."""
+    for batch in batches:
+        for row in zip(*batch.columns, strict=True):
+            uid, sizes, words = (np.frombuffer(v.as_buffer(), kind) for v, kind in zip(row, ("<i8", "<i4", "<u4"), strict=True))
+            yield uid, sizes.astype(np.int64), words
 
 
-def common_words(said: DataFrame) -> tuple[np.ndarray, int, int]:
-    """What ``run_keys`` asks for, over all lines of ``said``, and the numbers of lines and words."""
+def common_words(seen: DataFrame) -> tuple[np.ndarray, int, int]:
+    """What ``run_keys`` asks for, over all lines given in packs of ``seen``, and the numbers of lines and words."""
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, lines = np.zeros(COUNTERS, np.int64), 0
         for batch in batches:
-            values, sizes = blocks.unpacked(batch.column(0))
-            total += np.bincount(values & np.uint32(COUNTERS - 1), minlength=COUNTERS)
-            lines += len(sizes)
+            for own, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                lines += n // 8
+                if own is not None:
+                    total += np.frombuffer(own, "<i8")
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], lines))], names=["counter", "n"])
 
-    found = said.select("said").mapInArrow(tidied(counts), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).collect()  # a row a counter
+    given = seen.where("uids is not null or counts is not null").select("counts", F.coalesce(F.octet_length("uids"), F.lit(0)))
+    found = given.mapInArrow(tidied(counts), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).collect()  # a row a counter
     by = {r["counter"]: r["n"] for r in found}
     lines, words = by.pop(-1, 0), sum(by.values())
     share = np.zeros(COUNTERS)
@@ -406,23 +448,35 @@ def _apart(least_similarity: float):
     return bound
 
 
-def _runs(said: DataFrame, least_similarity: float) -> DataFrame:
-    """Candidates, as ``blocks.candidates`` gives them, among the lines of ``said(uid, said)``."""
-    some, lines, words = common_words(said)
+def _runs(seen: DataFrame, least_similarity: float) -> DataFrame:
+    """Candidates, as ``blocks.candidates`` gives them, among the lines in the packs of ``seen``."""
+    said = seen.where("uids is not null").select(*_PACK)
+    sampled = seen.where("some_uids is not null").select(*_SOME)
+    some, lines, words = common_words(seen)
     common = said.sparkSession.sparkContext.broadcast(some)  # COUNTERS numbers
 
     def keys(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for at in range(0, batch.num_rows, 4096):
-            part = batch.slice(at, 4096)
-            values, n = blocks.unpacked(part.column(1))
-            values = values.astype(np.uint64)
-            line, key = map(np.concatenate, zip(*(make(values, n, common.value, least_similarity) for make in (rare_pairs, run_keys)), strict=True))
-            yield key, blocks.units(part.column(0).to_numpy()[line], blocks.parities(values, n)[line], n[line])
-
-    sampled = said.where(F.pmod(F.xxhash64("uid"), F.lit(blocks.SAMPLED)) == 0)
+        for uid, n, values in _packs([batch]):
+            wide = values.astype(np.uint64)
+            line, key = map(np.concatenate, zip(*(make(wide, n, common.value, least_similarity) for make in (rare_pairs, run_keys)), strict=True))
+            yield key, blocks.units(uid[line], blocks.parities(values, n)[line], n[line])
+
     return blocks.candidates(said, sampled, keys, _apart(least_similarity), 12 * lines)
 
 
+def _said(packs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``(uid, said)``, each once, of the lines whose ``uid`` is in ``ids(id)``."""
+    maybe = membership(ids)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for uid, n, values in _packs(batches):
+            own = maybe(uid)
+            yield pa.RecordBatch.from_arrays([pa.array(uid[own]), blocks.packed_slices(values[np.repeat(own, n)], n[own])], names=["uid", "said"])
+
+    found = packs.mapInArrow(tidied(keep), "uid long, said binary")
+    return found.join(ids.withColumnRenamed("id", "uid"), "uid", "left_semi").dropDuplicates(["uid"])
+
+
 def groups(docs: DataFrame, least_similarity: float = SIMILARITY, least_words: int = LEAST_WORDS) -> DataFrame:
     """``(doc_id, line, first_doc_id, first_line, kept)`` for each line of enough words.
 
@@ -432,25 +486,25 @@ def groups(docs: DataFrame, least_similarity: float = SIMILARITY, least_words: i
     are left alone; rows that repeat an id and a line repeat its answer.
     Line numbers start at 0.  Other columns aren't read.
     """
-    seen = materialise(_lines(docs, least_words), "lines")
+    seen = materialise(_lines(docs, least_words), "lines", compression="zstd")
     place = F.struct("doc_id", "line")
     distinct = materialise(seen.groupBy("uid").agg(F.min(place).alias("first"), F.max("fp").alias("fp")), "distinct-lines")
-    said = seen.where("said is not null").select("uid", "said")
 
     by_fp = materialise(distinct.groupBy("fp").agg(F.min("uid").alias("head"), F.count("*").alias("n")), "line-fingerprints")
     near = simhash_links(by_fp, RADIUS, most=SHARD, name="head").select(F.col("a").alias("x"), F.col("b").alias("y"))
     same = distinct.join(by_fp.where("n > 1"), "fp").where("uid <> head").select(F.col("head").alias("x"), F.col("uid").alias("y"))
     bits = near.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
-    runs = materialise(_runs(said, least_similarity), "line-runs")
+    release(docs.sparkSession)
+    runs = materialise(_runs(seen, least_similarity), "line-runs")
     release(docs.sparkSession)
     pairs = materialise(runs.where("a < b").select("a", "b").unionByName(bits).distinct(), "line-pairs")
     together = runs.where("a = b").select("bucket", F.col("a").alias("uid"))
     asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(together.select("uid")).distinct()
     asked = materialise(asked, "asked-lines")
-    words = possible_members(said, "uid", asked).join(asked.withColumnRenamed("id", "uid"), "uid", "left_semi")
-    words = materialise(words.dropDuplicates(["uid"]), "line-words")
-    release(docs.sparkSession)
+    words = materialise(_said(seen.where("uids is not null").select(*_PACK), asked), "line-words")
+    places = materialise(seen.select("doc_id", "line", "uid"), "line-places")
+    discard(seen, by_fp)  # the packs and the shuffles so far, before words are shuffled again
     found = blocks.verified(pairs, together, words, lambda x, y: all_similar(x, y, least_similarity), _apart(least_similarity))
     members = connected_components(found).withColumnRenamed("node", "uid")
 
@@ -458,9 +512,9 @@ def groups(docs: DataFrame, least_similarity: float = SIMILARITY, least_words: i
     named = distinct.select("uid", "first").join(members, "uid")
     heads = named.groupBy("component").agg(F.min("first").alias("head"))
     heads = materialise(named.join(heads, "component").select("uid", "head"), "line-groups")
-    discard(runs, pairs, asked, words, by_fp)
+    discard(runs, pairs, asked, words)
     by_uid = distinct.select("uid", "first").join(heads, "uid", "left").select("uid", F.coalesce("head", "first").alias("head"))
-    return seen.select("doc_id", "line", "uid").join(by_uid, "uid").select(
+    return places.join(by_uid, "uid").select(
         "doc_id", "line", F.col("head.doc_id").alias("first_doc_id"), F.col("head.line").alias("first_line"), (place == F.col("head")).alias("kept")
     )
 

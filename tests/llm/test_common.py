@@ -55,3 +55,28 @@ def test_texts_of_documents_that_stay_are_not_shuffled(no_broadcast):
     before = shuffled(spark)
     assert simhash.keep_one(docs).agg(F.sum(F.length("text"))).first()[0] == sum(map(len, texts))
     assert shuffled(spark) - before < sum(map(len, texts)) / 4
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_components_of_chains_and_stars_over_many_partitions(spark, kind):
+    rng = np.random.default_rng(6)
+    chain, others = rng.permutation(400).tolist(), rng.integers(1000, 1200, (150, 2)).tolist()
+    edges = list(zip(chain, chain[1:], strict=False)) + others + [(5000, x) for x in range(5001, 5300)] + [(7, 7)]
+    up = {x: x for e in edges for x in e}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        up[max(root(a), root(b))] = min(root(a), root(b))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    named = [(f"{a:05d}", f"{b:05d}") if kind == "string" else (a, b) for a, b in edges]
+    try:
+        got = common.connected_components(spark.createDataFrame(named, f"a {kind}, b {kind}")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    want = {x: root(x) for e in edges for x in e if e[0] != e[1]}
+    assert sorted((int(r.node), int(r.component)) for r in got) == sorted(want.items())

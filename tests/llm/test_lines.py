@@ -281,3 +281,36 @@ def test_bucket_rows_are_shuffled_in_packs(spark, monkeypatch):
 def test_rows_alone_in_their_bucket_are_left_out():
     for bucket, want in (([], []), ([7], []), ([7, 3], []), ([7, 3, 7, 5, 3], [1, 4, 0, 2])):
         assert sorted(blocks.by_bucket(np.array(bucket, np.int64)).tolist()) == sorted(want)
+
+
+def test_near_copies_of_hot_buckets_are_compared_once(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "SMALL", 4)
+    tried = spark.sparkContext.accumulator(0)
+    alike = lines.all_similar
+
+    def counted(a, b, least):
+        tried.add(len(a))
+        return alike(a, b, least)
+
+    monkeypatch.setattr(lines, "all_similar", counted)
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    base, rows = [word() for _ in range(60)], []
+    for d in range(300):
+        w = list(base)
+        w[rng.randrange(60)] = word()
+        rows.append((d, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.first_doc_id for r in lines.groups(docs).collect()} == {0}
+    assert tried.value < 11 * 300  # 13 a line without the first pairs
+
+
+def test_packs_are_cut_and_hold_each_line_whole(monkeypatch):
+    monkeypatch.setattr(lines, "PACK", 10)
+    sizes = np.array([3, 4, 50, 1, 9, 2])
+    uid, words = np.arange(6) - 3, np.arange(sizes.sum(), dtype=np.uint32)
+    batch = pa.RecordBatch.from_arrays(lines._packed(uid, sizes, words, 9), names=lines._PACK)
+    assert batch.num_rows == 9 and 1 < batch.num_rows - batch.column(0).null_count < 6
+    got = list(lines._packs([batch.filter(batch.column(0).is_valid())]))
+    assert all((np.concatenate(x) == want).all() for x, want in zip(zip(*got, strict=True), (uid, sizes, words), strict=True))
+    assert lines._packed(uid[:0], sizes[:0], words[:0], 2)[0].null_count == 2
